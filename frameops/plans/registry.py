@@ -60,7 +60,7 @@ def build_sql(body: str, ctes: str = "", dbl: str = "", big: str = "") -> str:
     fixes = [f"(floor(CAST({c} AS DOUBLE) * 1e6 + CAST(0.5003 AS DOUBLE)) / 1e6) AS {c}" for c in dbl.split()]
     fixes += [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
     star = f"* REPLACE ({', '.join(fixes)})" if fixes else "*"
-    recursive = "RECURSIVE " if "UNION ALL" in ctes and "rec" in ctes else ""
+    recursive = "RECURSIVE " if "rec" in ctes else ""
     head = f"WITH {recursive}{', '.join(parts)} " if parts else ""
     return f"{head}SELECT {star} FROM ({body}) AS result"
 
