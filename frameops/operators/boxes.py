@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +143,9 @@ def _rows_per_grid(unaffected: DataFrame, grid: DataFrame) -> DataFrame:
     return unaffected.crossJoin(F.broadcast(grid.select("grid_id")))
 
 
-def _scored_grid(rows: DataFrame, grid: DataFrame, n_gt: DataFrame) -> DataFrame:
+def _scored_grid(rows: DataFrame, grid: DataFrame, n_gt: DataFrame, at_most: int) -> DataFrame:
     truth = F.broadcast(grid.select("grid_id")).crossJoin(n_gt)
-    return average_precision(rows, truth, ["grid_id"])
+    return average_precision(rows, truth, ["grid_id"], at_most=at_most)
 
 
 def _truth_total(gt: DataFrame) -> DataFrame:
@@ -191,8 +190,9 @@ def sweep_postfilter(pred: DataFrame, gt: DataFrame, margins: Sequence[int] = (0
     again = pred.join(first, "image_id").join(dropped, ["grid_id", "image_id", "pred_id"], "left_anti").drop("grid_id")
     rows = _variant_rows(base, again, lost, gt, grid)
     n_gt = _truth_total(gt)
-    scored = _scored_grid(rows, grid, n_gt)
-    baseline = average_precision(base, n_gt).select(
+    total = pred.count()
+    scored = _scored_grid(rows, grid, n_gt, total)
+    baseline = average_precision(base, n_gt, at_most=total).select(
         *[F.col(c).alias(f"base_{c}") for c in ("ap", "precision", "recall", "f1", "false_positives", "false_negatives")])
     removed = lost.groupBy("grid_id").agg(F.sum("n").alias("removed_count"))
     out = grid.join(scored, "grid_id").join(removed, "grid_id", "left").fillna(0, ["removed_count"])
@@ -207,7 +207,7 @@ def sweep_postfilter(pred: DataFrame, gt: DataFrame, margins: Sequence[int] = (0
 def best_by(rows: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
     """The row that is largest in ``order`` (end it with a unique column), per key."""
     top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r"))
-    return top.select("r.*")
+    return top.filter(F.col("r").isNotNull()).select("r.*")
 
 
 def best_postfilter(rows: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _grid_scores(primary, fallback, gt, images, triggered, grid, threshold, scal
     merged = fallback_merge(primary, fallback, images, threshold, scale).withColumn("variant", F.lit("merged"))
     base = match_greedy(primary, gt).select("image_id", "pred_id", "score", "true_positive")
     rows = _variant_rows(base, merged, triggered.withColumn("variant", F.lit("merged")), gt, grid)
-    return _scored_grid(rows, grid, _truth_total(gt))
+    return _scored_grid(rows, grid, _truth_total(gt), primary.count() + fallback.count())
 
 
 def best_fallback(rows: DataFrame) -> DataFrame:
@@ -327,22 +327,13 @@ def cluster_features(clusters: DataFrame, frames: DataFrame, sources: Sequence[s
         positive.cast("double").alias("source_positive"), *per_source)
 
 
-def _components(edges: pd.DataFrame) -> pd.DataFrame:
-    """Component (smallest node) per node; the nodes are the few grid cells of one image."""
-    parent: dict[int, int] = {}
-
-    def find(n: int) -> int:
-        parent.setdefault(n, n)
-        while parent[n] != n:
-            parent[n] = parent[parent[n]]
-            n = parent[n]
-        return n
-
-    for a, b in zip(edges["a"], edges["b"], strict=True):
-        ra, rb = find(int(a)), find(int(b))
-        parent[max(ra, rb)] = min(ra, rb)
-    nodes = list(parent)
-    return pd.DataFrame({"image_id": edges["image_id"].iloc[0], "cell": nodes, "component": [find(n) for n in nodes]})
+# Folds the cell links of one image into its connected sets of cells.
+_COMPONENTS = """
+    aggregate(links, cast(array() as array<array<bigint>>),
+      (sets, e) -> concat(
+        filter(sets, s -> not arrays_overlap(s, e)),
+        array(array_distinct(concat(e, flatten(filter(sets, s -> arrays_overlap(s, e))))))))
+"""
 
 
 def link_components(boxes: DataFrame, frames: DataFrame, link_frac: float = 0.09, min_count: int = 5,
@@ -375,8 +366,10 @@ def link_components(boxes: DataFrame, frames: DataFrame, link_frac: float = 0.09
     diagonal = _diagonal_links(rows)
     own = cells.select("image_id", c("cell").alias("a"), c("cell").alias("b"))
     edges = own.union(side.select("image_id", "a", "b")).union(diagonal)
-    id_type = boxes.schema["image_id"].dataType.simpleString()
-    labels = edges.groupBy("image_id").applyInPandas(_components, f"image_id {id_type}, cell bigint, component bigint")
+    # bounded by the cells of one image, not by its boxes
+    sets = edges.groupBy("image_id").agg(F.collect_set(F.array("a", "b")).alias("links"))
+    sets = sets.select("image_id", F.explode(F.expr(_COMPONENTS)).alias("cells"))
+    labels = sets.select("image_id", F.array_min("cells").alias("component"), F.explode("cells").alias("cell"))
     grouped = rows.join(labels, ["image_id", "cell"]).groupBy("image_id", "width", "height", "component").agg(
         F.count(F.lit(1)).alias("members"), F.min("x1").alias("lx"), F.min("y1").alias("ly"),
         F.max("x2").alias("hx"), F.max("y2").alias("hy"))

@@ -62,7 +62,7 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def average_precision(matches: DataFrame, truth_counts: DataFrame, keys: Sequence[str] = (),
-                      limit: int = GROUP_LIMIT) -> DataFrame:
+                      limit: int = GROUP_LIMIT, at_most: int | None = None) -> DataFrame:
     """B03 (with the running sums of W06): AP, precision, recall, F1 and counts per key.
 
     ``truth_counts`` holds the keys and ``ground_truth_boxes``.  Recall moves only
@@ -73,7 +73,7 @@ def average_precision(matches: DataFrame, truth_counts: DataFrame, keys: Sequenc
     hit = F.col("true_positive").cast("bigint")
     order = [F.col("score").desc(), F.col("image_id"), F.col("pred_id")]
     placed = running_totals(matches.select(*keys, "score", "image_id", "pred_id", "true_positive"),
-                            keys, order, {"hits": hit, "seen": F.lit(1)}, limit)
+                            keys, order, {"hits": hit, "seen": F.lit(1)}, limit, at_most)
     summed = placed.groupBy(*keys).agg(
         F.sum(F.when(F.col("true_positive"), F.col("hits") / F.col("seen"))).alias("precision_sum"),
         F.sum(hit).alias("true_positives"),
@@ -116,7 +116,8 @@ def score_subgroups(pred: DataFrame, gt: DataFrame, membership: DataFrame, model
         .join(flagged, [model, "subgroup"], "left").fillna(0, ["images_with_boxes"])
     )
     rows = matches.select("image_id", model, "pred_id", "score", "true_positive").join(in_group, "image_id")
-    scored = average_precision(rows, base.select(model, "subgroup", "ground_truth_boxes"), [model, "subgroup"])
+    scored = average_precision(rows, base.select(model, "subgroup", "ground_truth_boxes"), [model, "subgroup"],
+                               at_most=pred.count())
     scored = scored.join(base.select(model, "subgroup", "image_count", "images_with_boxes"), [model, "subgroup"])
     empty = F.col("ground_truth_boxes") == 0
     scored = scored.withColumns({

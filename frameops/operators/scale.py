@@ -61,15 +61,21 @@ def running_totals(
     order: Sequence[Column],
     sums: dict[str, Column],
     limit: int = GROUP_LIMIT,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order`` within ``group``.
 
+    ``at_most`` is a proven bound on the rows of one group, when the caller has
+    a cheaper one than counting ``df``.
+
     Groups of a checked size use one window.  A larger group is range
     partitioned by its order, summed inside each range, and shifted by the
     totals of the ranges before it.
     """
     df = df.withColumns({f"__v_{name}": value for name, value in sums.items()})
-    if group:
+    if at_most is not None and at_most <= limit:
+        cold, large = df, None
+    elif group:
         hot = hot_keys(df, group, limit)
         if hot is None:
             cold, large = df, None

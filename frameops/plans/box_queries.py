@@ -67,7 +67,8 @@ truth AS (SELECT s.source, (SELECT count(*) FROM gt_boxes) AS n FROM (SELECT DIS
 def _(v):
     matches = M.match_greedy(v.cand_boxes, v.gt_boxes, extra=["source"])
     truth = v.gt_boxes.agg(F.count(F.lit(1)).alias("ground_truth_boxes"))
-    return M.average_precision(matches, v.cand_boxes.select("source").distinct().crossJoin(truth), ["source"])
+    return M.average_precision(matches, v.cand_boxes.select("source").distinct().crossJoin(truth), ["source"],
+                               at_most=v.cand_boxes.count())
 
 
 SUBGROUP = B01_MODEL + "," + MODEL_ROWS + """,
@@ -366,7 +367,7 @@ def _(v):
 
 EDGE = "(x1 <= margin OR y1 <= margin OR x2 >= 3840 - margin OR y2 >= 2160 - margin)"
 POST_GRID = """post_grid AS MATERIALIZED (SELECT row_number() OVER (ORDER BY margin, side, top) - 1 AS grid_id, margin, side, top
-  FROM (SELECT unnest([0, 16, 32]) AS margin) CROSS JOIN (SELECT unnest([80, 160]) AS side) CROSS JOIN (SELECT unnest([0.35, 0.65]) AS top))"""
+  FROM (SELECT unnest([0, 16, 32]) AS margin) CROSS JOIN (SELECT unnest([160, 220]) AS side) CROSS JOIN (SELECT unnest([0.1, 0.35]) AS top))"""
 POST = POST_GRID + f""",
 post_all AS MATERIALIZED (SELECT g.grid_id, p.*, {EDGE} AND least(x2 - x1, y2 - y1) >= side AND score <= top AS gone FROM pred_boxes p CROSS JOIN post_grid g
   UNION ALL SELECT -1, p.*, FALSE FROM pred_boxes p),
@@ -385,7 +386,7 @@ DELTAS = "delta_ap delta_precision delta_recall delta_f1"
 
 
 def post_sweep(v):
-    return X.sweep_postfilter(v.pred_boxes, v.gt_boxes, (0, 16, 32), (80, 160), (0.35, 0.65))
+    return X.sweep_postfilter(v.pred_boxes, v.gt_boxes, (0, 16, 32), (160, 220), (0.1, 0.35))
 
 
 @query("b18_sweep_postfilter", "SELECT * FROM post", ctes=POST, dbl=RATES + " max_score " + DELTAS,
@@ -620,7 +621,7 @@ def _(v):
 
 @query("j16_grid_cross", "SELECT grid_id, count(*) FILTER (gone) AS removed, count(*) AS rows FROM post_all WHERE grid_id >= 0 GROUP BY grid_id", ctes=POST, big="grid_id")
 def _(v):
-    points = [(i, m, s, t) for i, (m, s, t) in enumerate((m, s, t) for m in (0, 16, 32) for s in (80, 160) for t in (0.35, 0.65))]
+    points = [(i, m, s, t) for i, (m, s, t) in enumerate((m, s, t) for m in (0, 16, 32) for s in (160, 220) for t in (0.1, 0.35))]
     grid = v.spark.createDataFrame(points, "grid_id bigint, m bigint, s bigint, t double")
     drop = postfilter_drop(F.col("m"), F.col("s"), F.col("t"))
     return v.pred_boxes.crossJoin(F.broadcast(grid)).groupBy("grid_id").agg(
