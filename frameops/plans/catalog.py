@@ -2,4 +2,6 @@
 
 from frameops.plans import (  # noqa: F401
     box_queries,
+    expression_queries,
+    table_queries,
 )

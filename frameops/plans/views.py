@@ -162,9 +162,8 @@ FROM (SELECT *, CASE WHEN success = 0 THEN 0.0 WHEN box_count = 0 THEN 1.0
 """
 
 _TEXT_PAIRS = """
-SELECT doc_id AS region_id, lang, text AS before,
-  regexp_replace(text, '[aeiou]', '#', 'g') AS after
-FROM documents
+SELECT doc_id, CAST(line AS BIGINT) AS line, lang, before, regexp_replace(before, '[aeiou]', '#', 'g') AS after
+FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS before, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
 """
 
 _PIXELS = """
@@ -329,9 +328,10 @@ class Views:
 
     @cached_property
     def text_pairs(self) -> DataFrame:
-        return self.table("documents").select(
-            F.col("doc_id").alias("region_id"), "lang", F.col("text").alias("before"),
-            F.regexp_replace("text", "[aeiou]", "#").alias("after"))
+        """Every line of every document as a text region, before and after masking."""
+        lines = self.table("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "before"))
+        return lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line"), "lang", "before",
+                            F.regexp_replace("before", "[aeiou]", "#").alias("after"))
 
     @cached_property
     def pixels(self) -> DataFrame:
