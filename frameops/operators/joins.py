@@ -82,7 +82,7 @@ def tier_lookup(rows: DataFrame, tiers: DataFrame, vram: str = "vram_mb", cuda:
     ``tiers``: tier, min_vram_mb, requires_cuda.  The few tiers become one sorted
     array literal, so no row is multiplied.
     """
-    table = tiers.agg(F.sort_array(F.collect_list(F.struct("min_vram_mb", "tier", "requires_cuda")), asc=False).alias("__t"))
+    table = tiers.agg(F.sort_array(F.collect_list(F.struct("min_vram_mb", "requires_cuda", "tier")), asc=False).alias("__t"))
     fits = lambda t: (F.col(vram) >= t["min_vram_mb"]) & (~t["requires_cuda"] | F.col(cuda))
     chosen = F.get(F.filter("__t", fits), F.lit(0))["tier"]
     return rows.crossJoin(F.broadcast(table)).withColumn("tier", chosen).drop("__t")

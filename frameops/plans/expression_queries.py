@@ -202,12 +202,12 @@ def _(v):
     return v.conditions.select("image_id", L.infer_pose(labels, hint, c("box_count") * 60).alias("pose"))
 
 
-@query("f24_text_similarity", """SELECT doc_id, line, CASE WHEN trim(before) = '' AND trim(after) = '' THEN 1.0 WHEN trim(before) = '' OR trim(after) = '' THEN 0.0
+@query("f24_text_similarity", """SELECT doc_id, word, CASE WHEN trim(before) = '' AND trim(after) = '' THEN 1.0 WHEN trim(before) = '' OR trim(after) = '' THEN 0.0
   ELSE 1.0 - CAST(length(before) - length(replace(replace(replace(replace(replace(before, 'a', ''), 'e', ''), 'i', ''), 'o', ''), 'u', '')) AS DOUBLE) / greatest(length(trim(before)), length(trim(after)), 1) END AS similarity
 FROM text_pairs""", dbl="similarity")
 def _(v):
     # the pairs differ by one-for-one replacements, so their edit distance is the number of them
-    return v.text_pairs.select("doc_id", "line", L.text_similarity(F.col("before"), F.col("after"), "levenshtein").alias("similarity"))
+    return v.text_pairs.select("doc_id", "word", L.text_similarity(F.col("before"), F.col("after"), "levenshtein").alias("similarity"))
 
 
 MEDIANS = """med AS (SELECT median(blur_score) FILTER (largest_face_size_px < 120) AS low, median(blur_score) FILTER (largest_face_size_px >= 120 AND largest_face_size_px < 180) AS mid,

@@ -37,7 +37,7 @@ SELECT o_orderkey AS image_id,
        WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'living2'
        WHEN substr(o_orderpriority, 1, 1) = '4' THEN 'meeting' ELSE 'reading' END AS camera_stream_id,
   'p' || CAST(o_custkey % 11 AS VARCHAR) AS participant_id,
-  lpad(CAST(o_custkey % 24 AS VARCHAR), 2, '0') || '_' || lpad(CAST(o_orderkey % 720 + 1 AS VARCHAR), 4, '0') AS timestamp_id,
+  lpad(CAST(o_custkey // 2 % 24 AS VARCHAR), 2, '0') || '_' || lpad(CAST(o_orderkey % 720 + 1 AS VARCHAR), 4, '0') AS timestamp_id,
   CAST(CASE WHEN o_orderstatus = 'P' AND substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 1920 ELSE {WIDTH} END AS BIGINT) AS width,
   CAST(CASE WHEN o_orderstatus = 'P' AND substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 1080 ELSE {HEIGHT} END AS BIGINT) AS height,
   CAST(floor(o_totalprice) AS BIGINT) AS size_bytes,
@@ -162,8 +162,8 @@ FROM (SELECT *, CASE WHEN success = 0 THEN 0.0 WHEN box_count = 0 THEN 1.0
 """
 
 _TEXT_PAIRS = """
-SELECT doc_id, CAST(line AS BIGINT) AS line, lang, before, regexp_replace(before, '[aeiou]', '#', 'g') AS after
-FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS before, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT doc_id, CAST(word AS BIGINT) AS word, lang, before, regexp_replace(before, '[aeiou]', '#', 'g') AS after
+FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')) AS before, generate_subscripts(string_split(text, ' '), 1) AS word FROM documents)
 """
 
 _PIXELS = """
@@ -205,7 +205,7 @@ class Views:
             F.when(ego, "egocentric").otherwise("exocentric").alias("view_type"),
             F.when(ego, person).otherwise(exo_stream).alias("camera_stream_id"),
             person.alias("participant_id"),
-            F.concat(F.lpad((c("o_custkey") % 24).cast("string"), 2, "0"), F.lit("_"),
+            F.concat(F.lpad((F.floor(c("o_custkey") / 2) % 24).cast("string"), 2, "0"), F.lit("_"),
                      F.lpad((c("o_orderkey") % 720 + 1).cast("string"), 4, "0")).alias("timestamp_id"),
             F.when(small, 1920).otherwise(WIDTH).cast("bigint").alias("width"),
             F.when(small, 1080).otherwise(HEIGHT).cast("bigint").alias("height"),
@@ -328,9 +328,9 @@ class Views:
 
     @cached_property
     def text_pairs(self) -> DataFrame:
-        """Every line of every document as a text region, before and after masking."""
-        lines = self.table("documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "before"))
-        return lines.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line"), "lang", "before",
+        """Every word of every document as a recognised text region, before and after masking."""
+        words = self.table("documents").select("doc_id", "lang", F.posexplode(F.split("text", " ")).alias("pos", "before"))
+        return words.select("doc_id", (F.col("pos") + 1).cast("bigint").alias("word"), "lang", "before",
                             F.regexp_replace("before", "[aeiou]", "#").alias("after"))
 
     @cached_property
