@@ -4,6 +4,7 @@ from frameops.plans import (  # noqa: F401
     box_queries,
     expression_queries,
     io_queries,
+    policy_queries,
     sample_queries,
     table_queries,
 )
