@@ -39,18 +39,18 @@ def cluster_boxes(boxes: DataFrame, threshold: float = 0.45, extra: Sequence[str
     """
     seeded = suppress(boxes, threshold, by_score(), "pred_id", extra, limit=limit)
     weight = F.greatest(F.col("score"), F.lit(1e-6))
+    keys = ["image_id", *extra, "cluster_id"]
+    # one row per (cluster, source) first: a cluster of many copies stays small and the passes above run once
+    per_source = seeded.groupBy("image_id", *extra, F.col("seed").alias("cluster_id"), "source").agg(
+        *[F.sum(F.col(c) * weight).alias(f"s_{c}") for c in CORNERS], F.sum(weight).alias("s_w"),
+        F.max("score").alias("source_score"), F.count(F.lit(1)).alias("n"))
     means = [
-        F.bround(F.round(F.sum(F.col(c) * weight) / F.sum(weight), 9), 0).cast("bigint").alias(c) for c in CORNERS
+        F.bround(F.round(F.sum(f"s_{c}") / F.sum("s_w"), 9), 0).cast("bigint").alias(c) for c in CORNERS
     ]
-    keys = ["image_id", *extra]
-    # one row per (cluster, source) first, so a cluster of many copies stays small
-    per_source = seeded.groupBy(*keys, F.col("seed").alias("cluster_id"), "source").agg(
-        F.max("score").alias("source_score"))
-    scores = per_source.groupBy(*keys, "cluster_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "source_score")))).alias("source_scores"))
-    merged = seeded.groupBy(*keys, F.col("seed").alias("cluster_id")).agg(
-        *means, F.max("score").alias("score"), F.count(F.lit(1)).alias("members"))
-    return merged.join(scores, [*keys, "cluster_id"]).withColumn("sources", F.map_keys("source_scores"))
+    scores = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "source_score"))))
+    merged = per_source.groupBy(*keys).agg(
+        *means, F.max("source_score").alias("score"), F.sum("n").alias("members"), scores.alias("source_scores"))
+    return merged.withColumn("sources", F.map_keys("source_scores"))
 
 
 def fuse(boxes: DataFrame, threshold: float = 0.5, min_score: float = 0.25, bonus: float = 0.05,

@@ -108,7 +108,10 @@ def score_subgroups(pred: DataFrame, gt: DataFrame, membership: DataFrame, model
     images = in_group.groupBy("subgroup").agg(F.count_distinct("image_id").alias("image_count"))
     truth = gt.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
     truth = in_group.join(truth, "image_id").groupBy("subgroup").agg(F.sum("n").alias("ground_truth_boxes"))
-    flagged = pred.select("image_id", model).distinct().join(in_group, "image_id")
+    # only subgroups without truth need the number of images with boxes
+    faceless = images.join(truth, "subgroup", "left_anti").select("subgroup")
+    quiet = in_group.join(F.broadcast(faceless), "subgroup", "left_semi")
+    flagged = pred.select("image_id", model).join(quiet, "image_id").distinct()
     flagged = flagged.groupBy(model, "subgroup").agg(F.count(F.lit(1)).alias("images_with_boxes"))
     base = (
         pred.select(model).distinct().crossJoin(images)

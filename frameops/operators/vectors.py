@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameops.functions.labels import stable_order, text_similarity
+from frameops.lineage import cut
 from frameops.operators.scale import exact_quantiles
 
 # Rows per block of one matrix product, and pivots that cut the gallery.
@@ -21,7 +22,9 @@ BLOCK, PIVOTS = 2048, 16
 def l2_normalise(vector: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    divisor = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    # bound once per vector; inside the inner lambda it would be computed per element
+    return F.transform(F.array(divisor), lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,7 +59,7 @@ def nearest(query: DataFrame, gallery: DataFrame, block: int = BLOCK, pivots: in
     row per block leaves it.  Returns id, best_id, best_identity, similarity.
     """
     q = query.select("id", "identity", l2_normalise(F.col("embedding")).alias("v"))
-    g = gallery.select("id", "identity", l2_normalise(F.col("embedding")).alias("v"))
+    g = cut(gallery.select("id", "identity", l2_normalise(F.col("embedding")).alias("v")))
     seeds = g.orderBy(stable_order(42, F.col("id")), "id").limit(pivots).select("v").collect()
     if not seeds:
         return q.select("id", "identity", F.lit(None).cast("bigint").alias("best_id"), F.lit(None).cast("bigint").alias("best_identity"), F.lit(0.0).alias("similarity"))
@@ -67,7 +70,8 @@ def nearest(query: DataFrame, gallery: DataFrame, block: int = BLOCK, pivots: in
         return pd.Series(list(np.arccos(np.clip(_matrix(vectors) @ centre.T, -1.0, 1.0))))
 
     g = g.withColumn("ang", angles("v")).withColumn("cell", F.array_position("ang", F.array_min("ang")).cast("int") - 1)
-    cells = g.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_min("ang")).alias("radius")).collect()
+    g = cut(g.withColumn("near", F.array_min("ang")).drop("ang"))
+    cells = g.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).collect()
     counts, radius = {r["cell"]: r["n"] for r in cells}, {r["cell"]: r["radius"] for r in cells}
     blocks = {c: max(1, math.ceil(n / block)) for c, n in counts.items()}
     block_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
@@ -78,7 +82,7 @@ def nearest(query: DataFrame, gallery: DataFrame, block: int = BLOCK, pivots: in
     bound = F.least(F.array_min("ang"), F.when(F.col("gv").isNotNull(), own_angle).otherwise(F.lit(math.pi))) + F.lit(1e-6)
     options = F.array(*[F.struct(F.lit(c).alias("cell"), (F.element_at("ang", c + 1) - F.lit(r)).alias("low")) for c, r in sorted(radius.items())])
     wanted = q.withColumn("bound", bound).withColumn("o", F.explode(F.filter(options, lambda o: o["low"] <= F.col("bound"))))
-    wanted = wanted.select("id", "v", F.col("o.cell").alias("cell"))
+    wanted = cut(wanted.select("id", "v", F.col("o.cell").alias("cell")))
     per_cell = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     q_blocks = {c: max(1, math.ceil(per_cell.get(c, 0) / block)) for c in counts}
     q_block_of = F.create_map(*[F.lit(x) for pair in q_blocks.items() for x in pair])
