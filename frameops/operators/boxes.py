@@ -386,7 +386,9 @@ def link_components(boxes: DataFrame, frames: DataFrame, link_frac: float = 0.09
 def _diagonal_links(rows: DataFrame) -> DataFrame:
     """Linked diagonal cell pairs.  Only the staircase of points facing the other cell can decide."""
     c = F.col
-    points = rows.select("image_id", "cell", "gx", "gy", "link", "cx", "cy").distinct()
+    # per cell and centre column only the outermost centres matter, so a cell keeps at most
+    # one row per half pixel of its width
+    points = rows.groupBy("image_id", "cell", "gx", "gy", "link", "cx").agg(F.max("cy").alias("top"), F.min("cy").alias("bottom"))
 
     def staircase(sign: int, high: bool) -> DataFrame:
         # facing up-right (sign 1) or up-left (sign -1); the lower cell keeps maxima, the upper one minima
@@ -395,7 +397,8 @@ def _diagonal_links(rows: DataFrame) -> DataFrame:
         window = Window.partitionBy("image_id", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         best = F.max("cy").over(window) if high else F.min("cy").over(window)
         keep = c("best").isNull() | (c("cy") > c("best") if high else c("cy") < c("best"))
-        return points.withColumn("best", best).filter(keep).drop("best")
+        outer = points.withColumn("cy", c("top") if high else c("bottom"))
+        return outer.withColumn("best", best).filter(keep).drop("best")
 
     found = []
     for sign in (1, -1):
