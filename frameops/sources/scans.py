@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from frameops.functions.geometry import has_area
 from frameops.functions.labels import infer_metadata, stable_order
@@ -111,14 +111,13 @@ def metric_rows(df: DataFrame, column: str, element: str) -> DataFrame:
 
 def scan_metric_json(spark: SparkSession, path: str, element: str) -> DataFrame:
     """Rows below "detailed" of JSON documents; no file gives an empty typed table."""
-    import glob
-
-    schema = T.StructType.fromDDL(f"detailed array<struct<{element}>>") if hasattr(T.StructType, "fromDDL") else None
-    ddl = schema or f"detailed array<struct<{element}>>"
-    local = "://" not in path or path.startswith("file:")
-    if local and not glob.glob(path.removeprefix("file:")):
+    try:
+        documents = spark.read.schema(f"detailed array<struct<{element}>>").json(path, multiLine=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"struct<{element}>")
-    return spark.read.schema(ddl).json(path, multiLine=True).select(F.inline("detailed"))
+    return documents.select(F.inline("detailed"))
 
 
 def scan_jobs_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
