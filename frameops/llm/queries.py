@@ -52,3 +52,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.pii import pii_report
+
+    return pii_report(table(spark, sf_dir, "documents"))
