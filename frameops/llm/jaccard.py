@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frameops.llm import words as W
+from frameops.llm.rows import add_columns
 from frameops.llm.tables import Scratch, components
 
 SHINGLE = 5
@@ -251,7 +252,7 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, and the set's signature sig_a, sig_b."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -301,7 +302,34 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     # an empty set meets nothing: its signature is no key
     key = [F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("sig_a", "sig_b")]
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), *key).join(named, ["sig_a", "sig_b"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sig_a", "sig_b")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``: the one with its smallest doc_id. Empty texts and rows without an id all stay.
+
+    Ids that stand in one row are filtered by id. Only rows of a repeated id are told apart by their sets as well.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    found = scratch.keep(jaccard_join(docs), "rows")
+    counts = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("n"), F.max("component_id").alias("component_id"))
+    counts = scratch.keep(counts, "ids")
+    stay = docs.join(counts.where("rows = 1 AND (n = 0 OR doc_id = component_id)").select("doc_id"), "doc_id", "left_semi")
+    stay = stay.unionByName(docs.where("doc_id IS NULL"))
+    repeated = counts.where("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+
+    def sign(batch: pa.RecordBatch) -> dict[str, list]:
+        signed = [(len(own), *_signature(own)) if len(own) else (0, None, None) for _, own in _each_set(batch["text"])]
+        return dict(zip((size, a, b), zip(*signed)))
+
+    taken = {c.lower() for c in docs.columns}
+    size, a, b = ("_" * max(map(len, taken)) + c for c in ("n", "sig_a", "sig_b"))
+    several = add_columns(docs.join(repeated, "doc_id", "left_semi"), f"{size} long, {a} long, {b} long", sign)
+    lead = found.join(repeated, "doc_id", "left_semi").where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct(F.col("sig_a").alias(a), F.col("sig_b").alias(b))).alias("lead")).select("doc_id", "lead.*")
+    chosen = several.where(F.col(size) > 0).join(lead, ["doc_id", a, b], "left_semi").dropDuplicates(["doc_id", a, b])
+    return stay.unionByName(chosen.select(docs.columns)).unionByName(several.where(F.col(size) == 0).select(docs.columns))
 
 
 def _check(pairs: DataFrame, leads: DataFrame, docs: DataFrame) -> DataFrame:

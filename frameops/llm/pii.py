@@ -232,19 +232,19 @@ def _with_spans(docs: DataFrame, field: Field, text_col: str, added: str, make:
 
 
 def mask(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets; overlapping spans are replaced together by the first kind."""
+    """``docs`` with every span replaced by its kind in brackets, and n_spans; overlapping spans are replaced together by the first kind."""
 
     def make(text: str | None, base: list[Span], spans: list[Span]) -> tuple:
         if not spans:
-            return (text,)
+            return text, 0
         out, done = [], 0
         for start, end, kind in spans:
             if start >= done:
                 out += [text[done:start], f"[{kind.upper()}]"]
             done = max(done, end)
-        return ("".join(out) + text[done:],)
+        return "".join(out) + text[done:], len(spans)
 
-    return _with_spans(docs, field, text_col, f"{text_col} string", make)
+    return _with_spans(docs, field, text_col, f"{text_col} string, n_spans long", make)
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
