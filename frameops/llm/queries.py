@@ -59,3 +59,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.pii import pii_report
 
     return pii_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op6_warc",
+    """
+    WITH hashed AS (
+        SELECT CAST(page_id AS BIGINT) AS page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS hex FROM pages
+    ), bits AS (
+        SELECT *, max(page_id) OVER (PARTITION BY payload) AS lead,
+            array_to_string([lpad(bin(CAST(('0x' || substr(hex, 1 + 2 * i, 2)) AS BIGINT)), 8, '0') FOR i IN range(20)], '') AS bits
+        FROM hashed
+    )
+    SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum([CAST(substr(bits, 1 + 5 * i + j, 1) AS INT) * (16 >> j) FOR j IN range(5)]) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
+        CASE WHEN lead IS NULL OR page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> lead OR page_id IS NULL THEN lead END AS refers_to
+    FROM bits
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.langid import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
