@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Links that one task may hold.
+TASK_LINKS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; only a local session that names none gets one of its own."""
@@ -47,28 +53,55 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links and the smallest node of each one's component, by hooking and pointer jumping on arrays."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low, high = place[: len(a)], place[len(a) :]
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[low], parent[high]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[parent]
+        low, high = low[apart], high[apart]
+        np.minimum.at(parent, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a task as stars around smallest nodes."""
+    parts = [(batch["v"].to_numpy(), batch["m"].to_numpy()) for batch in batches]
+    if parts:
+        nodes, low = smallest_reachable(*map(np.concatenate, zip(*parts)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low)], names=["v", "m"])
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), both long: rows (node, component), the component being its smallest node.
 
-    Alternates large-star and small-star steps, which keep components and turn each into a star around its smallest node in a
-    number of rounds that grows with the logarithm of its size. Nodes without links do not appear. Each round is a shuffle of
-    the remaining links; minima are pre-aggregated, and adaptive execution splits the join of a hub.
+    Nodes without links do not appear. Links are first contracted within each task. While more than ``TASK_LINKS`` are left,
+    large-star and small-star steps alternate: they keep components and turn each into a star around its smallest node in a
+    number of rounds that grows with the logarithm of its size. Minima are pre-aggregated there, and adaptive execution splits
+    the join of a hub. What fits into one task by a count of its rows is contracted there.
     """
-    edges = scratch.keep(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v > m").distinct(), "links")
+    edges = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v > m")
+    edges = scratch.keep(edges.mapInArrow(_contract, "v long, m long").where("v > m"), "links")
     seen = None
     while True:
         size = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
-        if seen == tuple(size) or size[0] == 0:
+        if size[0] <= TASK_LINKS:
+            return edges.coalesce(1).mapInArrow(_contract, "node long, component long")
+        if seen == tuple(size):
             break
         seen = tuple(size)
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("n")).union(edges.select(F.col("m").alias("u"), F.col("v").alias("n")))
         lowest = both.groupBy("u").agg(F.min("n").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(lowest, "u").where("n > u").select(F.col("n").alias("v"), F.col("low").alias("m"))
-        large = large.where("v > m").distinct()
+        large = both.join(lowest, "u").where("n > u").select(F.col("n").alias("v"), F.col("low").alias("m")).distinct()
         # small star: every node points to the smallest of its smaller neighbours, and so do those neighbours
         least = large.groupBy("v").agg(F.min("m").alias("low"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct(F.col("v"), F.col("low").alias("m")))).alias("e"))
-        after = scratch.keep(small.select("e.v", "e.m").where("v > m").distinct(), "links")
+        pairs = F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))
+        after = scratch.keep(large.join(least, "v").select(F.explode(pairs).alias("e")).select("e.v", "e.m").where("v > m").distinct(), "links")
         scratch.drop(edges)
         edges = after
     return edges.select(F.col("v").alias("node"), F.col("m").alias("component")).union(edges.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
