@@ -13,7 +13,8 @@ longest lists are left out of the merge, and a partner must then occur at least
    long lists are probed by binary search in the partner's sorted set, until the count reaches the needed overlap.
    Links found here make first components.
 4. Lists that still hold several components are merged in blocks of bounded size; pairs of one component need no check any more.
-   What passes the bitmap bound is checked exactly as before. So no link between different components is lost, while a large
+   What passes the bitmap bound is checked exactly as before: first one partner of each row, which joins most of what belongs
+   together, then all pairs of the components that are left. So no link between different components is lost, while a large
    group of near copies is never expanded into all its pairs.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is its own component; fewer than five words
@@ -22,6 +23,7 @@ make one shingle; repeated rows of a doc_id each get a row with that id's compon
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,9 +56,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _parity(values: np.ndarray) -> bytes:
-    """Parity bitmap of at least two bits per shingle: bit b tells whether an odd number of shingles fall on b."""
-    bits = 64
-    while bits < 2 * len(values):
+    """Parity bitmap of at least four bits per shingle: bit b tells whether an odd number of shingles fall on b."""
+    bits = 2048
+    while bits < 4 * len(values):
         bits *= 2
     return np.packbits((np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -222,8 +224,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield rest
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block that are of different components, of fitting sizes and within the bitmap bound."""
+def _block_pairs(first_only: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a block that are of different components, of fitting sizes and within the bitmap bound.
+
+    With ``first_only`` a row of the block gives at most its first partner before and after it.
+    """
     for table in whole_runs(batches, ["shingle", "block"]):
         cols = {c: table[c].to_numpy() for c in ("shingle", "block", "doc", "n", "component", "side")}
         parity = table["parity"].combine_chunks()
@@ -244,11 +249,13 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if fit.any():
                 found.append((active[fit], other[fit]))
         left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        low = np.minimum(cols["doc"][left], cols["doc"][right])
-        high = np.maximum(cols["doc"][left], cols["doc"][right])
-        _, once = np.unique(np.stack([low, high]), axis=1, return_index=True) if len(low) else (None, np.zeros(0, np.int64))
-        good = once[_may_link(n, parity, left[once], right[once])] if len(once) else once
-        yield pa.RecordBatch.from_arrays([pa.array(low[good]), pa.array(high[good])], names=["a", "b"])
+        # the same two documents may meet in several lists of the table
+        pair = np.stack([np.minimum(cols["doc"][left], cols["doc"][right]), np.maximum(cols["doc"][left], cols["doc"][right])])
+        once = np.sort(np.unique(pair, axis=1, return_index=True)[1]) if len(left) else np.zeros(0, np.int64)
+        once = once[_may_link(n, parity, left[once], right[once])] if len(once) else once
+        if first_only:
+            once = once[np.union1d(np.unique(left[once], return_index=True)[1], np.unique(right[once], return_index=True)[1])]
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0][once]), pa.array(pair[1][once])], names=["a", "b"])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -271,31 +278,26 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     by_size = Window.partitionBy("shingle").orderBy("n", "doc")
     lists = searching.mapInArrow(lambda it: _short_lists(sketch, it), "shingle long, doc long, n int")
-    lists = lists.withColumns({"previous": F.lag(F.struct("doc", "n")).over(by_size), "next": F.lead("doc").over(by_size)}).where("previous IS NOT NULL OR next IS NOT NULL")
-    lists = scratch.keep(lists.select("shingle", "doc", "n", F.col("previous.doc").alias("p"), F.col("previous.n").alias("pn")), "lists")
+    # sizes ascend, so a document whose neighbours don't fit its size has no partner in the list
+    lists = lists.withColumns({"p": F.lag("doc").over(by_size), "pn": F.lag("n").over(by_size), "nn": F.lead("n").over(by_size)})
+    lists = scratch.keep(lists.where("5 * pn >= 4 * n OR 5 * n >= 4 * nn").drop("nn"), "lists")
 
     # neighbours in a list
-    pairs = lists.where("p <> doc AND 5 * least(n, pn) >= 4 * greatest(n, pn)").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
+    pairs = lists.where("p <> doc AND 5 * pn >= 4 * n").select(F.least("p", "doc").alias("a"), F.greatest("p", "doc").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(info.select(F.col("doc").alias(side), F.col("parity").alias(f"parity_{side}"), F.col("n").alias(f"n_{side}")), side)
     pairs = scratch.keep(pairs.mapInArrow(_bitmap_bound, "a long, b long"), "candidates")
     links = scratch.keep(_check(pairs, leads, docs), "links")
     found = scratch.keep(components(scratch, links), "components")
 
-    # lists that still hold more than one component
-    tagged = lists.select("shingle", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
-    open_lists = tagged.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high").select("shingle", blocks)
-    dealt = tagged.join(open_lists, "shingle").join(info.select("doc", "parity"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("shingle", "doc", "n", "component", "parity", block.alias("block"), side.alias("side"))
-    pairs = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "doc").mapInArrow(_block_pairs, "a long, b long")
-    pairs = scratch.keep(pairs.distinct(), "candidates")
-    more = scratch.keep(_check(pairs, leads, docs), "links")
+    # lists that still hold more than one component: first one partner for each row, then all that are left
+    for first_only in (True, False):
+        pairs = _open_blocks(lists, found, info).mapInArrow(functools.partial(_block_pairs, first_only), "a long, b long")
+        pairs = scratch.keep(pairs.distinct(), "candidates")
+        links = links.union(scratch.keep(_check(pairs, leads, docs), "links"))
+        found = scratch.keep(components(scratch, links), "components")
 
-    whole = components(scratch, links.union(more)).join(leads.select("node", "doc_id"), "node")
+    whole = found.join(leads.select("node", "doc_id"), "node")
     lowest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = leads.join(whole.select("node", "component"), "node", "left").join(lowest, "component", "left")
     named = named.select("sig_a", "sig_b", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -305,6 +307,19 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sig_a", "sig_b")
 
 
+def _open_blocks(lists: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, dealt so that any two rows of a list meet in one block of bounded size."""
+    tagged = lists.select("shingle", "doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks")
+    open_lists = tagged.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low < high").select("shingle", blocks)
+    dealt = tagged.join(open_lists, "shingle").join(info.select("doc", "parity"), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("shingle", "doc", "n", "component", "parity", block.alias("block"), side.alias("side"))
+    return dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "doc")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: the one with its smallest doc_id. Empty texts and rows without an id all stay.
 
