@@ -89,3 +89,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.langid import language_report
 
     return language_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_embedding_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.neighbours import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -26,7 +26,7 @@ from frameops.llm import words as W
 from frameops.llm.rows import add_columns
 
 #: Labelled documents of each kind that training reads; threshold of a prediction.
-TRAIN_DOCS, REJECT = 3000, 0.7
+TRAIN_DOCS, REJECT = 2000, 0.7
 WINDOW, STEPS = 9, 150
 _EVIDENCE_LIMIT = 20.0
 
