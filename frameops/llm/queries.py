@@ -96,3 +96,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.neighbours import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_license_scans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.licences import licence_report
+
+    return licence_report(table(spark, sf_dir, "documents"))
