@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameops.llm.rows import add_columns
+from frameops.llm.rows import add_columns, hash_sample
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, ADD = 1500, 0.9
+TRAIN_DOCS, ADD = 10_000, 0.9
 _FEATURES, _ROUNDS = 1 << 12, 12
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -206,8 +206,8 @@ class Field:
 
 
 def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Field:
-    """Fit on the first ``sample`` documents with a digit or an at sign, in a hash order of their ids."""
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
+    """Fit on the documents with a digit or an at sign in a hash sample of ``sample`` documents."""
+    rows = hash_sample(docs.select("doc_id", "text"), sample, 3, F.col("text").rlike("[0-9@]"))
     return Field().fit([Nodes(r.text, base_spans(r.text)) for r in rows.toLocalIterator()])
 
 

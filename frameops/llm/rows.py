@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -35,11 +35,12 @@ def add_columns(docs: DataFrame, added: str, compute: Callable[[pa.RecordBatch],
     return docs.mapInArrow(run, T.StructType(kept + [T.StructField(f.name, f.dataType, True) for f in new]))
 
 
-def hash_sample(docs: DataFrame, wanted: int, salt: int) -> DataFrame:
-    """About ``wanted`` rows of ``docs``, never more than twice as many, picked by a hash of doc_id.
+def hash_sample(docs: DataFrame, wanted: int, salt: int, among: Column | None = None) -> DataFrame:
+    """About ``wanted`` rows of ``docs``, never more than twice as many, picked by a hash of doc_id; of these, the rows ``among``.
 
     The threshold on the hash keeps what the tasks send small; the limit only matters where one id has many rows.
     """
     order = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30))
     share = wanted / max(1, docs.count())
-    return docs.where(order < share * (1 << 30)).orderBy(order, "doc_id").limit(2 * wanted)
+    picked = docs.where(order < share * (1 << 30))
+    return (picked if among is None else picked.where(among)).orderBy(order, "doc_id").limit(2 * wanted)
