@@ -103,3 +103,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.licences import licence_report
 
     return licence_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
