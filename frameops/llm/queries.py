@@ -24,14 +24,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_ngram_jaccard_join")
+#: Lower case of A-Z alone.
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Smallest node that a node of ``links`` (a, b), held in both directions, can reach.
+_REACH = """
+    reach AS (
+        SELECT a AS node, a AS other FROM links
+        UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a
+    ), lowest AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)"""
+
+
+@query(
+    "op3_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+    ), grams AS MATERIALIZED (
+        SELECT DISTINCT doc_id, unnest([array_to_string(w[s:s + 4], ' ') FOR s IN range(1, greatest(len(w) - 4, 1) + 1)]) AS g FROM d WHERE len(w) > 0
+    ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    links AS MATERIALIZED (
+        SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id
+        JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
+        GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))
+    ), {_REACH}
+    SELECT doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(component_id, doc_id) AS BIGINT) AS component_id
+    FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON lowest.node = doc_id
+    """,
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-@query("op8_benchmark_decontamination")
+@query(
+    "op8_benchmark_decontamination",
+    f"""
+    WITH d AS MATERIALIZED (
+        SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents
+    ), i AS (
+        SELECT item_id, regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+    ), windows AS MATERIALIZED (
+        SELECT DISTINCT item_id, least(len(w), 10) AS k, unnest([array_to_string(w[s:s + 9], ' ') FOR s IN range(1, greatest(len(w) - 9, 1) + 1)]) AS g FROM i WHERE len(w) > 0
+    ), places AS (
+        SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, unnest([array_to_string(w[j:j + k - 1], ' ') FOR j IN range(1, len(w) - k + 2)]) AS g
+        FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k
+    ), found AS MATERIALIZED (SELECT doc_id, s, k, item_id FROM places JOIN windows USING (k, g)),
+    hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id),
+    named AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
+)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.decontaminate import decontamination_report
 
@@ -91,7 +139,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
-@query("op1_embedding_near_dedup")
+@query(
+    "op1_embedding_near_dedup",
+    f"""
+    WITH RECURSIVE v AS MATERIALIZED (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+    ), links AS MATERIALIZED (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+        WHERE list_cosine_similarity(x.e, y.e) >= 0.93
+    ), {_REACH}, degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, CAST(coalesce(component_id, vec_id) AS BIGINT) AS component_id,
+        coalesce(component_id, vec_id) = vec_id AS kept
+    FROM embeddings LEFT JOIN lowest ON lowest.node = vec_id LEFT JOIN degree ON degree.a = vec_id
+    """,
+)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.neighbours import near_duplicates
 
