@@ -28,7 +28,7 @@ from frameops.llm.jaccard import whole_runs
 from frameops.llm.tables import Scratch, components, smallest_reachable
 
 MIN_COSINE = 0.93
-TREES, LEAF_ROWS, SPILL = 6, 512, 1.0
+TREES, LEAF_ROWS, SPILL = 4, 512, 0.5
 #: Bytes of the sample that trees are fitted on, least sample rows of a node, rows of a vector block.
 SAMPLE_BYTES, NODE_SAMPLE, BLOCK_ROWS = 16_000_000, 24, 256
 
