@@ -56,9 +56,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _parity(values: np.ndarray) -> bytes:
-    """Parity bitmap of at least four bits per shingle: bit b tells whether an odd number of shingles fall on b."""
+    """Parity bitmap of at least two bits per shingle, and 2048: bit b tells whether an odd number of shingles fall on b."""
     bits = 2048
-    while bits < 4 * len(values):
+    while bits < 2 * len(values):
         bits *= 2
     return np.packbits((np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -227,7 +227,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
 def _block_pairs(first_only: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block that are of different components, of fitting sizes and within the bitmap bound.
 
-    With ``first_only`` a row of the block gives at most its first partner before and after it.
+    With ``first_only`` a row of the block gives at most its first partner before and after it, and the lists of the pairs that
+    this leaves out are named in the column ``shingle``.
     """
     for table in whole_runs(batches, ["shingle", "block"]):
         cols = {c: table[c].to_numpy() for c in ("shingle", "block", "doc", "n", "component", "side")}
@@ -253,9 +254,14 @@ def _block_pairs(first_only: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
         pair = np.stack([np.minimum(cols["doc"][left], cols["doc"][right]), np.maximum(cols["doc"][left], cols["doc"][right])])
         once = np.sort(np.unique(pair, axis=1, return_index=True)[1]) if len(left) else np.zeros(0, np.int64)
         once = once[_may_link(n, parity, left[once], right[once])] if len(once) else once
+        rest = once[:0]
         if first_only:
-            once = once[np.union1d(np.unique(left[once], return_index=True)[1], np.unique(right[once], return_index=True)[1])]
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0][once]), pa.array(pair[1][once])], names=["a", "b"])
+            chosen = np.union1d(np.unique(left[once], return_index=True)[1], np.unique(right[once], return_index=True)[1])
+            once, rest = once[chosen], np.delete(once, chosen)
+        rest = np.unique(cols["shingle"][left[rest]])
+        none = pa.nulls(len(rest), pa.int64())
+        columns = [pa.concat_arrays([pa.array(pair[i][once]), none]) for i in (0, 1)] + [pa.concat_arrays([pa.nulls(len(once), pa.int64()), pa.array(rest)])]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shingle"])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
@@ -290,12 +296,14 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = scratch.keep(_check(pairs, leads, docs), "links")
     found = scratch.keep(components(scratch, links), "components")
 
-    # lists that still hold more than one component: first one partner for each row, then all that are left
+    # lists that still hold more than one component: first one partner for each row, then the lists that this cut short
     for first_only in (True, False):
-        pairs = _open_blocks(lists, found, info).mapInArrow(functools.partial(_block_pairs, first_only), "a long, b long")
-        pairs = scratch.keep(pairs.distinct(), "candidates")
+        met = _open_blocks(lists, found, info).mapInArrow(functools.partial(_block_pairs, first_only), "a long, b long, shingle long")
+        met = scratch.keep(met, "candidates")
+        pairs = met.where("shingle IS NULL").select("a", "b").distinct()
         links = links.union(scratch.keep(_check(pairs, leads, docs), "links"))
         found = scratch.keep(components(scratch, links), "components")
+        lists = lists.join(met.where("shingle IS NOT NULL").select("shingle").distinct(), "shingle", "left_semi")
 
     whole = found.join(leads.select("node", "doc_id"), "node")
     lowest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
