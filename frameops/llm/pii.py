@@ -8,7 +8,8 @@ marginal for a kind reaches ``ADD`` and a skip edge joins it to a token in a bas
 its prefix is found, and a document without base spans never gets any.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents (``TRAIN_DOCS``), with the base spans as labels and with
-token features left out at random, so that the edges carry weight of their own.
+token features left out at random, so that the edges carry weight of their own. Tokens that repeat a part of a base span
+elsewhere have no label there.
 
 Defined results: a null or empty text has no spans; repeated rows are read one by one; every pattern takes time linear in the
 length of the text.
@@ -118,6 +119,10 @@ class Nodes:
                 if x < b and y > a:
                     self.covered[node] = True
                     self.label[node] = 1 + KINDS.index(kind)
+        #: a token outside base spans that repeats one inside has no known label: it is what the field has to decide
+        self.known = np.ones(len(place), bool)
+        for i, j in ((0, 1), (1, 0)):
+            self.known[self.skips[self.covered[self.skips[:, i]] & ~self.covered[self.skips[:, j]], j]] = False
 
 
 class Field:
@@ -125,16 +130,20 @@ class Field:
 
     def __init__(self) -> None:
         n = len(KINDS) + 1
-        self.token, self.chain, self.skip = np.zeros((_FEATURES, n)), np.zeros((n, n)), np.zeros((n, n))
+        self.token, self.chain = np.zeros((_FEATURES, n)), np.zeros((n, n))
+        # before any evidence, repeats lean to one label
+        self.skip = 2 * np.eye(n)
 
     def fit(self, docs: list[Nodes], steps: int = 80) -> Field:
-        """Gradient ascent on the pseudo-likelihood."""
+        """Gradient ascent on the pseudo-likelihood of the tokens with known labels."""
         docs = [d for d in docs if len(d.label)]
         if not docs:
             return self
         first = np.cumsum([0] + [len(d.label) for d in docs])
         features, label = np.concatenate([d.features for d in docs]), np.concatenate([d.label for d in docs])
         chain, skip = (np.concatenate([getattr(d, name) + at for d, at in zip(docs, first)]) for name in ("chain", "skips"))
+        known = np.concatenate([d.known for d in docs])
+        chain, skip = (edges[known[edges].all(1)] for edges in (chain, skip))
         rng = np.random.default_rng(5)
         n = self.chain.shape[0]
         sums = [np.full(w.shape, 1e-8) for w in (self.token, self.chain, self.skip)]
@@ -146,7 +155,7 @@ class Field:
                 np.add.at(logits, edges[:, 1], weight[label[edges[:, 0]]])
                 np.add.at(logits, edges[:, 0], weight.T[label[edges[:, 1]]])
             p = np.exp(logits - logits.max(1, keepdims=True))
-            miss = truth - p / p.sum(1, keepdims=True)
+            miss = (truth - p / p.sum(1, keepdims=True)) * known[:, None]
             slopes = [np.zeros_like(w) for w in (self.token, self.chain, self.skip)]
             for k in range(features.shape[1]):
                 np.add.at(slopes[0], features[:, k], miss * kept[:, k, None])

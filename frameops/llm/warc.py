@@ -160,7 +160,10 @@ def _read(file: BinaryIO, offset: int, length: int) -> bytes:
 def central_directory(file: BinaryIO, size: int) -> list[Member]:
     """Members of a ZIP file by its central directory, whichever of the two formats gives its place."""
     tail = _read(file, max(0, size - 65_557), min(size, 65_557))
+    # the signature may also stand in the comment: the record is the last one whose comment ends with the file
     end = tail.rfind(b"PK\x05\x06")
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + int.from_bytes(tail[end + 20 : end + 22], "little") != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = struct.unpack("<HLL", tail[end + 10 : end + 20])
@@ -182,10 +185,8 @@ def central_directory(file: BinaryIO, size: int) -> list[Member]:
         while k + 4 <= len(extra):
             tag, n = struct.unpack("<HH", extra[k : k + 4])
             if tag == 1:  # wide values stand in this order, each only if its narrow field is full
-                wide, full, packed, header = list(struct.unpack(f"<{n // 8}Q", extra[k + 4 : k + 4 + n // 8 * 8])), *(
-                    None if v == 0xFFFFFFFF else v for v in (full, packed, header)
-                )
-                full, packed, header = (wide.pop(0) if v is None else v for v in (full, packed, header))
+                wide = iter(struct.unpack(f"<{n // 8}Q", extra[k + 4 : k + 4 + n // 8 * 8]))
+                full, packed, header = [next(wide) if v == 0xFFFFFFFF else v for v in (full, packed, header)]
             k += 4 + n
         found.append(Member(name, method, packed, full, header))
         at += 46 + n_name + n_extra + n_comment
