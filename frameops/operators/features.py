@@ -12,7 +12,7 @@ from frameops.functions.geometry import area, scale_label, side_x, side_y
 from frameops.functions.labels import gap_delta, gap_ratio, status_success, strictly_ordered
 from frameops.operators.boxes import cluster_boxes
 from frameops.operators.matching import f_score, ratio
-from frameops.operators.scale import exact_quantiles
+from frameops.operators.scale import broadcast_if_small, exact_quantiles, null_safe_join
 
 C = F.col
 
@@ -153,7 +153,10 @@ def quantile_cues(df: DataFrame, by: str, sharpness: str, brightness: str, densi
     blur = exact_quantiles(df, [by], sharpness, {"q_blur": 0.20})
     light = exact_quantiles(df, [by], brightness, {"q_light": 0.20})
     clutter = exact_quantiles(df, [by], density, {"q_high": 0.66, "q_low": 0.33})
-    out = df.join(F.broadcast(blur.join(light, by).join(clutter, by)), by)
+    # a protocol without any value of a signal has no threshold for it
+    out = df
+    for thresholds in (blur, light, clutter):
+        out = null_safe_join(out, broadcast_if_small(thresholds), [by], "left")
     level = F.when(C(density) >= C("q_high"), "high").when(C(density) <= C("q_low"), "low").otherwise("medium")
     num = lambda test: F.when(test, 1).otherwise(0)
     return out.withColumns({"motion_blur_or_low_sharpness": num(C(sharpness) <= C("q_blur")), "low_light_or_dim": num(C(brightness) <= C("q_light")),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameops.functions.labels import condition_filter, condition_score, stable_order
-from frameops.operators.scale import GROUP_LIMIT, broadcast_if_small, running_totals, top_k
+from frameops.lineage import cut
+from frameops.operators.scale import GROUP_LIMIT, broadcast_if_small, null_safe_join, running_totals, top_k
 from frameops.operators.windows import keep_one
 
-GROUP_FOLD_LIMIT = 10_000
 
 
 def _by_hash(seed: int, key: str) -> list[Column]:
@@ -199,24 +199,47 @@ def balanced_protocol_sample(df: DataFrame, key: str, protocol: str, n: int, see
     return base.unionByName(rest.orderBy(*_by_hash(seed, key)).limit(max(n - base.count(), 0)))
 
 
-def group_kfold(df: DataFrame, group: str, k: int = 5, limit: int = GROUP_FOLD_LIMIT) -> DataFrame:
-    """Fold per group, 1-based.  No group is in two folds.
+def fold_segments(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """Folds that biggest-first into the lightest fold gives to ``sizes``, pairs (group size, number of groups) by falling size.
 
-    Few groups: biggest first into the lightest fold, on the driver.  More than
-    ``limit`` groups: folds by hash, which balances by their number.
+    A segment (size, rank, folds) says that the groups of a size from this rank on take these folds in turn. Within a size the
+    folds that lie less than one group above the lightest take one group each, in the order of their loads, until the next
+    heavier fold comes into reach; so a size has at most k segments however many groups it has.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.orderBy(F.col("n").desc(), F.col(group)).take(limit + 1)
-    if len(rows) > limit:
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)) + 1)
-    loads, folds = [0] * k, []
-    for row in rows:
-        fold = loads.index(min(loads))
-        loads[fold] += row["n"]
-        folds.append((row[group], fold + 1))
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(folds, f"{group} {kind}, fold bigint")
-    return df.join(F.broadcast(table), group)
+    loads, out = [0] * k, []
+    for size, groups in sizes:
+        rank = 0
+        while rank < groups:
+            order = sorted(range(k), key=lambda i: (loads[i], i))
+            low = loads[order[0]]
+            active = [i for i in order if loads[i] < low + size]
+            heavier = [loads[i] for i in order if loads[i] >= low + size]
+            left = groups - rank
+            rounds = min((heavier[0] - low) // size, -(-left // len(active))) if heavier else -(-left // len(active))
+            taken = min(left, rounds * len(active))
+            for place, fold in enumerate(active):
+                loads[fold] += size * (taken // len(active) + (place < taken % len(active)))
+            out.append((size, rank, [i + 1 for i in active]))
+            rank += taken
+    return out
+
+
+def group_kfold(df: DataFrame, group: str, k: int = 5, limit: int = GROUP_LIMIT) -> DataFrame:
+    """Fold per group, 1-based, biggest group first into the lightest fold. No group is in two folds; null is a group.
+
+    Only the histogram of group sizes comes to the driver, whose length grows with the square root of the rows at most. A
+    group's rank among those of its size finds its fold.
+    """
+    sizes = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("__size")))
+    histogram = sizes.groupBy("__size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("__size").desc()).collect()
+    segments = fold_segments([(row["__size"], row["n"]) for row in histogram], k)
+    table = df.sparkSession.createDataFrame(segments, "__size bigint, __from bigint, __folds array<int>")
+    table = table.groupBy("__size").agg(F.array_sort(F.collect_list(F.struct("__from", "__folds"))).alias("__segments"))
+    ranked = running_totals(sizes, ["__size"], [F.col(group)], {"__rank": F.lit(1)}, limit).join(broadcast_if_small(table), "__size")
+    found = F.element_at(F.filter("__segments", lambda s: s["__from"] < F.col("__rank")), -1)
+    turn = F.pmod(F.col("__rank") - 1 - found["__from"], F.size(found["__folds"])).cast("int")
+    folds = ranked.select(group, F.get(found["__folds"], turn).cast("bigint").alias("fold"))
+    return null_safe_join(df, folds, [group])
 
 
 def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed: int = 42, limit: int = GROUP_LIMIT) -> DataFrame:

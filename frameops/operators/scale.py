@@ -18,6 +18,8 @@ from frameops.lineage import cut
 GROUP_LIMIT = 2_000_000
 # A table is broadcast only when it is known to hold at most this many rows.
 BROADCAST_ROWS = 100_000
+# Spark cuts ranks before the shuffle up to this bound (spark.sql.optimizer.windowGroupLimitThreshold).
+CUT_RANK = 1000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
@@ -36,8 +38,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows outside and inside the hot keys."""
-    return df.join(hot, list(keys), "left_anti"), df.join(hot, list(keys), "left_semi")
+    """Rows outside and inside the hot keys; a null key may be hot too."""
+    return null_safe_join(df, hot, keys, "left_anti"), null_safe_join(df, hot, keys, "left_semi")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the keys of ``right`` are dropped."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    joined = left.join(named, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys], how)
+    return joined.drop(*[f"__right_{k}" for k in keys])
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -48,9 +57,12 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per key.
 
-    The literal bound on the rank lets Spark cut each map task's output to
-    ``k`` rows per key before the shuffle, so a hot key cannot fill one task.
+    Up to ``CUT_RANK`` a literal bound on the rank lets Spark cut each map task's output to
+    ``k`` rows per key before the shuffle. Larger ranks are running counts, which split a hot key by ranges.
+    Either way a hot key cannot fill one task.
     """
+    if k > CUT_RANK:
+        return running_totals(df, keys, order, {rank: F.lit(1)}).filter(F.col(rank) <= F.lit(k))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= F.lit(k))
 
@@ -102,7 +114,7 @@ def running_totals(
         )
         inside = Window.partitionBy(*keys).orderBy(*order)
         inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        shifted = ranged.join(offsets, keys).withColumns(
+        shifted = null_safe_join(ranged, offsets, keys).withColumns(
             {n: F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(inside) for n in sums}
         )
         parts.append(shifted.drop("__part", *[f"__o_{n}" for n in sums]))
@@ -132,7 +144,7 @@ def exact_quantiles(
         merged = large.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
         placed = running_totals(merged, keys, [F.col(value)], {"__cum": F.col("__c")}, limit)
         sizes = merged.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-        placed = placed.join(sizes, keys)
+        placed = null_safe_join(placed, sizes, keys)
         picks = []
         for name, p in probabilities.items():
             at = (F.col("__n") - 1) * F.lit(p)

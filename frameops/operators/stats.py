@@ -83,13 +83,13 @@ def win_tie_loss(rows: DataFrame, keys: Sequence[str] = (), difference: str = "d
 
 
 def _poisson_one(uniform: Column) -> Column:
-    """Poisson(1) draw by inversion of a uniform; the tail beyond 12 has no mass in 53 bits of practice."""
+    """Poisson(1) draw by inversion of a uniform of 53 bits; the tail beyond 18 is below its resolution."""
     total, term, draw = 0.0, math.exp(-1.0), F
-    for k in range(12):
+    for k in range(18):
         total += term
         draw = draw.when(uniform < total, F.lit(k))
         term /= k + 1
-    return draw.otherwise(F.lit(12))
+    return draw.otherwise(F.lit(18))
 
 
 def bootstrap_means(rows: DataFrame, keys: Sequence[str], case: str, value: str, resamples: int = 1000, seed: int = 20260712,

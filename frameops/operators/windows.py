@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameops.operators.scale import GROUP_LIMIT, exact_quantiles, running_totals, top_k
+from frameops.operators.scale import GROUP_LIMIT, exact_quantiles, null_safe_join, running_totals, top_k
 
 
 def dense_rank_scores(rows: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
@@ -58,9 +58,9 @@ def pct_dense_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "
     distinct = df.select(*keys, value).distinct()
     n = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running_totals(distinct, keys, [F.col(value).desc()], {"__r": F.lit(1)})
-    ranked = ranked.join(n, keys) if keys else ranked.crossJoin(F.broadcast(n))
+    ranked = null_safe_join(ranked, n, keys) if keys else ranked.crossJoin(F.broadcast(n))
     share = F.round(F.col("__r") / F.col("__n"), 3).alias(name)
-    return df.join(ranked.select(*keys, value, share), [*keys, value])
+    return null_safe_join(df, ranked.select(*keys, value, share), [*keys, value])
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

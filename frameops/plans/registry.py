@@ -15,12 +15,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: From here on a double's sixth decimal is noise; NaN and infinities compare as larger than it in both engines.
+UNROUNDED = 1e9
+
+
 def r6(value):
     """Six decimals, computed with the same arithmetic in Spark and in SQL.
 
-    The small excess over one half keeps decimal ties on one side in both.
+    The small excess over one half keeps decimal ties on one side in both. Values of at least ``UNROUNDED`` in size, NaN and
+    infinities pass unchanged, nulls stay null, and a negative zero becomes zero.
     """
-    return F.floor(value * F.lit(1e6) + F.lit(0.5003)) / F.lit(1e6)
+    rounded = F.floor(value * F.lit(1e6) + F.lit(0.5003)) / F.lit(1e6)
+    return F.when(F.abs(value) >= F.lit(UNROUNDED), value).otherwise(rounded)
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -57,7 +63,8 @@ def build_sql(body: str, ctes: str = "", dbl: str = "", big: str = "") -> str:
     """Prefix the view definitions ``body`` uses and fix the result types."""
     views = [f"{n} AS MATERIALIZED ({SQL_VIEWS[n]})" for n in _needed_views(body + " " + ctes)]
     parts = views + ([ctes] if ctes.strip() else [])
-    fixes = [f"(floor(CAST({c} AS DOUBLE) * 1e6 + CAST(0.5003 AS DOUBLE)) / 1e6) AS {c}" for c in dbl.split()]
+    rounded = "CASE WHEN abs(CAST({0} AS DOUBLE)) >= 1e9 THEN CAST({0} AS DOUBLE) ELSE floor(CAST({0} AS DOUBLE) * 1e6 + CAST(0.5003 AS DOUBLE)) / 1e6 END AS {0}"
+    fixes = [rounded.format(c) for c in dbl.split()]
     fixes += [f"CAST({c} AS BIGINT) AS {c}" for c in big.split()]
     star = f"* REPLACE ({', '.join(fixes)})" if fixes else "*"
     recursive = "RECURSIVE " if "rec" in ctes else ""

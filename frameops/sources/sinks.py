@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -22,8 +23,29 @@ def write_union(tables: Sequence[DataFrame], path: str) -> None:
 
 
 def write_atomic(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite; readers see nothing before the commit of the job."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Replace a table. The new rows are complete in a folder beside it before the old ones go.
+
+    A failing job leaves the old table as it is, and ``df`` may read the table it replaces. Between the two renames of the swap
+    readers find no table; on a store whose renames copy, use a versioned path instead.
+    """
+    spark = df.sparkSession
+    fresh, old = (f"{path.rstrip('/')}__{name}_{uuid.uuid4().hex}" for name in ("new", "old"))
+    places = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, old)]
+    files = places[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    target, source, aside = places
+    try:
+        df.write.partitionBy(*partition_by).parquet(fresh)
+    except Exception:
+        files.delete(source, True)
+        raise
+    had = files.exists(target)
+    if had and not files.rename(target, aside):
+        raise OSError(f"can't move {path} aside")
+    if not files.rename(source, target):
+        if had:
+            files.rename(aside, target)
+        raise OSError(f"can't move {fresh} to {path}")
+    files.delete(aside, True)
 
 
 def decision_log(df: DataFrame, path: str) -> None:

@@ -1,13 +1,21 @@
 import hashlib
+import random
 
+import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameops.lineage import scratch
 from frameops.operators import joins as J
 from frameops.operators import quality as Q
 from frameops.operators import sampling as P
+from frameops.operators.features import quantile_cues
+from frameops.operators.scale import split_hot, top_k
+from frameops.operators.windows import pct_dense_rank
+from frameops.plans.registry import build_sql, r6
 from frameops.sources import scans, sinks
+from frameops.sources.sinks import write_atomic
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +44,77 @@ def test_chained_subsets_are_disjoint(frames):
         Q.assert_disjoint({"one": parts["one"], "again": parts["one"]}, "relative_path")
 
 
+def lightest_first(sizes, k):
+    loads, folds = [0] * k, {}
+    for group, n in sorted(sizes.items(), key=lambda item: (-item[1], item[0] is not None, item[0])):
+        fold = loads.index(min(loads))
+        loads[fold] += n
+        folds[group] = fold + 1
+    return folds
+
+
 @pytest.mark.parametrize("limit", [10_000, 2])
-def test_group_folds_never_split_a_group(frames, limit):
-    rows = P.group_kfold(frames.withColumn("g", F.col("image_id") % 13), "g", 4, limit)
-    assert rows.count() == 300 and rows.groupBy("g").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+def test_group_folds_are_those_of_the_lightest_fold(spark, limit):
+    groups = [g for g in [None, *range(40)] for _ in range(1 + (7 * (g or 5)) % 9)] + [99] * 60
+    rows = P.group_kfold(spark.createDataFrame([(g,) for g in groups], "g int").repartition(3), "g", 4, limit).collect()
+    want = lightest_first({g: groups.count(g) for g in set(groups)}, 4)
+    assert len(rows) == len(groups) and all(want[r.g] == r.fold for r in rows)
+
+
+def test_fold_segments_equal_single_steps():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [(n, rng.randrange(1, 30)) for n in sorted(rng.sample(range(1, 60), rng.randrange(1, 6)), reverse=True)]
+        k = rng.randrange(1, 6)
+        segments = P.fold_segments(sizes, k)
+        got = []
+        for size, n in sizes:
+            for rank in range(n):
+                start, folds = [(r, f) for s, r, f in segments if s == size and r <= rank][-1]
+                got.append(folds[(rank - start) % len(folds)])
+        ids = [(size, i) for size, n in sizes for i in range(n)]
+        assert got == list(lightest_first(dict.fromkeys(ids, 0) | {i: i[0] for i in ids}, k).values())
+        assert len(segments) <= len(sizes) * (k + 1)
+
+
+def test_large_ranks_split_a_hot_stratum(spark):
+    rows = spark.range(3000).withColumn("s", F.when(F.col("id") % 3 == 0, "a"))
+    got = top_k(rows, ["s"], [F.col("id")], 1500, "r")
+    rank = F.row_number().over(Window.partitionBy("s").orderBy("id"))
+    want = rows.withColumn("r", rank).filter("r <= 1500")
+    assert {(r.id, r.r) for r in got.collect()} == {(r.id, r.r) for r in want.collect()}
+
+
+def test_atomic_write_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    write_atomic(spark.range(5), path)
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        write_atomic(broken, path)
+    assert spark.read.parquet(path).count() == 5
+    write_atomic(spark.read.parquet(path).filter("id > 1"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_output_rounding(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -0.0, 1e15, -3.0e13, 0.1234564, 0.1234565, -2.5, 123456.1234567]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(r6(F.col("v"))).collect()]
+    assert str(got) == str([None, float("nan"), float("inf"), float("-inf"), 0.0, 1e15, -3.0e13, 0.123456, 0.123457, -2.5, 123456.123457])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    assert str([r[0] for r in con.execute(build_sql("SELECT v FROM t", dbl="v")).fetchall()]) == str(got)
+
+
+def test_null_keys_stay(spark):
+    rows = spark.createDataFrame([(None, 1.0), ("a", None), ("a", 2.0), (None, 3.0)], "k string, v double")
+    assert pct_dense_rank(rows, ["k"], "v").count() == 4
+    cues = spark.createDataFrame([(None, 1.0, 1.0, 1.0), ("a", None, 2.0, 1.0), ("b", 2.0, 1.0, 3.0)], "p string, sharp double, bright double, dense double")
+    assert quantile_cues(cues, "p", "sharp", "bright", "dense").count() == 3
+    hot = rows.select("k").distinct().filter("k IS NULL")
+    cold, inside = split_hot(rows, ["k"], hot)
+    assert cold.count() == 2 and inside.count() == 2
 
 
 @pytest.mark.parametrize("limit", [10**6, 50])
