@@ -340,14 +340,26 @@ rt_m AS (SELECT *, CASE WHEN face_count = 0 AND face_risk = 'none' AND NOT text
 
 
 @query("d23_objective_router", """SELECT image_id, objective, selected_method,
+  CASE WHEN selected_method = 'copy' AND (objective <> 'multimodal_risk' OR face_risk = 'none') THEN 'copy_without_privacy_action' WHEN selected_method = 'copy' THEN 'copy_without_face_action'
+    WHEN selected_method = 'solid_mask' THEN CASE WHEN text OR screen THEN 'face_anonymisation_plus_multimodal_demo_redaction' ELSE 'face_anonymisation_solid_mask' END
+    WHEN selected_method = 'layered' AND objective <> 'compute_profile_adaptive' THEN 'face_anonymisation_layered' ELSE 'face_anonymisation_blur' END AS selected_action,
+  CASE WHEN quiet THEN 'not_applicable_no_detected_or_reviewed_risk' WHEN selected_method = 'pixelate' THEN 'bounded_low_privacy_utility_mode' ELSE 'passed_by_confirmatory_or_privacy_first_method' END AS privacy_floor_status,
+  CASE WHEN quiet THEN 'preserved' WHEN objective IN ('utility_priority', 'utility_under_privacy_floor') THEN CASE selected_method WHEN 'solid_mask' THEN 'utility_deprioritized_due_to_non_face_privacy_risk' WHEN 'pixelate' THEN 'high_utility_low_privacy' ELSE 'privacy_floor_prevents_pixelate' END ELSE 'not_optimized' END AS utility_status,
+  CASE WHEN objective = 'runtime_aware' AND NOT quiet THEN 'fast_deterministic_method_selected' ELSE 'within_local_deterministic_budget' END AS runtime_status,
+  CASE WHEN quiet THEN 'not_applicable' ELSE 'passed_for_deterministic_method' END AS quality_gate_status,
+  CASE WHEN quiet THEN 'demo' WHEN selected_method = 'pixelate' THEN 'bounded' ELSE 'confirmatory' END AS evidence_level,
+  CASE WHEN objective = 'privacy_first' AND selected_method = 'solid_mask' THEN 'high_cost' WHEN selected_method = 'pixelate' THEN 'low_cost' ELSE 'medium' END AS expected_utility_cost,
+  selected_method NOT IN ('copy', 'pixelate') AND face_count = 0 AND face_risk <> 'none' AS unseen_risk,
   3 + (objective IN ('utility_priority', 'utility_under_privacy_floor'))::INT + (profile = 'stronger_accelerator_constrained_compute' AND face_count >= 1 AND dominant_height >= 150)::INT AS n_eligible,
-  CASE WHEN profile IN ('low_vram_local_gpu', 'stronger_accelerator_constrained_compute') AND face_count = 1 AND dominant_height >= 180 THEN 'demographic_and_quality_gate_required' WHEN blurred THEN 'source_quality_gate'
-    WHEN profile IN ('cpu_or_very_low_resource', 'unknown_or_unstable_profile') THEN 'compute_profile_gate' ELSE 'quality_and_runtime_limited' END AS nullface_reason,
-  5 + (selected_method IN ('pixelate', 'solid_mask', 'layered'))::INT AS n_rejected, concat_ws('|', CASE WHEN text THEN 'text_redaction' END, CASE WHEN screen THEN 'screen_redaction' END) AS actions FROM rt_m""",
+  CASE WHEN profile IN ('low_vram_local_gpu', 'stronger_accelerator_constrained_compute') AND face_count = 1 AND dominant_height >= 180 THEN 'requires_apparent_demographic_and_quality_gate_before_promotion' WHEN blurred THEN 'rejected_by_source_quality_gate'
+    WHEN profile IN ('cpu_or_very_low_resource', 'unknown_or_unstable_profile') THEN 'not_eligible_for_current_compute_profile' ELSE 'full_metric_but_quality_and_runtime_limited_non_default' END AS nullface_reason,
+  8 + (selected_method IN ('pixelate', 'solid_mask', 'layered'))::INT AS n_rejected, concat_ws('|', CASE WHEN text THEN 'text_redaction_demo_region' END, CASE WHEN screen THEN 'screen_redaction_demo_region' END) AS actions
+  FROM (SELECT *, face_count = 0 AND face_risk = 'none' AND NOT text AND NOT screen AS quiet FROM rt_m)""",
        ctes=ROUTER, big="n_eligible n_rejected")
 def _(v):
     out = D.objective_router(router_rows(v))
-    return out.select("image_id", "objective", "selected_method", F.size("eligible_methods").alias("n_eligible"), C("rejected_methods")["nullface"].alias("nullface_reason"),
+    return out.select("image_id", "objective", "selected_method", "selected_action", "privacy_floor_status", "utility_status", "runtime_status", "quality_gate_status", "evidence_level", "expected_utility_cost",
+                      (C("residual_risk") == D.RISK_WITHOUT_BOXES).alias("unseen_risk"), F.size("eligible_methods").alias("n_eligible"), C("rejected_methods")["NullFace"].alias("nullface_reason"),
                       F.size("rejected_methods").alias("n_rejected"), F.array_join("multimodal_actions", "|").alias("actions"))
 
 
