@@ -206,10 +206,10 @@ def _(v):
     return K.resume_pairs(m.select("image_id", "method"), done, ["image_id", "method"])
 
 
-@query("k06_partition_by_subgroup", "SELECT subgroup, count(*) AS n FROM membership WHERE subgroup IN ('no_face', 'large_face', 'high_clutter') GROUP BY subgroup")
+@query("k06_partition_by_subgroup", f"SELECT subgroup, count(*) AS n FROM membership WHERE subgroup IN ({', '.join(repr(k) for k in LABELS)}) GROUP BY subgroup")
 def _(v):
     path = scratch(v.spark, "subgroups")
-    K.partition_by_subgroup(v.conditions.select("image_id", *LABELS), [(k, C(k) == 1) for k in ("no_face", "large_face", "high_clutter")], path)
+    K.partition_by_subgroup(v.conditions.select("image_id", *LABELS), [(k, C(k) == 1) for k in LABELS], path)
     return v.spark.read.parquet(path).groupBy("subgroup").agg(F.count(F.lit(1)).alias("n"))
 
 

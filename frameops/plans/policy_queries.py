@@ -75,10 +75,9 @@ def _(v):
     return subgroup_scores(v).select("source", "subgroup", D.f2_deploy_score(C("precision"), C("recall"), C("zero_face_specificity")).alias("score"))
 
 
-@query("d09_mm_detection_score", "SELECT image_id, 0.40 * ssim + 0.25 * reid_a + 0.15 * face_region_utility + 0.10 * background_preservation + 0.10 * success AS score FROM scored_metrics WHERE method = 'blur'", dbl="score")
+@query("d09_mm_detection_score", "SELECT image_id, method, 0.40 * ssim + 0.25 * reid_a + 0.15 * face_region_utility + 0.10 * background_preservation + 0.10 * success AS score FROM scored_metrics", dbl="score")
 def _(v):
-    rows = v.scored_metrics.filter(C("method") == "blur")
-    return rows.select("image_id", D.mm_detection_score(C("ssim"), C("reid_a"), C("face_region_utility"), C("background_preservation"), C("success")).alias("score"))
+    return v.scored_metrics.select("image_id", "method", D.mm_detection_score(C("ssim"), C("reid_a"), C("face_region_utility"), C("background_preservation"), C("success")).alias("score"))
 
 
 MODAL = """modal AS MATERIALIZED (SELECT q.image_id, f.width % 1000 // 800 + (q.text_score >= 30)::INT AS gt_text, (q.text_score >= 25)::INT AS pred_text, (q.screen_score >= 0.2)::INT * 2 AS gt_screen, (q.screen_score >= 0.25)::INT AS pred_screen,
@@ -481,15 +480,15 @@ def _(v):
     return R.failure_rates(ledger(v))
 
 
-@query("a23_residual_summary", """SELECT view_type, count(*) AS n_images, avg(CASE WHEN text_missed THEN 1.0 ELSE 0.0 END) AS text_missed_rate, avg(CASE WHEN screen_missed THEN 1.0 ELSE 0.0 END) AS screen_missed_rate, avg(CASE WHEN text_missed OR screen_missed THEN 1.0 ELSE 0.0 END) AS any_flag_rate,
+@query("a23_residual_summary", """SELECT view_type, method, count(*) AS n_images, avg(CASE WHEN text_missed THEN 1.0 ELSE 0.0 END) AS text_missed_rate, avg(CASE WHEN screen_missed THEN 1.0 ELSE 0.0 END) AS screen_missed_rate, avg(CASE WHEN text_missed OR screen_missed THEN 1.0 ELSE 0.0 END) AS any_flag_rate,
   avg(privacy_score) AS mean_privacy, avg(utility_score) AS mean_utility, avg(CASE WHEN privacy_score <= 0.01 THEN 1.0 ELSE 0.0 END) AS privacy_near_zero_rate FROM (
-  SELECT f.view_type, m.gt_text > 0 AND m.pred_text = 0 AS text_missed, m.gt_screen > 0 AND m.pred_screen = 0 AS screen_missed, s.privacy_score, s.utility_score FROM modal m JOIN frames f USING (image_id) JOIN scored_metrics s ON s.image_id = m.image_id AND s.method = 'blur') GROUP BY view_type""",
+  SELECT f.view_type, s.method, m.gt_text > 0 AND m.pred_text = 0 AS text_missed, m.gt_screen > 0 AND m.pred_screen = 0 AS screen_missed, s.privacy_score, s.utility_score FROM modal m JOIN frames f USING (image_id) JOIN scored_metrics s ON s.image_id = m.image_id) GROUP BY view_type, method""",
        ctes=MODAL, dbl="text_missed_rate screen_missed_rate any_flag_rate mean_privacy mean_utility privacy_near_zero_rate")
 def _(v):
     rows = modal(v).withColumns({"text_missed": (C("gt_text") > 0) & (C("pred_text") == 0), "screen_missed": (C("gt_screen") > 0) & (C("pred_screen") == 0)})
-    scored = v.scored_metrics.filter(C("method") == "blur").select("image_id", "privacy_score", "utility_score")
+    scored = v.scored_metrics.select("image_id", "method", "privacy_score", "utility_score")
     rows = rows.join(v.frames.select("image_id", "view_type"), "image_id").join(scored, "image_id")
-    return R.residual_summary(rows, ["text_missed", "screen_missed"], ["view_type"])
+    return R.residual_summary(rows, ["text_missed", "screen_missed"], ["view_type", "method"])
 
 
 @query("a24_review_field_counts", """SELECT field, value, count(*) AS count FROM (SELECT 'camera_stream_id' AS field, camera_stream_id AS value FROM frames UNION ALL SELECT 'view_type', view_type FROM frames UNION ALL SELECT 'integrity_status', integrity_status FROM frames) GROUP BY ALL""")
