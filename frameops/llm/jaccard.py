@@ -39,7 +39,7 @@ SHINGLE = 5
 #: Slots of the list length sketch, and the count from which a list is ordered by its length.
 SKETCH_SLOTS, LONG_LIST = 1 << 20, 32
 #: Words of text in which repeats of a shingle are counted, and the repeats that are reported.
-COUNT_WORDS, REPEATS = 2_000_000, 3
+COUNT_WORDS, REPEATS = 1_000_000, 3
 #: Rows of a list that meet in one block.
 BLOCK_ROWS = 512
 
@@ -251,8 +251,9 @@ def _block_pairs(first_only: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
                 found.append((active[fit], other[fit]))
         left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         # the same two documents may meet in several lists of the table
-        pair = np.stack([np.minimum(cols["doc"][left], cols["doc"][right]), np.maximum(cols["doc"][left], cols["doc"][right])])
-        once = np.sort(np.unique(pair, axis=1, return_index=True)[1]) if len(left) else np.zeros(0, np.int64)
+        names, number = np.unique(cols["doc"], return_inverse=True)
+        code = np.minimum(number[left], number[right]) * len(names) + np.maximum(number[left], number[right])
+        once = np.sort(np.unique(code, return_index=True)[1])
         once = once[_may_link(n, parity, left[once], right[once])] if len(once) else once
         rest = once[:0]
         if first_only:
@@ -260,12 +261,13 @@ def _block_pairs(first_only: bool, batches: Iterator[pa.RecordBatch]) -> Iterato
             once, rest = once[chosen], np.delete(once, chosen)
         rest = np.unique(cols["shingle"][left[rest]])
         none = pa.nulls(len(rest), pa.int64())
-        columns = [pa.concat_arrays([pa.array(pair[i][once]), none]) for i in (0, 1)] + [pa.concat_arrays([pa.nulls(len(once), pa.int64()), pa.array(rest)])]
+        pair = [pa.array(names[part]) for part in np.divmod(code[once], len(names))]
+        columns = [pa.concat_arrays([part, none]) for part in pair] + [pa.concat_arrays([pa.nulls(len(once), pa.int64()), pa.array(rest)])]
         yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shingle"])
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, and the set's signature sig_a, sig_b."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, the set's signature sig_a, sig_b, and the component's name in group."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -308,11 +310,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     whole = found.join(leads.select("node", "doc_id"), "node")
     lowest = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = leads.join(whole.select("node", "component"), "node", "left").join(lowest, "component", "left")
-    named = named.select("sig_a", "sig_b", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select("sig_a", "sig_b", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("group"))
     # an empty set meets nothing: its signature is no key
     key = [F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("sig_a", "sig_b")]
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), *key).join(named, ["sig_a", "sig_b"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sig_a", "sig_b")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "sig_a", "sig_b", "group")
 
 
 def _open_blocks(lists: DataFrame, found: DataFrame, info: DataFrame) -> DataFrame:
@@ -350,7 +352,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     taken = {c.lower() for c in docs.columns}
     size, a, b = ("_" * max(map(len, taken)) + c for c in ("n", "sig_a", "sig_b"))
     several = add_columns(docs.join(repeated, "doc_id", "left_semi"), f"{size} long, {a} long, {b} long", sign)
-    lead = found.join(repeated, "doc_id", "left_semi").where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct(F.col("sig_a").alias(a), F.col("sig_b").alias(b))).alias("lead")).select("doc_id", "lead.*")
+    lead = found.join(repeated, "doc_id", "left_semi").where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id", "group").agg(F.min(F.struct(F.col("sig_a").alias(a), F.col("sig_b").alias(b))).alias("lead")).select("doc_id", "lead.*")
     chosen = several.where(F.col(size) > 0).join(lead, ["doc_id", a, b], "left_semi").dropDuplicates(["doc_id", a, b])
     return stay.unionByName(chosen.select(docs.columns)).unionByName(several.where(F.col(size) == 0).select(docs.columns))
 

@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the session has a number of its own: a row may hold a long text or set."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def add_columns(docs: DataFrame, added: str, compute: Callable[[pa.RecordBatch], dict[str, list]], start: Callable[[], None] | None = None) -> DataFrame:
     """All columns of ``docs`` plus the columns ``added`` (a DDL schema) that ``compute`` returns for a batch.
 
     An input column with the name of an added one gives way to it. Rows keep their partition; nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     new = T.StructType.fromDDL(added)
     names = {f.name.lower() for f in new}
     kept = [f for f in docs.schema if f.name.lower() not in names]

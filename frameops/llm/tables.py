@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frameops.llm.rows import small_batches
+
 #: Links that one task may hold.
 TASK_LINKS = 500_000
 
@@ -34,6 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark, self.root, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 

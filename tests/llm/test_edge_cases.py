@@ -14,7 +14,7 @@ LONG = "word " * 20_000
 HUGE = "x" * 300_000
 COMMON = " ".join(f"w{i}" for i in range(80))
 ROWS = [
-    (1, None), (2, ""), (3, " \n\t "), (4, COMMON), (4, COMMON), (5, COMMON), (6, "a different text of id six"), (6, "and one more of id six"), (None, COMMON), (None, None),
+    (1, None), (2, ""), (3, " \n\t "), (4, COMMON), (4, COMMON), (5, COMMON), (6, "a different text of id six"), (6, "one more of id six"), (None, COMMON), (None, None),
     (7, LONG), (8, HUGE), (9, "Ünï ñ 中文 \U0001f600"), (10, "mail bob@example.com or +1 (838) 555-9577 now"), (11, "!!! ???"), (2, ""),
 ]
 
@@ -68,7 +68,7 @@ def test_decontaminate(odd, none, benchmark):
     assert found.count() == len(ROWS) and dict(found.dtypes)["score"] == "string"
     rows = {(r.doc_id, r.text): r for r in found.collect()}
     assert rows[4, COMMON].n_hit == 20 and rows[4, COMMON]["items"] == ["0"] and [tuple(s) for s in rows[4, COMMON].hit_spans] == [(20, 40)]
-    assert rows[6, "a different text of id six"]["items"] == ["3"] and rows[6, "and one more of id six"]["items"] == ["", "3"]
+    assert rows[6, "a different text of id six"]["items"] == ["3"] and rows[6, "one more of id six"]["items"] == ["", "3"]
     assert rows[1, None].n_words == 0 and not rows[1, None].contaminated and rows[7, LONG].n_words == 20_000
     assert decontaminate.decontaminate(none, benchmark).count() == 0
     clean = decontaminate.decontaminate(odd, benchmark.limit(0))
