@@ -22,7 +22,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Columns of ``docs`` are set aside under other names, so that none clashes with one that ``judge`` adds."""
     aside = {c: f"column{i}_of_documents" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    return judge(docs.withColumnsRenamed(aside)).withColumnsRenamed({new: old for old, new in aside.items()}).select(docs.columns)
+    return judge(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
