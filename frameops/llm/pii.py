@@ -1,15 +1,17 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that adds what repeats them.
 
 Base spans are those of four patterns over the whole text. Nodes of the field are the tokens between white space that hold a
-digit or an at sign, labelled with a kind or as other. Neighbouring tokens share a chain potential. Tokens that repeat, or that
-share a run of at least four digits or the name before an at sign, share a skip potential with the one before them, however
-far away. Loopy message passing finds the marginals of each document. A token outside all base spans becomes a span when its
-marginal for a kind reaches ``ADD`` and a skip edge joins it to a token in a base span of that kind. So a second mention without
-its prefix is found, and a document without base spans never gets any.
+digit or an at sign or are the name before the at sign of an address in the text, labelled with a kind or as other. Neighbouring
+tokens share a chain potential. Tokens that repeat, or that share a run of at least four digits or the name before an at sign,
+share a skip potential with the one before them and with the nearest ones in base spans on both sides, however far away. Loopy
+message passing finds the marginals of each document. A token outside all base spans becomes a span when its marginal for a kind
+reaches ``ADD`` and skip edges join it, over any number of tokens, to one in a base span of that kind. So every further mention
+without its prefix is found, and a document without base spans never gets any.
 
 Weights are fitted by pseudo-likelihood on a bounded sample of documents (``TRAIN_DOCS``), with the base spans as labels and with
 token features left out at random, so that the edges carry weight of their own. Tokens that repeat a part of a base span
-elsewhere have no label there.
+elsewhere have no label there. Names of addresses in other documents of the sample are nodes there, labelled as other, so that
+plain words that are names elsewhere have evidence against them.
 
 Defined results: a null or empty text has no spans; repeated rows are read one by one; every pattern takes time linear in the
 length of the text.
@@ -84,31 +86,41 @@ def _shape(token: str) -> str:
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1+", re.sub(r"[^\W\d_]", "a", re.sub(r"[0-9]", "9", token[:64])))
 
 
+def _core(raw: str) -> tuple[int, str]:
+    """A token without the punctuation around it, and where that starts in the token."""
+    core = raw.lstrip("\"'([{<,;:!?*#%&$|.")
+    return len(raw) - len(core), core.rstrip("\"')]}>,;:!?*#%&$|.")
+
+
+def _names(text: str, emails: list[Span]) -> set[str]:
+    """Names before the at signs of addresses, as they stand alone."""
+    return {_core(text[a : text.index("@", a)].lower())[1] for a, _, kind in emails if kind == "email"} - {""}
+
+
 class Nodes:
-    """Nodes, edges and base labels of one text."""
+    """Nodes, edges and base labels of one text. Tokens equal to one of ``names`` are nodes too."""
 
-    def __init__(self, text: str, base: list[Span]) -> None:
+    def __init__(self, text: str, base: list[Span], names: frozenset[str] = frozenset()) -> None:
         tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        place = [i for i, (a, b) in enumerate(tokens) if _NODE.search(text, a, b)]
+        names = names | _names(text, base)
+        place = [i for i, (a, b) in enumerate(tokens) if _NODE.search(text, a, b) or names and _core(text[a:b].lower())[1] in names]
         self.spans = []
-        features, chain, skips = [], [], []
-        last: dict[str, int] = {}
+        features, chain = [], []
+        holders: dict[str, list[int]] = {}
         for node, i in enumerate(place):
             raw = text[slice(*tokens[i])]
-            start = tokens[i][0] + len(raw) - len(raw.lstrip("\"'([{<,;:!?*#%&$|."))
-            core = text[start : tokens[i][1]].rstrip("\"')]}>,;:!?*#%&$|.")
+            skipped, core = _core(raw)
+            start = tokens[i][0] + skipped
             self.spans.append((start, start + len(core)))
             around = [_shape(text[slice(*tokens[j])]) if 0 <= j < len(tokens) else "" for j in (i - 1, i + 1)]
             shape = _shape(core)
             features.append([zlib.crc32(f.encode()) % _FEATURES for f in (f"s{shape}", f"p{around[0]}", f"n{around[1]}", f"d{min(sum(c.isdigit() for c in core), 20)}", f"b{around[0]}|{shape}", f"m{shape[:3]}")])
             if node and place[node - 1] == i - 1:
                 chain.append((node - 1, node))
-            keys = {core.lower()} | set(re.findall(r"[0-9]{4,}", core)) | ({core.lower().split("@")[0]} if "@" in core else set())
-            for earlier in sorted({last[k] for k in keys if k in last}):
-                skips.append((earlier, node))
-            last |= dict.fromkeys(keys, node)
+            keys = {core.lower()} | set(re.findall(r"[0-9]{4,}", core)) | ({core.lower().split("@")[0]} | _names(raw, _emails(raw)) if "@" in core else set())
+            for key in keys:
+                holders.setdefault(key, []).append(node)
         self.features = np.array(features, np.int64).reshape(-1, 6)
-        self.chain, self.skips = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, skips))
         self.label = np.zeros(len(place), np.int64)
         starts = [s for s, _ in self.spans]
         self.covered = np.zeros(len(place), bool)
@@ -119,10 +131,39 @@ class Nodes:
                 if x < b and y > a:
                     self.covered[node] = True
                     self.label[node] = 1 + KINDS.index(kind)
-        #: a token outside base spans that repeats one inside has no known label: it is what the field has to decide
+        skips = set()
+        for nodes in holders.values():
+            skips.update(zip(nodes, nodes[1:]))
+            for ordered in (nodes, nodes[::-1]):
+                inside = None
+                for node in ordered:
+                    if self.covered[node]:
+                        inside = node
+                    elif inside is not None:
+                        skips.add((min(inside, node), max(inside, node)))
+        self.chain, self.skips = (np.array(e, np.int64).reshape(-1, 2) for e in (chain, sorted(skips)))
+        #: kinds of base spans that skip edges join each token outside to, however many lie between
+        self.partner = self._partners()
+        #: such a token has no known label: it is what the field has to decide
         self.known = np.ones(len(place), bool)
-        for i, j in ((0, 1), (1, 0)):
-            self.known[self.skips[self.covered[self.skips[:, i]] & ~self.covered[self.skips[:, j]], j]] = False
+        self.known[list(self.partner)] = False
+
+    def _partners(self) -> dict[int, set[int]]:
+        parent = list(range(len(self.label)))
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for a, b in self.skips.tolist():
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        kinds: dict[int, set[int]] = {}
+        for node in np.flatnonzero(self.covered).tolist():
+            kinds.setdefault(root(node), set()).add(int(self.label[node]))
+        return {node: kinds[r] for node in np.flatnonzero(~self.covered).tolist() if (r := root(node)) in kinds}
 
 
 class Field:
@@ -197,19 +238,14 @@ class Field:
         if not base:
             return []
         d = Nodes(text, base)
-        across = d.skips[d.covered[d.skips[:, 0]] != d.covered[d.skips[:, 1]]]
-        if not len(across):
+        if not d.partner:
             return []
         p = self.marginals(d)
-        partner: dict[int, set[int]] = {}
-        for a, b in across.tolist():
-            inside, outside = (a, b) if d.covered[a] else (b, a)
-            partner.setdefault(outside, set()).add(int(d.label[inside]))
         found = []
-        for node in sorted(partner):
+        for node in sorted(d.partner):
             kind = int(p[node].argmax())
             start, end = d.spans[node]
-            if kind in partner[node] and p[node, kind] >= ADD and end > start and not any(a < end and b > start for a, b, _ in base):
+            if kind in d.partner[node] and p[node, kind] >= ADD and end > start and not any(a < end and b > start for a, b, _ in base):
                 found.append((start, end, KINDS[kind - 1]))
         return found
 
@@ -217,7 +253,9 @@ class Field:
 def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> Field:
     """Fit on the documents with a digit or an at sign in a hash sample of ``sample`` documents."""
     rows = hash_sample(docs.select("doc_id", "text"), sample, 3, F.col("text").rlike("[0-9@]"))
-    return Field().fit([Nodes(r.text, base_spans(r.text)) for r in rows.toLocalIterator()])
+    texts = [(r.text, base_spans(r.text)) for r in rows.toLocalIterator()]
+    names = frozenset().union(*(_names(text, base) for text, base in texts))
+    return Field().fit([Nodes(text, base, names) for text, base in texts])
 
 
 def joined(spans: list[Span]) -> str:

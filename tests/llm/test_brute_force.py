@@ -205,6 +205,20 @@ def test_second_mentions_become_spans():
     assert field.added("555-9577 and 555-9577", []) == []
 
 
+def test_every_further_mention_becomes_a_span():
+    again = ["", "+1 "]
+    texts = [f"at {i} mail user.{i}@mail.example.com, call +1 ({200 + i}) 555-{1000 + i} from 10.0.0.{i % 250}, later {again[i % 2]}({200 + i}) 555-{1000 + i} or user.{i}@example.org" for i in range(200)]
+    field = pii.Field().fit([pii.Nodes(t, pii.base_spans(t)) for t in texts])
+
+    def added(text):
+        return [(text[a:b], kind) for a, b, kind in field.added(text, pii.base_spans(text))]
+
+    later = "Then call 555-9577 again. "
+    assert added("Call +1 (838) 555-9577 now. " + 4 * later) == 4 * [("555-9577", "phone")]
+    assert added(3 * later + "Call +1 (838) 555-9577 now. " + later) == 4 * [("555-9577", "phone")]
+    assert added("Write to john.smith@example.com now. Later john.smith wrote, so ask (john.smith).") == 2 * [("john.smith", "email")]
+
+
 def test_chain_marginals_are_exact():
     chain = toxicity.Chain(np.array([5, 9], np.uint64), np.array([2.0, -1.0]), -0.7, np.array([[0.0, -1.2], [0.3, 0.8]]))
     hashes = np.array([1, 5, 2, 3, 9, 5, 1, 1, 1, 5], np.uint64)
