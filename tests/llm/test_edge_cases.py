@@ -116,6 +116,17 @@ def test_licences(odd, none):
     assert [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in found] == [(3, 1, "mit", True)]
 
 
+def test_variants_of_notices_in_the_sample_change_nothing(spark):
+    plain = [f"a{i} b{i % 7} went to see c{i % 11} about d{i % 13}" for i in range(300)]
+    variants = [f"Permission is hereby granted, free of charge, to any person obtaining a copy of part {i}" for i in range(40)]
+    lines = plain + variants + [licences.NOTICES["mit"][2]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    model = licences.train(docs)
+    assert model.threshold == 0.5 and {"permission", "granted", "copy"} <= set(model.cues)
+    found = licences.licence_paragraphs(docs, model).where("confirmed").collect()
+    assert (len(lines) - 1, "mit") in [(r.doc_id, r.family) for r in found]
+
+
 def test_passages(odd, none):
     got = {(r.doc_id, r.start, r.end, r.kept) for r in passages.repeated_passages(odd).collect()}
     assert got == {(4, 0, 80, True), (5, 0, 80, False)}
