@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, ties, empty tables and clashing column names in every operator and stage."""
 
+import textwrap
+
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +129,15 @@ def test_variants_of_notices_in_the_sample_change_nothing(spark):
     assert (len(lines) - 1, "mit") in [(r.doc_id, r.family) for r in found]
 
 
+def test_wrapped_notices(spark):
+    notices = [(family, text) for family, n in (("mit", 2), ("bsd", 0), ("gpl", 1)) for text in [licences.NOTICES[family][n]]]
+    wrapped = [(f, "\n".join(textwrap.wrap(t, width, initial_indent=mark, subsequent_indent=mark))) for f, t in notices for width, mark in ((72, ""), (48, "# "), (30, " * "))]
+    texts = [f"some words before\n\n{w}\n\nand more behind" for _, w in wrapped] + [f"{w}\n\n{w}" for _, w in wrapped]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = licences.licence_paragraphs(docs, licences.train(docs.limit(0))).where("confirmed").collect()
+    assert sorted((r.doc_id, r.family) for r in found) == sorted((i + k, f) for i, (f, _) in enumerate(wrapped) for k in (0, len(wrapped), len(wrapped)))
+
+
 def test_passages(odd, none):
     got = {(r.doc_id, r.start, r.end, r.kept) for r in passages.repeated_passages(odd).collect()}
     assert got == {(4, 0, 80, True), (5, 0, 80, False)}
