@@ -205,6 +205,29 @@ def test_second_mentions_become_spans():
     assert field.added("555-9577 and 555-9577", []) == []
 
 
+def test_deep_trees_keep_border_pairs():
+    rng = np.random.default_rng(7)
+
+    def units(n):
+        x = rng.standard_normal((n, 64))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    sample = units(31_250)
+    a, across = sample[:1000], units(1000)
+    across -= (across * a).sum(1, keepdims=True) * a
+    b = 0.931 * a + np.sqrt(1 - 0.931**2) * across / np.linalg.norm(across, axis=1, keepdims=True)
+    margin = neighbours.SPILL * np.sqrt(2 - 2 * neighbours.MIN_COSINE) / np.sqrt(64) / 2
+    leaf, met = iter(range(1, 1 << 31)), np.zeros(1000, bool)
+    for _ in range(neighbours.TREES):
+        leaves = [set() for _ in range(2000)]
+        # a table of 524,288 vectors: ten splits
+        for rows, name in neighbours.Tree(sample, 1024 * neighbours.LEAF_ROWS, margin, rng, leaf).route(np.concatenate([a, b])):
+            for row in rows.tolist():
+                leaves[row].add(name)
+        met |= [bool(leaves[i] & leaves[1000 + i]) for i in range(1000)]
+    assert met.mean() >= 0.999
+
+
 def test_every_further_mention_becomes_a_span():
     again = ["", "+1 "]
     texts = [f"at {i} mail user.{i}@mail.example.com, call +1 ({200 + i}) 555-{1000 + i} from 10.0.0.{i % 250}, later {again[i % 2]}({200 + i}) 555-{1000 + i} or user.{i}@example.org" for i in range(200)]
