@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +173,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_approximate_nearest_neighbours",
+    """
+    WITH v AS MATERIALIZED (
+        SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+    ), scored AS (
+        SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.e, c.e) AS score
+        FROM v q JOIN v c ON q.id % 20 = 0 AND q.id <> c.id AND len(q.e) = len(c.e)
+    )
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+    FROM scored QUALIFY rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
