@@ -193,3 +193,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.nearest import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Terms of the ranked search: the bytes of `alnum` words, upper case letters included.
+_TERMS = "coalesce(regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])".format(_LOWER.format("text"))
+
+
+@query(
+    "op13_ranked_lexical_search",
+    f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+    i AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS t FROM benchmark),
+    counts AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+    asked AS MATERIALIZED (SELECT i, term, count(*) AS many FROM (SELECT i, unnest(t) AS term FROM i) GROUP BY i, term),
+    held AS MATERIALIZED (
+        SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d)
+        WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, n, term
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, counts GROUP BY term, n_docs
+    ), scored AS (
+        SELECT i, r, doc_id, CAST(sum(many * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM asked JOIN held USING (term) JOIN weights USING (term), counts GROUP BY i, r, doc_id
+    )
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+    FROM scored JOIN i USING (i) WHERE score > 0 QUALIFY rank <= 20
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.lexical import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
