@@ -223,3 +223,49 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from frameops.llm.lexical import search
 
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: CRC-32 of a decimal number, byte by byte and bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ord(b) AS BIGINT) FOR b IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) FOR z IN range(8)]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query(
+    "op11_conversation_prefix_trie",
+    f"""
+    WITH t AS MATERIALIZED (
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS r
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32} % 9 AS h, count(*) AS n FROM t GROUP BY conv_id),
+    k AS MATERIALIZED (SELECT c.conv_id, c.base, c.h, c.n, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+    turns AS MATERIALIZED (
+        SELECT k.conv_id, r AS d, role, text FROM k JOIN t ON t.conv_id = k.base AND r <= h
+        UNION ALL SELECT k.conv_id, k.k + r - h, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND r > h
+    ), p AS MATERIALIZED (
+        SELECT conv_id, d, strlen(text) AS bytes, max(d) OVER (PARTITION BY conv_id) = d AS ends,
+            sha256(string_agg(concat(strlen(role), ':', role, strlen(text), ':', text), '' ) OVER (PARTITION BY conv_id ORDER BY d)) AS prefix
+        FROM turns
+        UNION ALL SELECT conv_id, 0, 0, conv_id NOT IN (SELECT conv_id FROM turns), '' FROM c
+    ), owned AS MATERIALIZED (SELECT *, min(conv_id) OVER (PARTITION BY d, prefix) AS owner FROM p),
+    nodes AS MATERIALIZED (
+        SELECT owner AS conv_id, d AS depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM owned GROUP BY owner, d
+    ), placed AS MATERIALIZED (
+        SELECT nodes.*, o.owner AS parent_conv_id FROM nodes LEFT JOIN owned o ON o.conv_id = nodes.conv_id AND o.d = nodes.depth - 1
+    ), children AS MATERIALIZED (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM placed WHERE depth > 0 GROUP BY ALL),
+    whole AS MATERIALIZED (SELECT placed.*, coalesce(children.n, 0) AS n_children FROM placed LEFT JOIN children USING (conv_id, depth)),
+    sums AS (
+        SELECT o.owner AS conv_id, o.d AS depth, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * w.bytes) AS saved_tokens
+        FROM whole w JOIN owned o ON o.conv_id = w.conv_id AND o.d <= w.depth GROUP BY ALL
+    )
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(depth AS BIGINT) AS depth, CAST(parent_conv_id AS BIGINT) AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs,
+        CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+    FROM whole JOIN sums USING (conv_id, depth)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from frameops.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
