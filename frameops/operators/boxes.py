@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameops.functions.geometry import CORNERS, area, clamp_box, has_area, intersection, postfilter_drop, side_x, side_y
+from frameops.lineage import cut
 from frameops.operators.greedy import IMAGE_LIMIT, grid_pairs, suppress
 from frameops.operators.matching import average_precision, f_score, match_greedy, ratio, with_rates
 from frameops.operators.scale import top_k
+from frameops.operators.sweeps import grid_scores, passing, per_point, signed_rows, trigger_scores
 
 
 def by_score() -> list[Column]:
@@ -130,73 +132,65 @@ def fallback_by_signal(primary, fallback, frames, threshold: float = 0.5, scale:
     return fallback_merge(primary, fallback, signals.filter("fallback_triggered"), threshold, scale)
 
 
-def label_subsets(spark, labels: Sequence[str]) -> DataFrame:
-    """All non-empty subsets of a short label list, as (subset_id, label) rows."""
-    n = len(labels)
-    ids = spark.range(1, 2**n).withColumnRenamed("id", "subset_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(v).alias("label")) for i, v in enumerate(labels)]))
-    rows = ids.select("subset_id", pairs.alias("p"))
-    return rows.filter(F.expr("(subset_id >> p.bit) & 1") == 1).select("subset_id", F.col("p.label").alias("label"))
+def _truth_total(gt: DataFrame) -> DataFrame:
+    return gt.agg(F.count(F.lit(1)).alias("ground_truth_boxes"))
 
 
-def _rows_per_grid(unaffected: DataFrame, grid: DataFrame) -> DataFrame:
-    return unaffected.crossJoin(F.broadcast(grid.select("grid_id")))
+def postfilter_points(margins: Sequence[int], sides: Sequence[int], scores: Sequence[float]) -> list[tuple]:
+    return [(m, s, t) for m in margins for s in sides for t in scores]
 
 
-def _scored_grid(rows: DataFrame, grid: DataFrame, n_gt: DataFrame, at_most: int) -> DataFrame:
-    truth = F.broadcast(grid.select("grid_id")).crossJoin(n_gt)
-    return average_precision(rows, truth, ["grid_id"], at_most=at_most)
+#: The grid of edge margins, least sides and highest scores.
+MARGINS, SIDES, TOP_SCORES = (0, 8, 16, 24, 32), (160, 200, 240, 280, 320, 360, 400), (0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65)
+#: The grid of fallback triggers.
+SIZE_THRESHOLDS, CENTER_THRESHOLDS, TEXT_THRESHOLDS = (24.0, 32.0, 48.0, 64.0, 96.0, 128.0), (0.60, 0.62, 0.65, 0.68), (8.0, 12.0, 14.0, 18.0)
 
 
-def _truth_total(gt: DataFrame) -> DataFrame:
-    return gt.agg(F.count(F.lit(1)).alias("ground_truth_boxes"))
+def dropped_at(pred: DataFrame, points: Sequence[tuple], width: int = 3840, height: int = 2160) -> DataFrame:
+    """Boxes that some point of an edge/size/score grid drops, with the array ``grids`` of those points."""
+    margins, sides, scores = zip(*points)
+    droppable = pred.filter(postfilter_drop(max(margins), min(sides), max(scores), width, height))
+    grids = passing(list(points), ["m", "s", "t"], lambda m, s, t: postfilter_drop(m, s, t, width, height))
+    return droppable.withColumn("grids", grids).filter(F.size("grids") > 0)
 
 
-def _variant_rows(base_matches: DataFrame, merged: DataFrame, grid_images: DataFrame, gt: DataFrame,
-                  grid: DataFrame) -> DataFrame:
-    """Match rows per grid point: the merged set on its (grid, image) pairs, the base set elsewhere."""
-    columns = ["grid_id", "image_id", "pred_id", "score", "true_positive"]
-    merged_rows = match_greedy(merged, gt, extra=["variant"]).select(
-        "variant", "image_id", "pred_id", "score", "true_positive")
-    chosen = grid_images.select("grid_id", "image_id", "variant").join(merged_rows, ["image_id", "variant"])
-    rest = _rows_per_grid(base_matches, grid).join(
-        grid_images.select("grid_id", "image_id"), ["grid_id", "image_id"], "left_anti")
-    return chosen.select(*columns).unionByName(rest.select(*columns))
+def removed_per_point(pred: DataFrame, points: Sequence[tuple], width: int = 3840, height: int = 2160) -> DataFrame:
+    """Rows and removed rows per grid point."""
+    ids = pred.sparkSession.range(len(points)).withColumnRenamed("id", "grid_id")
+    removed = per_point(dropped_at(pred, points, width, height), {"removed": F.lit(1)}, ids)
+    return removed.crossJoin(F.broadcast(pred.agg(F.count(F.lit(1)).alias("rows"))))
 
 
-def sweep_postfilter(pred: DataFrame, gt: DataFrame, margins: Sequence[int] = (0, 8, 16, 24, 32),
-                     sides: Sequence[int] = (160, 200, 240, 280, 320, 360, 400),
-                     scores: Sequence[float] = (0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65),
-                     width: int = 3840, height: int = 2160) -> DataFrame:
+def sweep_postfilter(pred: DataFrame, gt: DataFrame, margins: Sequence[int] = MARGINS, sides: Sequence[int] = SIDES,
+                     scores: Sequence[float] = TOP_SCORES, width: int = 3840, height: int = 2160) -> DataFrame:
     """Scores for every point of an edge/size/score filter grid, with deltas to no filter.
 
     Boxes are matched once without a filter.  Only images that lose a box at
-    some grid point are matched again, once per distinct set of lost boxes.
+    some grid point are matched again, once per distinct set of lost boxes, and
+    what that changes goes into the scores as signed rows.
     """
     spark = pred.sparkSession
-    points = [(i, m, s, t) for i, (m, s, t) in enumerate((m, s, t) for m in margins for s in sides for t in scores)]
-    grid = spark.createDataFrame(points, "grid_id bigint, edge_margin_px bigint, large_min_side_px bigint, max_score double")
-    base = match_greedy(pred, gt).select("image_id", "pred_id", "score", "true_positive")
-    loosest = postfilter_drop(max(margins), min(sides), max(scores), width, height)
-    droppable = pred.filter(loosest).crossJoin(F.broadcast(grid)).filter(
-        postfilter_drop(F.col("edge_margin_px"), F.col("large_min_side_px"), F.col("max_score"), width, height))
+    points = postfilter_points(margins, sides, scores)
+    n = len(points)
+    grid = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "grid_id bigint, edge_margin_px bigint, large_min_side_px bigint, max_score double")
+    base = cut(match_greedy(pred, gt).select("image_id", "pred_id", "score", "true_positive"))
+    droppable = cut(dropped_at(pred, points, width, height).select("image_id", "pred_id", "grids"))
     # the lost boxes of one image at one grid point, as an order-free fingerprint
-    lost = droppable.select("grid_id", "image_id", "pred_id").groupBy("grid_id", "image_id").agg(
+    lost = droppable.select("image_id", "pred_id", F.explode("grids").alias("grid_id")).groupBy("image_id", "grid_id").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("pred_id")).alias("h1"),
         F.bit_xor(F.xxhash64("pred_id", F.lit(1))).alias("h2"))
     lost = lost.withColumn("variant", F.concat_ws(":", "n", "h1", "h2"))
-    first = lost.groupBy("image_id", "variant").agg(F.min("grid_id").alias("grid_id"))
-    dropped = droppable.select("grid_id", "image_id", "pred_id").join(first, ["grid_id", "image_id"], "left_semi")
-    again = pred.join(first, "image_id").join(dropped, ["grid_id", "image_id", "pred_id"], "left_anti").drop("grid_id")
-    rows = _variant_rows(base, again, lost, gt, grid)
-    n_gt = _truth_total(gt)
-    total = pred.count()
-    scored = _scored_grid(rows, grid, n_gt, total)
-    baseline = average_precision(base, n_gt, at_most=total).select(
+    changed = cut(lost.groupBy("image_id", "variant").agg(F.collect_list("grid_id").alias("grids")))
+    dropped = changed.join(droppable.withColumnRenamed("grids", "at"), "image_id").filter(
+        F.array_contains("at", F.col("grids")[0])).select("image_id", "variant", "pred_id")
+    again = pred.join(changed.select("image_id", "variant"), "image_id").join(dropped, ["image_id", "variant", "pred_id"], "left_anti")
+    variants = match_greedy(again, gt, extra=["variant"]).select("variant", "image_id", "pred_id", "score", "true_positive")
+    # one more point than the grid has: no filter
+    scored = cut(grid_scores(base, signed_rows(base, variants, changed), _truth_total(gt), n + 1))
+    removed = per_point(droppable, {"removed_count": F.lit(1)}, grid)
+    baseline = scored.filter(F.col("grid_id") == n).select(
         *[F.col(c).alias(f"base_{c}") for c in ("ap", "precision", "recall", "f1", "false_positives", "false_negatives")])
-    removed = lost.groupBy("grid_id").agg(F.sum("n").alias("removed_count"))
-    out = grid.join(scored, "grid_id").join(removed, "grid_id", "left").fillna(0, ["removed_count"])
-    out = out.crossJoin(F.broadcast(baseline))
+    out = grid.join(scored, "grid_id").join(removed, "grid_id").crossJoin(F.broadcast(baseline))
     deltas = {f"delta_{c}": F.col(c) - F.col(f"base_{c}")
               for c in ("ap", "precision", "recall", "f1", "false_positives", "false_negatives")}
     out = out.withColumns(deltas)
@@ -205,7 +199,12 @@ def sweep_postfilter(pred: DataFrame, gt: DataFrame, margins: Sequence[int] = (0
 
 
 def best_by(rows: DataFrame, order: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
-    """The row that is largest in ``order`` (end it with a unique column), per key."""
+    """The row that is largest in ``order`` (end it with a unique column), per key.
+
+    Doubles are compared at nine decimals, so that the order in which they were summed decides nothing.
+    """
+    kinds = [f.dataType.typeName() for f in rows.select(*[c.alias(f"o{i}") for i, c in enumerate(order)]).schema]
+    order = [F.round(c, 9) if kind in ("double", "float") else c for c, kind in zip(order, kinds)]
     top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r"))
     return top.filter(F.col("r").isNotNull()).select("r.*")
 
@@ -216,38 +215,35 @@ def best_postfilter(rows: DataFrame) -> DataFrame:
 
 
 def sweep_fallback(primary: DataFrame, fallback: DataFrame, gt: DataFrame, frames: DataFrame,
-                   sizes: Sequence[float], centers: Sequence[float], texts: Sequence[float],
-                   threshold: float = 0.5, scale: float = 0.95) -> DataFrame:
+                   sizes: Sequence[float] = SIZE_THRESHOLDS, centers: Sequence[float] = CENTER_THRESHOLDS,
+                   texts: Sequence[float] = TEXT_THRESHOLDS, threshold: float = 0.5, scale: float = 0.95) -> DataFrame:
     """Scores per point of the trigger grid.
 
     A trigger only decides whether an image is merged, so the primary set and
     the merged set are each matched once and the grid picks between them.
     """
     spark = primary.sparkSession
-    points = [(i, float(s), float(c), float(t)) for i, (s, c, t) in
-              enumerate((s, c, t) for s in sizes for c in centers for t in texts)]
-    grid = spark.createDataFrame(points, "grid_id bigint, size_threshold double, center_y_threshold double, text_threshold double")
-    signals = trigger_signals(primary, frames)
+    points = [(float(s), float(c), float(t)) for s in sizes for c in centers for t in texts]
+    grid = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "grid_id bigint, size_threshold double, center_y_threshold double, text_threshold double")
     size = F.col("min_detected_face_size_px")
-    fired = signals.crossJoin(F.broadcast(grid)).select(
-        "grid_id", "image_id",
-        ((size > 0) & (size <= F.col("size_threshold"))).alias("small_face_like"),
-        (F.col("dominant_center_y_ratio") >= F.col("center_y_threshold")).alias("downward_like"),
-        (F.col("text_score") >= F.col("text_threshold")).alias("text_like"))
-    any_fired = F.col("small_face_like") | F.col("downward_like") | F.col("text_like")
-    breakdown = fired.groupBy("grid_id").agg(
-        F.count_if(any_fired).alias("triggered_images"),
-        *[F.count_if(c).alias(f"{c}_images") for c in ("small_face_like", "downward_like", "text_like")])
-    triggered = fired.filter(any_fired).select("grid_id", "image_id")
-    scored = _grid_scores(primary, fallback, gt, frames.select("image_id"), triggered, grid, threshold, scale)
-    return grid.join(scored, "grid_id").join(breakdown, "grid_id")
-
-
-def _grid_scores(primary, fallback, gt, images, triggered, grid, threshold, scale) -> DataFrame:
-    merged = fallback_merge(primary, fallback, images, threshold, scale).withColumn("variant", F.lit("merged"))
-    base = match_greedy(primary, gt).select("image_id", "pred_id", "score", "true_positive")
-    rows = _variant_rows(base, merged, triggered.withColumn("variant", F.lit("merged")), gt, grid)
-    return _scored_grid(rows, grid, _truth_total(gt), primary.count() + fallback.count())
+    signs = {
+        "small_face_like": lambda s, c, t: (size > 0) & (size <= s),
+        "downward_like": lambda s, c, t: F.col("dominant_center_y_ratio") >= c,
+        "text_like": lambda s, c, t: F.col("text_score") >= t,
+    }
+    names = ["s", "c", "t"]
+    signals = trigger_signals(primary, frames).withColumns({name: passing(points, names, sign) for name, sign in signs.items()})
+    signals = cut(signals.select("image_id", *signs, F.array_sort(F.array_distinct(F.concat(*signs))).alias("grids")))
+    scored = _trigger_scores(primary, fallback, gt, signals, frames, grid, len(points), threshold, scale)
+    for name in signs:
+        fired = signals.select(F.col(name).alias("grids"))
+        scored = scored.join(per_point(fired, {f"{name}_images": F.lit(1)}, grid), "grid_id")
+    return grid.join(scored, "grid_id")
+
+
+def _trigger_scores(primary, fallback, gt, triggered, images, grid, n, threshold, scale) -> DataFrame:
+    merged = cut(fallback_merge(primary, fallback, images.select("image_id"), threshold, scale))
+    return trigger_scores(primary, merged, gt, triggered, images, grid, n)
 
 
 def best_fallback(rows: DataFrame) -> DataFrame:
@@ -258,33 +254,47 @@ def best_fallback(rows: DataFrame) -> DataFrame:
 
 def fallback_by_label(primary: DataFrame, fallback: DataFrame, gt: DataFrame, condition: DataFrame,
                       labels: Sequence[str], threshold: float = 0.5, scale: float = 0.95) -> DataFrame:
-    """Scores for every subset of trigger labels.  ``condition`` has image_id and condition_label."""
-    subsets = label_subsets(primary.sparkSession, labels)
-    names = subsets.groupBy("subset_id").agg(F.array_join(F.sort_array(F.collect_list("label")), "|").alias("trigger_labels"))
-    grid = names.withColumnRenamed("subset_id", "grid_id")
-    triggered = condition.join(F.broadcast(subsets), condition["condition_label"] == subsets["label"]).select(
-        F.col("subset_id").alias("grid_id"), "image_id")
-    counts = triggered.groupBy("grid_id").agg(F.count(F.lit(1)).alias("triggered_images"))
-    scored = _grid_scores(primary, fallback, gt, condition.select("image_id"), triggered, grid, threshold, scale)
-    return grid.join(scored, "grid_id").join(counts, "grid_id", "left").fillna(0, ["triggered_images"])
+    """Scores for every non-empty subset of trigger labels.  ``condition`` has image_id and condition_label.
+
+    Subset g + 1 in binary says which labels point g holds.
+    """
+    spark, n = primary.sparkSession, 2 ** len(labels) - 1
+    sets = [[label for bit, label in enumerate(labels) if (g + 1) >> bit & 1] for g in range(n)]
+    grid = spark.createDataFrame([(g, "|".join(sorted(s))) for g, s in enumerate(sets)], "grid_id bigint, trigger_labels string")
+    held = [(label, [g for g in range(n) if label in sets[g]]) for label in labels]
+    grids = F.broadcast(spark.createDataFrame(held, "condition_label string, grids array<int>"))
+    scored = _trigger_scores(primary, fallback, gt, condition.join(grids, "condition_label"), condition, grid, n, threshold, scale)
+    return grid.join(scored, "grid_id").withColumn("grid_id", F.col("grid_id") + 1)
+
+
+def best_label_policy(rows: DataFrame) -> DataFrame:
+    """Best by recall, F1, fewer false positives, fewer triggers, each at six decimals; first subset on ties."""
+    return best_by(rows, [F.round("recall", 6), F.round("f1", 6), -F.col("false_positives"), -F.col("triggered_images"), -F.col("grid_id")])
+
+
+def recommended_label_policy(rows: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Among subsets within ``tolerance`` of the best recall, best by F1, precision, fewer false positives, fewer triggers."""
+    rounded = rows.withColumns({c: F.round(c, 6) for c in ("recall", "f1", "precision")})
+    order = [F.col("f1"), F.col("precision"), -F.col("false_positives"), -F.col("triggered_images"), -F.col("grid_id")]
+    return recommend_within(rounded, tolerance, order)
 
 
 def sweep_count_threshold(primary: DataFrame, fallback: DataFrame, gt: DataFrame, images: DataFrame,
                           ks: Sequence[int] = (0, 1, 2, 3, 4, 5), threshold: float = 0.5, scale: float = 0.95) -> DataFrame:
     """Scores for every count threshold of B15."""
-    grid = primary.sparkSession.createDataFrame([(int(k),) for k in ks], "grid_id bigint")
+    points = [(int(k),) for k in ks]
+    grid = primary.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(points)], "grid_id bigint, count_threshold bigint")
     counts = images.select("image_id").distinct().join(
         primary.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")), "image_id", "left").fillna(0, ["n"])
-    triggered = counts.join(F.broadcast(grid), F.col("n") <= F.col("grid_id")).select("grid_id", "image_id")
-    fired = triggered.groupBy("grid_id").agg(F.count(F.lit(1)).alias("triggered_images"))
-    scored = _grid_scores(primary, fallback, gt, images, triggered, grid, threshold, scale)
-    return scored.join(fired, "grid_id", "left").fillna(0, ["triggered_images"])
+    triggered = counts.withColumn("grids", passing(points, ["k"], lambda k: F.col("n") <= k))
+    scored = _trigger_scores(primary, fallback, gt, triggered, images, grid, len(points), threshold, scale)
+    return grid.join(scored, "grid_id").withColumn("grid_id", F.col("count_threshold")).drop("count_threshold")
 
 
 def recommend_within(rows: DataFrame, tolerance: float, order: Sequence[Column]) -> DataFrame:
     """Among rows within ``tolerance`` of the best recall, the best by ``order``."""
     best = rows.agg(F.max("recall").alias("max_recall"))
-    near = rows.crossJoin(F.broadcast(best)).filter(F.col("recall") >= F.col("max_recall") - tolerance)
+    near = rows.crossJoin(F.broadcast(best)).filter(F.round("recall", 9) >= F.round(F.col("max_recall") - tolerance, 9))
     return best_by(near.drop("max_recall"), order)
 
 

@@ -80,9 +80,12 @@ def average_precision(matches: DataFrame, truth_counts: DataFrame, keys: Sequenc
         F.sum(1 - hit).alias("false_positives"),
     )
     joined = truth_counts.join(summed, keys, "left") if keys else truth_counts.crossJoin(summed)
-    joined = joined.fillna(0, ["precision_sum", "true_positives", "false_positives"])
-    scored = with_rates(joined)
-    return scored.select(
+    return average_precision_columns(joined.fillna(0, ["precision_sum", "true_positives", "false_positives"]), keys)
+
+
+def average_precision_columns(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Result columns of B03 from precision_sum, true_positives, false_positives and ground_truth_boxes."""
+    return with_rates(counts).select(
         *keys, ratio(F.col("precision_sum"), F.col("ground_truth_boxes")).alias("ap"), "precision", "recall", "f1",
         F.when(F.col("ground_truth_boxes") > 0, F.col("true_positives")).otherwise(F.lit(0)).alias("true_positives"),
         F.when(F.col("ground_truth_boxes") > 0, F.col("false_positives"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from frameops.functions.geometry import postfilter_drop
 from frameops.operators import boxes as X
 from frameops.operators import matching as M
 from frameops.operators import windows as W
@@ -328,9 +327,13 @@ def _(v):
     return X.fallback_by_signal(*two_detectors(v), signal_frames(v))
 
 
-def grid_ctes(grid: str, triggered: str) -> str:
+def grid_ctes(grid: str, triggered: str, images: str = "frames") -> str:
     """Scores per grid point; ``grid``: SELECT grid_id ..., ``triggered``: SELECT grid_id, image_id."""
     everything = merge_ctes("SELECT image_id FROM frames")
+    complete = "".join(
+        assign_ctes("gt_boxes", boxes, 0.5, "gt_id", "gt_id", "pred_id", out=f"{name}_gt", p=p) + f""",
+{name} AS MATERIALIZED (SELECT image_id, bool_and(target IS NOT NULL) AS ok FROM {name}_gt GROUP BY image_id),"""
+        for boxes, name, p in (("pred_boxes", "before", "bef_"), ("merged", "after", "aft_")))
     return everything + f""",
 grid AS ({grid}), trig_g AS MATERIALIZED ({triggered}),
 b_in AS (SELECT image_id, 'base' AS variant, pred_id, x1, y1, x2, y2, score FROM pred_boxes
@@ -340,44 +343,73 @@ b_rows AS MATERIALIZED (SELECT b.image_id, b.variant, b.pred_id, b.score, CASE W
   FROM b_in b JOIN b_match m ON b.image_id = m.image_id AND b.variant = m.variant AND b.pred_id = m.sid),
 g_rows AS MATERIALIZED (SELECT g.grid_id, r.* FROM grid g CROSS JOIN b_rows r LEFT JOIN trig_g t ON t.grid_id = g.grid_id AND t.image_id = r.image_id
   WHERE (t.image_id IS NOT NULL) = (r.variant = 'merged')),
-g_truth AS (SELECT grid_id, (SELECT count(*) FROM gt_boxes) AS n FROM grid),""" + ap_ctes("g_rows", "g_truth", "grid_id", "g_scores")
+g_truth AS (SELECT grid_id, (SELECT count(*) FROM gt_boxes) AS n FROM grid),""" + complete + f"""
+g_images AS (SELECT g.grid_id, count(*) FILTER (CASE WHEN t.image_id IS NULL THEN b.ok ELSE a.ok END) AS images_fully_correct,
+  count(*) FILTER (NOT CASE WHEN t.image_id IS NULL THEN b.ok ELSE a.ok END) AS images_with_missed_faces,
+  count(*) FILTER (CASE WHEN t.image_id IS NULL THEN b.ok ELSE a.ok END) / (SELECT count(DISTINCT image_id) FROM {images}) AS image_level_full_match_rate
+  FROM grid g CROSS JOIN before b JOIN after a ON a.image_id = b.image_id LEFT JOIN trig_g t ON t.grid_id = g.grid_id AND t.image_id = b.image_id
+  GROUP BY g.grid_id),
+g_fired AS (SELECT grid_id, count(*) AS c FROM trig_g GROUP BY grid_id),""" + ap_ctes("g_rows", "g_truth", "grid_id", "g_points") + """,
+g_scores AS MATERIALIZED (SELECT p.*, coalesce(f.c, 0) AS triggered_images, m.* EXCLUDE (grid_id) FROM g_points p JOIN g_images m USING (grid_id) LEFT JOIN g_fired f USING (grid_id))"""
+
+
+LABELS_USED = ("large_face", "low_light_or_dim", "motion_blur_or_low_sharpness", "multi_face", "single_face")
+COND = f"""cond AS MATERIALIZED (SELECT image_id, CASE {' '.join(f"WHEN {k} = 1 THEN '{k}'" for k in LABELS_USED)} ELSE 'other' END AS condition_label FROM conditions)"""
+SUBSETS = f"""subsets AS MATERIALIZED (SELECT g.grid_id, l.label FROM generate_series(1, {2 ** len(LABELS_USED) - 1}) AS g(grid_id)
+  JOIN (SELECT unnest(range({len(LABELS_USED)})) AS bit, unnest({list(LABELS_USED)}) AS label) l ON (g.grid_id >> l.bit) & 1 = 1)"""
+IMAGE_LEVEL = " triggered_images images_fully_correct images_with_missed_faces"
+BY_LABEL = COND + "," + SUBSETS + "," + grid_ctes(
+    "SELECT DISTINCT grid_id FROM subsets", "SELECT s.grid_id, c.image_id FROM cond c JOIN subsets s ON c.condition_label = s.label", "conditions") + """,
+by_label AS MATERIALIZED (SELECT s.*, n.trigger_labels FROM g_scores s
+  JOIN (SELECT grid_id, string_agg(label, '|' ORDER BY label) AS trigger_labels FROM subsets GROUP BY grid_id) n USING (grid_id))"""
+
+
+def label_sweep(v):
+    label = F.coalesce(*[F.when(F.col(k) == 1, F.lit(k)) for k in LABELS_USED], F.lit("other"))
+    cond = v.conditions.select("image_id", label.alias("condition_label"))
+    return X.fallback_by_label(*two_detectors(v), v.gt_boxes, cond, LABELS_USED)
 
 
-LABELS_USED = ("large_face", "low_light_or_dim", "multi_face")
-COND = """cond AS MATERIALIZED (SELECT image_id, CASE WHEN large_face = 1 THEN 'large_face' WHEN low_light_or_dim = 1 THEN 'low_light_or_dim'
-  WHEN multi_face = 1 THEN 'multi_face' ELSE 'other' END AS condition_label FROM conditions)"""
-SUBSETS = """subsets AS MATERIALIZED (SELECT g.grid_id, l.label FROM generate_series(1, 7) AS g(grid_id)
-  JOIN (SELECT 0 AS bit, 'large_face' AS label UNION ALL SELECT 1, 'low_light_or_dim' UNION ALL SELECT 2, 'multi_face') l
-  ON (g.grid_id >> l.bit) & 1 = 1)"""
+@query("b17_fallback_by_label", "SELECT * FROM by_label", ctes=BY_LABEL, dbl=RATES + " image_level_full_match_rate", big=COUNTS + " grid_id" + IMAGE_LEVEL)
+def _(v):
+    return label_sweep(v)
 
 
-@query("b17_fallback_by_label", """SELECT s.grid_id, n.trigger_labels, s.ap, s.precision, s.recall, s.f1, s.true_positives, s.false_positives,
-  s.false_negatives, s.ground_truth_boxes, coalesce(t.c, 0) AS triggered_images FROM g_scores s
-JOIN (SELECT grid_id, string_agg(label, '|' ORDER BY label) AS trigger_labels FROM subsets GROUP BY grid_id) n USING (grid_id)
-LEFT JOIN (SELECT grid_id, count(*) AS c FROM trig_g GROUP BY grid_id) t USING (grid_id)""",
-       ctes=COND + "," + SUBSETS + "," + grid_ctes(
-           "SELECT DISTINCT grid_id FROM subsets",
-           "SELECT s.grid_id, c.image_id FROM cond c JOIN subsets s ON c.condition_label = s.label"),
-       dbl=RATES, big=COUNTS + " grid_id triggered_images")
+@query("b17_best_policy", """SELECT grid_id, trigger_labels, triggered_images FROM by_label
+ORDER BY round(recall, 6) DESC, round(f1, 6) DESC, false_positives, triggered_images, grid_id LIMIT 1""", ctes=BY_LABEL, big="grid_id triggered_images")
 def _(v):
-    label = F.coalesce(*[F.when(F.col(k) == 1, F.lit(k)) for k in LABELS_USED], F.lit("other"))
-    cond = v.conditions.select("image_id", label.alias("condition_label"))
-    return X.fallback_by_label(*two_detectors(v), v.gt_boxes, cond, LABELS_USED)
+    return X.best_label_policy(label_sweep(v)).select("grid_id", "trigger_labels", "triggered_images")
+
+
+@query("b17_recommended_policy", """SELECT grid_id, trigger_labels, triggered_images FROM by_label
+WHERE round(round(recall, 6), 9) >= round((SELECT max(round(recall, 6)) FROM by_label) - 0.005, 9)
+ORDER BY round(f1, 6) DESC, round(precision, 6) DESC, false_positives, triggered_images, grid_id LIMIT 1""", ctes=BY_LABEL, big="grid_id triggered_images")
+def _(v):
+    return X.recommended_label_policy(label_sweep(v)).select("grid_id", "trigger_labels", "triggered_images")
 
 
 EDGE = "(x1 <= margin OR y1 <= margin OR x2 >= 3840 - margin OR y2 >= 2160 - margin)"
-POST_GRID = """post_grid AS MATERIALIZED (SELECT row_number() OVER (ORDER BY margin, side, top) - 1 AS grid_id, margin, side, top
-  FROM (SELECT unnest([0, 16, 32]) AS margin) CROSS JOIN (SELECT unnest([160, 220]) AS side) CROSS JOIN (SELECT unnest([0.1, 0.35]) AS top))"""
-POST = POST_GRID + f""",
-post_all AS MATERIALIZED (SELECT g.grid_id, p.*, {EDGE} AND least(x2 - x1, y2 - y1) >= side AND score <= top AS gone FROM pred_boxes p CROSS JOIN post_grid g
-  UNION ALL SELECT -1, p.*, FALSE FROM pred_boxes p),
-post_in AS MATERIALIZED (SELECT grid_id, image_id, pred_id, x1, y1, x2, y2, score FROM post_all WHERE NOT gone),""" + assign_ctes(
-    "post_in", "gt_boxes", 0.5, "score DESC, pred_id", "pred_id", "gt_id", "image_id, grid_id", out="post_match", p="v") + """,
-post_rows AS MATERIALIZED (SELECT p.grid_id, p.image_id, p.pred_id, p.score, CASE WHEN m.target IS NULL THEN 0 ELSE 1 END AS tp
-  FROM post_in p JOIN post_match m ON p.grid_id = m.grid_id AND p.image_id = m.image_id AND p.pred_id = m.sid),
-post_truth AS (SELECT DISTINCT grid_id, (SELECT count(*) FROM gt_boxes) AS n FROM post_in),""" + ap_ctes("post_rows", "post_truth", "grid_id", "post_scores") + """,
+POST_GRID = f"""post_grid AS MATERIALIZED (SELECT row_number() OVER (ORDER BY margin, side, top) - 1 AS grid_id, margin, side, top
+  FROM (SELECT unnest({list(X.MARGINS)}) AS margin) CROSS JOIN (SELECT unnest({list(X.SIDES)}) AS side)
+  CROSS JOIN (SELECT CAST(unnest({list(X.TOP_SCORES)}) AS DOUBLE) AS top))"""
+GONE = POST_GRID + f""",
+gone AS MATERIALIZED (SELECT g.grid_id, p.image_id, p.pred_id FROM pred_boxes p JOIN post_grid g
+  ON {EDGE} AND least(x2 - x1, y2 - y1) >= side AND score <= top)"""
+POST = GONE + """,
+lost AS MATERIALIZED (SELECT grid_id, image_id, string_agg(pred_id, ',' ORDER BY pred_id) AS variant FROM gone GROUP BY grid_id, image_id),
+lost_first AS (SELECT image_id, variant, min(grid_id) AS grid_id FROM lost GROUP BY image_id, variant),
+post_in AS MATERIALIZED (SELECT p.image_id, '' AS variant, p.pred_id, p.x1, p.y1, p.x2, p.y2, p.score FROM pred_boxes p
+  UNION ALL SELECT p.image_id, l.variant, p.pred_id, p.x1, p.y1, p.x2, p.y2, p.score FROM pred_boxes p JOIN lost_first l ON p.image_id = l.image_id
+  WHERE (l.grid_id, p.image_id, p.pred_id) NOT IN (SELECT grid_id, image_id, pred_id FROM gone)),""" + assign_ctes(
+    "post_in", "gt_boxes", 0.5, "score DESC, pred_id", "pred_id", "gt_id", "image_id, variant", out="post_match", p="v") + """,
+post_tp AS MATERIALIZED (SELECT p.image_id, p.variant, p.pred_id, p.score, CASE WHEN m.target IS NULL THEN 0 ELSE 1 END AS tp
+  FROM post_in p JOIN post_match m ON p.image_id = m.image_id AND p.variant = m.variant AND p.pred_id = m.sid),
+post_points AS (SELECT grid_id FROM post_grid UNION ALL SELECT -1),
+post_rows AS MATERIALIZED (SELECT g.grid_id, r.image_id, r.pred_id, r.score, r.tp FROM post_points g CROSS JOIN post_tp r
+  LEFT JOIN lost l ON l.grid_id = g.grid_id AND l.image_id = r.image_id WHERE r.variant = coalesce(l.variant, '')),
+post_truth AS (SELECT grid_id, (SELECT count(*) FROM gt_boxes) AS n FROM post_points),""" + ap_ctes("post_rows", "post_truth", "grid_id", "post_scores") + """,
 post AS MATERIALIZED (SELECT s.*, g.margin AS edge_margin_px, g.side AS large_min_side_px, g.top AS max_score,
-  (SELECT count(*) FROM post_all a WHERE a.gone AND a.grid_id = s.grid_id) AS removed_count,
+  (SELECT count(*) FROM gone a WHERE a.grid_id = s.grid_id) AS removed_count,
   s.ap - b.ap AS delta_ap, s.precision - b.precision AS delta_precision, s.recall - b.recall AS delta_recall, s.f1 - b.f1 AS delta_f1,
   s.false_positives - b.false_positives AS delta_false_positives, s.false_negatives - b.false_negatives AS delta_false_negatives,
   s.recall - b.recall >= -0.003 AND s.false_positives < b.false_positives AS viable
@@ -386,7 +418,7 @@ DELTAS = "delta_ap delta_precision delta_recall delta_f1"
 
 
 def post_sweep(v):
-    return X.sweep_postfilter(v.pred_boxes, v.gt_boxes, (0, 16, 32), (160, 220), (0.1, 0.35))
+    return X.sweep_postfilter(v.pred_boxes, v.gt_boxes)
 
 
 @query("b18_sweep_postfilter", "SELECT * FROM post", ctes=POST, dbl=RATES + " max_score " + DELTAS,
@@ -395,29 +427,30 @@ def _(v):
     return post_sweep(v)
 
 
-@query("b18_best_postfilter", "SELECT grid_id, ap, f1, false_positives FROM post WHERE viable ORDER BY ap DESC, f1 DESC, false_positives, grid_id LIMIT 1",
+@query("b18_best_postfilter", "SELECT grid_id, ap, f1, false_positives FROM post WHERE viable ORDER BY round(ap, 9) DESC, round(f1, 9) DESC, false_positives, grid_id LIMIT 1",
        ctes=POST, dbl="ap f1", big="grid_id false_positives")
 def _(v):
     return X.best_postfilter(post_sweep(v)).select("grid_id", "ap", "f1", "false_positives")
 
 
-FB_GRID = """SELECT row_number() OVER (ORDER BY size_threshold, center_y_threshold, text_threshold) - 1 AS grid_id, *
-  FROM (SELECT unnest([60.0, 100.0]) AS size_threshold) CROSS JOIN (SELECT unnest([0.6, 0.8]) AS center_y_threshold) CROSS JOIN (SELECT unnest([35.0, 60.0]) AS text_threshold)"""
+FB_GRID = f"""SELECT row_number() OVER (ORDER BY size_threshold, center_y_threshold, text_threshold) - 1 AS grid_id, *
+  FROM (SELECT CAST(unnest({list(X.SIZE_THRESHOLDS)}) AS DOUBLE) AS size_threshold) CROSS JOIN (SELECT CAST(unnest({list(X.CENTER_THRESHOLDS)}) AS DOUBLE) AS center_y_threshold)
+  CROSS JOIN (SELECT CAST(unnest({list(X.TEXT_THRESHOLDS)}) AS DOUBLE) AS text_threshold)"""
 FB = SIGNALS + "," + f"""fb_grid AS MATERIALIZED ({FB_GRID}),
 fired AS MATERIALIZED (SELECT g.grid_id, s.image_id, min_detected_face_size_px > 0 AND min_detected_face_size_px <= size_threshold AS a,
   dominant_center_y_ratio >= center_y_threshold AS b, text_score >= text_threshold AS c FROM sig s CROSS JOIN fb_grid g),
-fb_n AS (SELECT grid_id, count(*) FILTER (a OR b OR c) AS triggered_images, count(*) FILTER (a) AS small_face_like_images,
+fb_n AS (SELECT grid_id, count(*) FILTER (a) AS small_face_like_images,
   count(*) FILTER (b) AS downward_like_images, count(*) FILTER (c) AS text_like_images FROM fired GROUP BY grid_id),""" + grid_ctes(
     "SELECT grid_id FROM fb_grid", "SELECT grid_id, image_id FROM fired WHERE a OR b OR c") + """,
 fb_sweep AS (SELECT g.*, s.* EXCLUDE (grid_id), n.* EXCLUDE (grid_id) FROM fb_grid g JOIN g_scores s USING (grid_id) JOIN fb_n n USING (grid_id))"""
 
 
 def fallback_sweep(v):
-    return X.sweep_fallback(*two_detectors(v), v.gt_boxes, signal_frames(v), (60, 100), (0.6, 0.8), (35, 60))
+    return X.sweep_fallback(*two_detectors(v), v.gt_boxes, signal_frames(v))
 
 
-@query("b19_sweep_fallback", "SELECT * FROM fb_sweep", ctes=FB, dbl=RATES + " size_threshold center_y_threshold text_threshold",
-       big=COUNTS + " grid_id")
+@query("b19_sweep_fallback", "SELECT * FROM fb_sweep", ctes=FB, dbl=RATES + " size_threshold center_y_threshold text_threshold image_level_full_match_rate",
+       big=COUNTS + " grid_id" + IMAGE_LEVEL)
 def _(v):
     return fallback_sweep(v)
 
@@ -437,14 +470,13 @@ def count_sweep(v):
     return X.sweep_count_threshold(*two_detectors(v), v.gt_boxes, v.frames)
 
 
-@query("b20_sweep_count_threshold", """SELECT s.*, coalesce(c, 0) AS triggered_images FROM g_scores s
-LEFT JOIN (SELECT grid_id, count(*) AS c FROM trig_g GROUP BY grid_id) USING (grid_id)""", ctes=COUNT_GRID, dbl=RATES, big=COUNTS)
+@query("b20_sweep_count_threshold", "SELECT * FROM g_scores", ctes=COUNT_GRID, dbl=RATES + " image_level_full_match_rate", big=COUNTS + IMAGE_LEVEL)
 def _(v):
     return count_sweep(v)
 
 
 @query("b21_recommend_within", """SELECT grid_id, recall, f1 FROM g_scores WHERE recall >= (SELECT max(recall) FROM g_scores) - 0.01
-ORDER BY f1 DESC, precision DESC, false_positives, grid_id LIMIT 1""", ctes=COUNT_GRID, dbl="recall f1")
+ORDER BY round(f1, 9) DESC, round(precision, 9) DESC, false_positives, grid_id LIMIT 1""", ctes=COUNT_GRID, dbl="recall f1")
 def _(v):
     order = [F.col("f1"), F.col("precision"), -F.col("false_positives"), -F.col("grid_id")]
     return X.recommend_within(count_sweep(v), 0.01, order).select("grid_id", "recall", "f1")
@@ -619,10 +651,7 @@ def _(v):
         F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("boxes"))
 
 
-@query("j16_grid_cross", "SELECT grid_id, count(*) FILTER (gone) AS removed, count(*) AS rows FROM post_all WHERE grid_id >= 0 GROUP BY grid_id", ctes=POST, big="grid_id")
+@query("j16_grid_cross", """SELECT g.grid_id, count(a.pred_id) AS removed, (SELECT count(*) FROM pred_boxes) AS rows
+FROM post_grid g LEFT JOIN gone a ON a.grid_id = g.grid_id GROUP BY g.grid_id""", ctes=GONE, big="grid_id")
 def _(v):
-    points = [(i, m, s, t) for i, (m, s, t) in enumerate((m, s, t) for m in (0, 16, 32) for s in (160, 220) for t in (0.1, 0.35))]
-    grid = v.spark.createDataFrame(points, "grid_id bigint, m bigint, s bigint, t double")
-    drop = postfilter_drop(F.col("m"), F.col("s"), F.col("t"))
-    return v.pred_boxes.crossJoin(F.broadcast(grid)).groupBy("grid_id").agg(
-        F.count_if(drop).alias("removed"), F.count(F.lit(1)).alias("rows"))
+    return X.removed_per_point(v.pred_boxes, X.postfilter_points(X.MARGINS, X.SIDES, X.TOP_SCORES))
