@@ -2,6 +2,7 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from frameops.lineage import scratch
 from frameops.operators import matching as M
 from frameops.operators import models as L
 from frameops.operators import policy as D
+from frameops.operators.skyline import front, skyline
 from frameops.streaming import jobs
 from tests.test_boxes import GT, PRED, random_boxes
 
@@ -36,13 +38,32 @@ def test_label_cv_learns_a_separable_label(spark):
     assert sum(r["label"] == r["prediction"] for r in out) / 300 > 0.9
 
 
-def test_pareto_equals_pairwise_rule(spark):
+@pytest.mark.parametrize("task_rows,keys", [(200_000, ["g"]), (7, ["g"]), (3, [])])
+def test_pareto_equals_pairwise_rule(spark, task_rows, keys):
     rnd = random.Random(11)
-    rows = [(i, f"g{i % 2}", rnd.randrange(12), rnd.randrange(12), rnd.randrange(12)) for i in range(150)]
-    df = spark.createDataFrame(rows, "id int, g string, a int, b int, c int")
-    got = {r["id"] for r in D.pareto(df, ["a", "b", "c"], ["g"], killers=3).filter("pareto").collect()}
-    beats = lambda p, q: p[1] == q[1] and all(x >= y for x, y in zip(p[2:], q[2:])) and p[2:] != q[2:]
-    assert got == {q[0] for q in rows if not any(beats(p, q) for p in rows)}
+    rows = [(i, f"g{i % 2}" if i % 3 else None, rnd.randrange(12), rnd.randrange(12), rnd.randrange(12), rnd.choice([1, 2])) for i in range(150)]
+    rows += [(150, "g0", None, 50, 50, 2), (151, "g0", 13, 0, 0, 1), (152, "g0", 13, 0, 0, 1)]
+    df = spark.createDataFrame(rows, "id int, g string, a int, b int, c int, d int").repartition(5)
+    beats = lambda p, q: (not keys or p[1] == q[1]) and None not in p[2:] and all(x >= y for x, y in zip(p[2:], q[2:])) and p[2:] != q[2:]
+    whole = [r for r in rows if None not in r[2:]]
+    got = {r["id"] for r in D.pareto(df, ["a", "b", "c", "d"], keys, task_rows).filter("pareto").collect()}
+    assert got == {q[0] for q in whole if not any(beats(p, q) for p in whole)}
+
+
+def test_skyline_of_a_hundred_thousand(spark):
+    """All rows of a plane are incomparable; those below it are dominated."""
+    plane = spark.range(100_000).select((F.col("id") % 320).alias("a"), F.floor(F.col("id") / 320).alias("b")).withColumn("c", 1000 - F.col("a") - F.col("b"))
+    below = plane.limit(30_000).select("a", "b", (F.col("c") - 1).alias("c"))
+    best = skyline(plane.union(below), ["a", "b", "c"], task_rows=30_000)
+    assert best.count() == 100_000 and best.filter("a + b + c < 1000").isEmpty()
+
+
+@pytest.mark.parametrize("width,top", [(1, 9), (2, 30), (3, 8), (4, 5), (5, 3)])
+def test_front_equals_pairwise_rule(width, top):
+    rng = np.random.default_rng(width)
+    values, group = rng.integers(0, top, (700, width)).astype(float), rng.integers(0, 3, 700)
+    worse = (values[:, None] <= values[None]).all(2) & (values[:, None] < values[None]).any(2) & (group[:, None] == group[None])
+    assert front(values, group).tolist() == np.flatnonzero(~worse.any(1)).tolist()
 
 
 def test_every_objective_route_is_reachable(spark):
