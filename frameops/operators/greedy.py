@@ -2,21 +2,19 @@
 
 Images of a checked size are packed into one array per image and folded inside
 the JVM, so a whole table needs one shuffle per side on ``image_id``.  An image
-with more boxes than ``limit`` is cut into grid cells, its overlapping pairs are
-joined cell by cell, and the order dependence is resolved in rounds of grouped
-aggregates.  Both ways give the same rows.
+with more boxes than ``limit`` goes through batches of bounded size (``crowded``).
+Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameops.functions.geometry import CORNERS, has_area, iou
-from frameops.lineage import cut
+from frameops.functions.geometry import CORNERS, has_area
+from frameops.operators.crowded import assign_in_batches, suppress_in_batches
 from frameops.operators.scale import hot_keys, split_hot
 
 # Boxes of one image handled by a single fold.
@@ -75,10 +73,6 @@ def grid_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: int
     return pairs.filter(inside & home).drop("cx", "cy")
 
 
-def _prefixed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys])
-
-
 def assign(
     seekers: DataFrame,
     targets: DataFrame,
@@ -101,7 +95,7 @@ def assign(
     cold_s, hot_s = split_hot(seekers, ["image_id"], hot)
     cold_t, hot_t = split_hot(targets, ["image_id"], hot)
     folded = _assign_folded(cold_s, cold_t, threshold, order, seeker_id, target_id, extra)
-    return folded.unionByName(_assign_rounds(hot_s, hot_t, threshold, order, seeker_id, target_id, extra))
+    return folded.unionByName(assign_in_batches(hot_s, hot_t, threshold, order, seeker_id, target_id, extra))
 
 
 def _assign_folded(seekers, targets, threshold, order, seeker_id, target_id, extra) -> DataFrame:
@@ -140,46 +134,6 @@ def _assign_folded(seekers, targets, threshold, order, seeker_id, target_id, ext
     )
 
 
-def _assign_rounds(seekers, targets, threshold, order, seeker_id, target_id, extra) -> DataFrame:
-    keys = ["image_id", *extra]
-    ranked = seekers.withColumn("rank", F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.col(seeker_id)))
-    left = ranked.select(*keys, F.col(seeker_id).alias("l_id"), F.col("rank").alias("l_rank"),
-                         *[F.col(c).alias(f"l_{c}") for c in CORNERS])
-    right = targets.select("image_id", F.col(target_id).alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in CORNERS])
-    pairs = cut(
-        grid_pairs(left, right, ["image_id"])
-        .select(*keys, "l_id", "l_rank", "r_id", iou("l_", "r_").alias("pair_iou"))
-    )
-    active, won = pairs.filter(F.col("pair_iou") >= threshold), []
-    while not active.isEmpty():
-        wish = active.groupBy(*keys, "l_id").agg(F.min(F.struct((-F.col("pair_iou")).alias("v"), "r_id")).alias("w"))
-        first = active.groupBy(*keys, "r_id").agg(F.min(F.struct("l_rank", "l_id")).alias("f"))
-        taken = (
-            wish.select(*keys, "l_id", F.col("w.r_id").alias("r_id"))
-            .join(first, [*keys, "r_id"])
-            .filter(F.col("f.l_id") == F.col("l_id"))
-            .select(*keys, "l_id", "r_id", F.col("f.l_rank").alias("w_rank"))
-        )
-        taken = cut(taken)
-        won.append(taken)
-        active = active.join(taken, [*keys, "l_id"], "left_anti").join(taken, [*keys, "r_id"], "left_anti")
-        active = cut(active)
-    schema_only = pairs.limit(0).select(*keys, "l_id", "r_id", F.col("l_rank").alias("w_rank"))
-    matched = reduce(DataFrame.unionByName, won, schema_only)
-    best = (
-        pairs.join(matched.select(*keys, "r_id", "w_rank"), [*keys, "r_id"], "left")
-        .filter(F.col("w_rank").isNull() | (F.col("w_rank") >= F.col("l_rank")))
-        .groupBy(*keys, "l_id")
-        .agg(F.max("pair_iou").alias("best_iou"))
-    )
-    return (
-        seekers.withColumn("l_id", F.col(seeker_id))
-        .join(matched.select(*keys, "l_id", F.col("r_id").alias("target")), [*keys, "l_id"], "left")
-        .join(best, [*keys, "l_id"], "left")
-        .select(*seekers.columns, "target", F.coalesce("best_iou", F.lit(0.0)).alias("best_iou"))
-    )
-
-
 def suppress(
     boxes: DataFrame,
     threshold: float,
@@ -200,7 +154,7 @@ def suppress(
         return _suppress_folded(boxes, threshold, order, box_id, extra, fixed)
     cold, large = split_hot(boxes, ["image_id"], hot)
     folded = _suppress_folded(cold, threshold, order, box_id, extra, fixed)
-    return folded.unionByName(_suppress_rounds(large, threshold, order, box_id, extra, fixed))
+    return folded.unionByName(suppress_in_batches(large, threshold, order, box_id, extra, fixed))
 
 
 def _suppress_folded(boxes, threshold, order, box_id, extra, fixed) -> DataFrame:
@@ -233,44 +187,3 @@ def _suppress_folded(boxes, threshold, order, box_id, extra, fixed) -> DataFrame
     """
     out = packed.select(*keys, F.inline(F.expr(fold)))
     return out.select(*[F.col(c) if c in keys else F.col(f"row.{c}").alias(c) for c in columns], "seed")
-
-
-def _suppress_rounds(boxes, threshold, order, box_id, extra, fixed) -> DataFrame:
-    keys = ["image_id", *extra]
-    always = fixed if fixed is not None else F.lit(False)
-    side = boxes.select(
-        *keys,
-        F.col(box_id).alias("id"),
-        F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], F.col(box_id)).alias("rank"),
-        always.alias("always"),
-        *CORNERS,
-    )
-    edges = cut(
-        grid_pairs(_prefixed(side, keys, "l_"), _prefixed(side, keys, "r_"), keys)
-        .filter((F.col("l_rank") < F.col("r_rank")) & ~F.col("r_always") & (iou("l_", "r_") >= threshold))
-        .select(*keys, "l_id", "l_rank", "r_id")
-    )
-    open_edges, captured = edges, []
-    while not open_edges.isEmpty():
-        # a box that no undecided better box overlaps is kept
-        kept = open_edges.select(*keys, "l_id").distinct().join(
-            open_edges.select(*keys, F.col("r_id").alias("l_id")), [*keys, "l_id"], "left_anti"
-        )
-        gone = cut(open_edges.join(kept, [*keys, "l_id"], "left_semi").select(*keys, "r_id").distinct())
-        captured.append(gone)
-        open_edges = open_edges.join(gone, [*keys, "r_id"], "left_anti").join(
-            gone.withColumnRenamed("r_id", "l_id"), [*keys, "l_id"], "left_anti"
-        )
-        open_edges = cut(open_edges)
-    gone_all = reduce(DataFrame.unionByName, captured, edges.limit(0).select(*keys, "r_id"))
-    seeds = (
-        edges.join(gone_all.withColumnRenamed("r_id", "l_id"), [*keys, "l_id"], "left_anti")
-        .groupBy(*keys, "r_id")
-        .agg(F.min(F.struct("l_rank", "l_id")).alias("f"))
-        .select(*keys, F.col("r_id").alias("id"), F.col("f.l_id").alias("seed"))
-    )
-    return (
-        boxes.withColumn("id", F.col(box_id))
-        .join(seeds, [*keys, "id"], "left")
-        .select(*boxes.columns, F.coalesce("seed", F.col(box_id)).alias("seed"))
-    )
