@@ -29,6 +29,9 @@ from frameops.llm.tables import Scratch, components, smallest_reachable
 
 MIN_COSINE = 0.93
 TREES, LEAF_ROWS, SPILL = 6, 512, 1.0
+#: A node is split only while each side keeps at most ``MOST_KEPT`` of its rows and the copies along its path stay within ``MOST_COPIES``,
+#: so a tree sends a vector to ``MOST_COPIES`` leaves on average at most, however dense a group is.
+MOST_KEPT, MOST_COPIES = 0.85, 8.0
 #: Bytes of the sample that trees are fitted on, least sample rows of a node, rows of a vector block.
 SAMPLE_BYTES, NODE_SAMPLE, BLOCK_ROWS = 16_000_000, 24, 256
 
@@ -39,9 +42,9 @@ class Tree:
     def __init__(self, sample: np.ndarray, rows: int, margin: float, rng: np.random.Generator, leaf: Iterator[int]) -> None:
         self.directions, self.thresholds, self.children = [], [], []
         self.margin = margin
-        self.root = self._grow(sample, rows / max(1, len(sample)), rng, leaf)
+        self.root = self._grow(sample, rows / max(1, len(sample)), 1.0, rng, leaf)
 
-    def _grow(self, sample: np.ndarray, scale: float, rng: np.random.Generator, leaf: Iterator[int]) -> int:
+    def _grow(self, sample: np.ndarray, scale: float, copies: float, rng: np.random.Generator, leaf: Iterator[int]) -> int:
         if len(sample) * scale <= LEAF_ROWS or len(sample) < NODE_SAMPLE:
             return -next(leaf)
         direction = rng.standard_normal(sample.shape[1])
@@ -49,14 +52,15 @@ class Tree:
         along = sample @ direction
         threshold = float(np.median(along))
         left, right = along <= threshold + self.margin, along >= threshold - self.margin
-        if left.all() or right.all():
+        copies *= (left.sum() + right.sum()) / len(sample)
+        if max(left.sum(), right.sum()) > MOST_KEPT * len(sample) or copies > MOST_COPIES:
             # too dense to part by this margin: its blocks are compared whole
             return -next(leaf)
         node = len(self.directions)
         self.directions.append(direction)
         self.thresholds.append(threshold)
         self.children.append([0, 0])
-        self.children[node] = [self._grow(sample[side], scale, rng, leaf) for side in (left, right)]
+        self.children[node] = [self._grow(sample[side], scale, copies, rng, leaf) for side in (left, right)]
         return node
 
     def route(self, vectors: np.ndarray) -> list[tuple[np.ndarray, int]]:
