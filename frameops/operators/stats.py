@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,47 +84,106 @@ def win_tie_loss(rows: DataFrame, keys: Sequence[str] = (), difference: str = "d
         F.count_if(d > tolerance).alias("wins"), F.count_if(d < -tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties"))
 
 
-def _poisson_one(uniform: Column) -> Column:
-    """Poisson(1) draw by inversion of a uniform of 53 bits; the tail beyond 18 is below its resolution."""
-    total, term, draw = 0.0, math.exp(-1.0), F
-    for k in range(18):
-        total += term
-        draw = draw.when(uniform < total, F.lit(k))
-        term /= k + 1
-    return draw.otherwise(F.lit(18))
+#: Resamples of one block of weights, and cells of weights (cases x resamples) that a task holds.
+RESAMPLE_BLOCK, WEIGHT_CELLS = 500, 2_000_000
+
+
+def _poisson_limits() -> np.ndarray:
+    """Shares below which a uniform gives 0, 1, 2, ...: inversion of Poisson(1); the tail beyond 18 is below 53 bits."""
+    terms = np.cumprod(np.concatenate([[math.exp(-1.0)], 1.0 / np.arange(1, 18)]))
+    return np.cumsum(terms)
+
+
+def poisson_weights(cases: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Poisson(1) weights of cases (64-bit hashes) in resamples ``start`` to ``stop``, cases x resamples."""
+    with np.errstate(over="ignore"):
+        z = cases.astype(np.uint64)[:, None] + np.arange(start + 1, stop + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(_poisson_limits(), (z >> np.uint64(11)) / 2.0**53, "right").astype(np.float64)
+
+
+def _resampled_sums(keys: list[str], resamples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per key and block of resamples, sums of weights and of weighted values over a task's rows."""
+    totals: dict[tuple, np.ndarray] = {}
+    for batch in batches:
+        frame = batch.to_pandas()
+        if frame.empty:
+            continue
+        group = frame.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(frame), np.int64)
+        names = [tuple(x) for x in frame.loc[~pd.Series(group).duplicated().to_numpy(), keys].itertuples(index=False)] if keys else [()]
+        names = [tuple(None if pd.isna(x) else x for x in name) for name in names]
+        cases, case = np.unique(frame["__case"].to_numpy(), return_inverse=True)
+        values = np.stack([np.ones(len(frame)), frame["__v"].to_numpy()])
+        for name in names:
+            totals.setdefault(name, np.zeros((2, resamples)))
+        for low in range(0, resamples, RESAMPLE_BLOCK):
+            high = min(resamples, low + RESAMPLE_BLOCK)
+            for first in range(0, len(cases), WEIGHT_CELLS // RESAMPLE_BLOCK):
+                last = first + WEIGHT_CELLS // RESAMPLE_BLOCK
+                weights = poisson_weights(cases[first:last], low, high)
+                for g, name in enumerate(names):
+                    rows = np.flatnonzero((group == g) & (case >= first) & (case < last))
+                    # rows of one case share its draws
+                    per_case = np.stack([np.bincount(case[rows] - first, v[rows], len(weights)) for v in values])
+                    totals[name][:, low:high] += per_case @ weights
+    starts = range(0, resamples, RESAMPLE_BLOCK)
+    for name, sums in totals.items():
+        columns = [pa.array([x] * len(starts), batch.schema.field(k).type) for k, x in zip(keys, name)]
+        columns += [pa.array(list(starts), pa.int32())] + [pa.array([s[i : i + RESAMPLE_BLOCK] for i in starts], pa.list_(pa.float64())) for s in sums]
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "w", "s"])
+
+
+def _added(keys: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of one key and block, which come one after another, added up."""
+    at, row, total = None, None, None
+
+    def out() -> pa.RecordBatch:
+        columns = [row[k] for k in [*keys, "start"]]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.array([t], pa.list_(pa.float64())) for t in total]], names=[*keys, "start", "w", "s"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            name = tuple(one[k][0].as_py() for k in [*keys, "start"])
+            vectors = np.stack([one["w"].flatten().to_numpy(), one["s"].flatten().to_numpy()])
+            if name == at:
+                total = total + vectors
+                continue
+            if at is not None:
+                yield out()
+            at, row, total = name, one, vectors
+    if at is not None:
+        yield out()
+
+
+def bootstrap_means(rows: DataFrame, keys: Sequence[str], case: str, value: str, resamples: int = 10_000, seed: int = 20260712) -> DataFrame:
+    """Resampled means per key: one row per (key, resample).
+
+    Case weights are Poisson(1) draws from a hash of (seed, case) and the resample, made per block inside the task that holds
+    the row, so rows are not shuffled: a task returns two vectors per key and block, and those are added up.  Poisson weights
+    stand in for multinomial ones; intervals agree statistically, not digit by digit.
+    """
+    keys = list(keys)
+    source = rows.select(*keys, F.xxhash64(F.lit(seed), F.col(case)).alias("__case"), F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
+    out = T.StructType([source.schema[k] for k in keys] + T.StructType.fromDDL("start int, w array<double>, s array<double>").fields)
+    parts = source.mapInArrow(lambda it: _resampled_sums(keys, resamples, it), out).repartition(*keys, "start").sortWithinPartitions(*keys, "start")
+    packed = parts.mapInArrow(lambda it: _added(keys, it), out)
+    pairs = F.arrays_zip("w", "s")
+    means = packed.select(*keys, "start", F.posexplode(pairs).alias("i", "p"))
+    return means.select(*keys, (F.col("start") + F.col("i")).alias("resample"), F.try_divide("p.s", "p.w").alias("mean"))
 
 
-def bootstrap_means(rows: DataFrame, keys: Sequence[str], case: str, value: str, resamples: int = 1000, seed: int = 20260712,
-                    block: int = 50) -> DataFrame:
-    """Resampled means per key: one row per (key, resample).
+def paired_bootstrap(rows: DataFrame, keys: Sequence[str], case: str, difference: str, resamples: int = 10_000, seed: int = 20260712,
+                     means: Mapping[str, str] | None = None) -> DataFrame:
+    """Mean difference with a 95 % bootstrap interval and win/loss/tie counts per key.
 
-    Case weights are Poisson(1) draws from a hash of (seed, case, resample), so
-    each row contributes to every resample inside its own task and only
-    ``resamples`` partial sums per key and task are shuffled.  Poisson weights
-    stand in for multinomial ones; intervals agree statistically, not digit by
-    digit.
+    ``means`` adds plain means: result column by input column.
     """
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(block))).alias("start")
-    wide = rows.select(*keys, F.col(case).alias("__case"), F.col(value).cast("double").alias("__v"), blocks)
-
-    def weight(i: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("__case"), F.col("start") + i), 11)
-        return _poisson_one(bits / F.lit(float(2**53)))
-
-    sums = []
-    for i in range(block):
-        w = weight(i)
-        sums += [F.sum(w).alias(f"w{i}"), F.sum(w * F.col("__v")).alias(f"s{i}")]
-    packed = wide.groupBy(*keys, "start").agg(*sums)
-    pairs = F.array(*[F.struct((F.col("start") + i).alias("resample"), F.try_divide(F.col(f"s{i}"), F.col(f"w{i}")).alias("mean")) for i in range(block)])
-    return packed.select(*keys, F.inline(pairs)).filter(F.col("resample") < resamples)
-
-
-def paired_bootstrap(rows: DataFrame, keys: Sequence[str], case: str, difference: str, resamples: int = 1000, seed: int = 20260712) -> DataFrame:
-    """Mean difference with a 95 % bootstrap interval and win/loss/tie counts per key."""
-    means = bootstrap_means(rows, keys, case, difference, resamples, seed)
-    bounds = means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(difference).alias("mean_difference"))
+    sampled = bootstrap_means(rows, keys, case, difference, resamples, seed)
+    bounds = sampled.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(difference).alias("mean_difference"), *[F.avg(c).alias(n) for n, c in (means or {}).items()])
     counts = win_tie_loss(rows, keys, difference)
     if not keys:
         return base.crossJoin(bounds).crossJoin(counts)

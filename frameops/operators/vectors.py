@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,8 @@ from frameops.functions.labels import stable_order, text_similarity
 from frameops.lineage import cut
 from frameops.operators.scale import exact_quantiles
 
-# Rows per block of one matrix product, and pivots that cut the gallery.
-BLOCK, PIVOTS = 2048, 16
+# Gallery rows of a block, queries of a cell that one task reads, least and most pivots.
+BLOCK, QUERIES, PIVOTS = 2048, 200_000, (16, 2048)
 
 
 def l2_normalise(vector: Column) -> Column:
@@ -48,68 +49,131 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=np.float64)
 
 
-def nearest(query: DataFrame, gallery: DataFrame, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def _units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit vectors of a list column; a zero vector stays as it is."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt((values * values).sum(axis=1, keepdims=True))
+    return values / np.where(norm == 0, 1.0, norm)
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def _with_home(pivots, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the cell of their nearest pivot and the angle to it."""
+    for batch in batches:
+        if batch.num_rows:
+            angle = _angles(_units(batch["v"]), pivots.value)
+            cell = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "near"])
+
+
+def _other_cells(pivots, radius, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per further cell that may hold a match nearer than the bound."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        open_cells = _angles(_units(batch["v"]), pivots.value) - radius.value[None] <= batch["bound"].to_numpy()[:, None]
+        open_cells[np.arange(batch.num_rows), batch["cell"].to_numpy()] = False
+        row, cell = np.nonzero(open_cells)
+        for low in range(0, len(row), 5000):
+            part = batch.select(["q_id", "v"]).take(pa.array(row[low : low + 5000]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[low : low + 5000].astype(np.int32))], names=["q_id", "v", "cell"])
+
+
+def _best_in_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best gallery row of a block for each query that streams past it; a block's gallery rows come first, by id."""
+    at, held, units = None, [], None
+    for batch in batches:
+        keys = np.stack([batch[c].to_numpy() for c in ("cell", "g_part", "q_part", "side")], 1)
+        for part in np.split(np.arange(len(keys)), np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1):
+            if not len(part):
+                continue
+            key, rows = tuple(keys[part[0]]), batch.slice(part[0], len(part))
+            if key[:3] != at:
+                at, held, units = key[:3], [], None
+            if key[3] == 0:
+                held.append(rows)
+                continue
+            if not held:
+                continue
+            if units is None:
+                gallery = pa.Table.from_batches(held).combine_chunks()
+                units = _units(gallery["v"])
+            scores = _units(rows["v"]) @ units.T
+            # equal similarities up to rounding go to the lowest id
+            top = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
+            best = gallery.select(["g_id", "g_identity"]).take(pa.array(top)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([rows["q_id"], *best.columns, pa.array(scores[np.arange(len(top)), top])], names=["q_id", "g_id", "g_identity", "similarity"])
+
+
+def _meet(wanted: DataFrame, gallery: DataFrame, block: int) -> DataFrame:
+    """Best row per (query, block of a cell): each gallery row goes to one task, unless a cell has very many queries."""
+    counts = gallery.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("g_parts")).join(
+        wanted.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_parts")), "cell")
+    # a row per pivot at most
+    counts = F.broadcast(cut(counts))
+
+    def dealt(rows: DataFrame, own: str, other: str, key: str) -> DataFrame:
+        placed = rows.join(counts, "cell").withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+
+    order = ["cell", "g_part", "q_part", "side", "g_id"]
+    columns = [*order, "g_identity", "q_id", "v"]
+    left = dealt(gallery, "g_part", "q_part", "g_id").withColumns({"side": F.lit(0), "q_id": F.lit(None).cast(wanted.schema["q_id"].dataType)})
+    right = dealt(wanted, "q_part", "g_part", "q_id").withColumns({"side": F.lit(1), **{c: F.lit(None).cast(gallery.schema[c].dataType) for c in ("g_id", "g_identity")}})
+    met = left.select(*columns).union(right.select(*columns)).repartition("cell", "g_part", "q_part").sortWithinPartitions(*order)
+    schema = T.StructType([met.schema["q_id"], met.schema["g_id"], met.schema["g_identity"], T.StructField("similarity", T.DoubleType())])
+    return met.mapInArrow(_best_in_block, schema)
+
+
+def _first_best(parts: DataFrame) -> DataFrame:
+    best = F.min(F.struct((-F.round("similarity", 12)).alias("s"), "g_id", "g_identity")).alias("b")
+    return parts.groupBy("q_id").agg(best).select("q_id", "b.g_id", "b.g_identity", (-F.col("b.s")).alias("similarity"))
+
+
+def nearest(query: DataFrame, gallery: DataFrame, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """Most similar gallery row per query (lowest id on ties), exactly.
 
-    ``pivots`` gallery vectors cut the gallery into cells.  By the triangle
-    inequality on angles a cell can be skipped when even its nearest point is
-    farther than a match already known: the best pivot, or the query's own
-    identity.  The remaining (cell, query) work is done in blocks of at most
-    ``block`` x ``block`` rows, each one matrix product in one task; only the best
-    row per block leaves it.  Returns id, best_id, best_identity, similarity.
+    Pivots, as many as the root of the gallery's rows within ``PIVOTS``, cut the
+    gallery into cells.  A query first meets the cell of its nearest pivot; what it finds there, or the gallery's row of
+    its own identity, bounds the angle of the best match, and by the triangle inequality only cells that may hold a nearer
+    row are searched after that.  Vectors travel as they are stored; a gallery row is shipped once per search, in blocks of
+    at most ``block`` rows that queries stream past, each batch one matrix product.
+    Returns id, best_id, best_identity, similarity.
     """
-    q = query.select("id", "identity", l2_normalise(F.col("embedding")).alias("v"))
-    g = cut(gallery.select("id", "identity", l2_normalise(F.col("embedding")).alias("v")))
-    seeds = g.orderBy(stable_order(42, F.col("id")), "id").limit(pivots).select("v").collect()
-    if not seeds:
-        return q.select("id", "identity", F.lit(None).cast("bigint").alias("best_id"), F.lit(None).cast("bigint").alias("best_identity"), F.lit(0.0).alias("similarity"))
-    centre = np.array([row["v"] for row in seeds])
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def angles(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(np.arccos(np.clip(_matrix(vectors) @ centre.T, -1.0, 1.0))))
-
-    g = g.withColumn("ang", angles("v")).withColumn("cell", F.array_position("ang", F.array_min("ang")).cast("int") - 1)
-    g = cut(g.withColumn("near", F.array_min("ang")).drop("ang"))
-    cells = g.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("near").alias("radius")).collect()
-    counts, radius = {r["cell"]: r["n"] for r in cells}, {r["cell"]: r["radius"] for r in cells}
-    blocks = {c: max(1, math.ceil(n / block)) for c, n in counts.items()}
-    block_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    own = g.select(F.col("identity"), F.col("v").alias("gv"))
-    single = own.groupBy("identity").agg(F.any_value("gv").alias("gv"))
-    q = q.withColumn("ang", angles("v")).join(single, "identity", "left")
-    own_angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("gv")))))
-    bound = F.least(F.array_min("ang"), F.when(F.col("gv").isNotNull(), own_angle).otherwise(F.lit(math.pi))) + F.lit(1e-6)
-    options = F.array(*[F.struct(F.lit(c).alias("cell"), (F.element_at("ang", c + 1) - F.lit(r)).alias("low")) for c, r in sorted(radius.items())])
-    wanted = q.withColumn("bound", bound).withColumn("o", F.explode(F.filter(options, lambda o: o["low"] <= F.col("bound"))))
-    wanted = cut(wanted.select("id", "v", F.col("o.cell").alias("cell")))
-    per_cell = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    q_blocks = {c: max(1, math.ceil(per_cell.get(c, 0) / block)) for c in counts}
-    q_block_of = F.create_map(*[F.lit(x) for pair in q_blocks.items() for x in pair])
-    pick = lambda table: F.element_at(table, F.col("cell"))
-    hashed = lambda table: F.pmod(F.xxhash64("id"), pick(table)).cast("int")
-    every = lambda table: F.explode(F.sequence(F.lit(0), pick(table) - 1))
-    left = wanted.select("id", "v", "cell", hashed(q_block_of).alias("qb"), every(block_of).alias("gb"))
-    right = g.select("id", "identity", "v", "cell", hashed(block_of).alias("gb"), every(q_block_of).alias("qb"))
-    id_type, who_type = (gallery.schema[c].dataType.simpleString() for c in ("id", "identity"))
-    q_type = query.schema["id"].dataType.simpleString()
-    keys = ["cell", "qb", "gb"]
-
-    def best_in_block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "best_id": [], "best_identity": [], "similarity": []})
-        b = b.sort_values("id")
-        scores = _matrix(a["v"]) @ _matrix(b["v"]).T
-        # equal similarities up to rounding go to the lowest id
-        top = (scores >= scores.max(axis=1, keepdims=True) - 1e-12).argmax(axis=1)
-        return pd.DataFrame({"id": a["id"].to_numpy(), "best_id": b["id"].to_numpy()[top], "best_identity": b["identity"].to_numpy()[top],
-                             "similarity": scores[np.arange(len(a)), top]})
-
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        best_in_block, f"id {q_type}, best_id {id_type}, best_identity {who_type}, similarity double")
-    best = parts.groupBy("id").agg(F.min(F.struct((-F.round("similarity", 12)).alias("s"), "best_id", "best_identity")).alias("b"))
-    return query.select("id", "identity").join(best, "id", "left").select(
-        "id", "identity", F.col("b.best_id").alias("best_id"), F.col("b.best_identity").alias("best_identity"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("similarity"))
+    spark = query.sparkSession
+    q = query.select(F.col("id").alias("q_id"), "identity", F.col("embedding").alias("v")).filter("v IS NOT NULL")
+    g = gallery.select(F.col("id").alias("g_id"), F.col("identity").alias("g_identity"), F.col("embedding").alias("v")).filter("v IS NOT NULL")
+    wanted = pivots or min(PIVOTS[1], max(PIVOTS[0], math.isqrt(g.count())))
+    seeds = g.orderBy(stable_order(42, F.col("g_id")), "g_id").limit(wanted).select("v").toArrow()
+    if not seeds.num_rows:
+        return query.select("id", "identity", F.lit(None).cast("bigint").alias("best_id"), F.lit(None).cast("bigint").alias("best_identity"), F.lit(0.0).alias("similarity"))
+    centre = spark.sparkContext.broadcast(_units(seeds["v"]))
+
+    def home(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(lambda it: _with_home(centre, it), T.StructType([*rows.schema.fields, *T.StructType.fromDDL("cell int, near double").fields]))
+
+    g = cut(home(g))
+    reach = np.full(seeds.num_rows, -np.inf)
+    for r in g.groupBy("cell").agg(F.max("near").alias("radius")).collect():
+        reach[r["cell"]] = r["radius"]
+    radius = spark.sparkContext.broadcast(reach)
+    q = cut(home(q).drop("near"))
+    first = cut(_first_best(_meet(q.select("q_id", "v", "cell"), g, block)))
+    own = g.groupBy(F.col("g_identity").alias("identity")).agg(F.any_value("v").alias("gv"))
+    own = q.join(own, "identity").select("q_id", dot(l2_normalise(F.col("v")), l2_normalise(F.col("gv"))).alias("own"))
+    known = q.join(first.select("q_id", "similarity"), "q_id", "left").join(own, "q_id", "left")
+    least = F.greatest(F.coalesce("similarity", F.lit(-1.0)), F.coalesce("own", F.lit(-1.0)), F.lit(-1.0))
+    bounded = known.select("q_id", "v", "cell", (F.acos(F.least(F.lit(1.0), least)) + F.lit(1e-6)).alias("bound"))
+    others = T.StructType([q.schema["q_id"], q.schema["v"], T.StructField("cell", T.IntegerType())])
+    rest = cut(bounded.mapInArrow(lambda it: _other_cells(centre, radius, it), others))
+    best = _first_best(first.unionByName(_first_best(_meet(rest, g, block))))
+    return query.select("id", "identity").join(best.withColumnRenamed("q_id", "id"), "id", "left").select(
+        "id", "identity", F.col("g_id").alias("best_id"), F.col("g_identity").alias("best_identity"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def reid_rank1(query: DataFrame, gallery: DataFrame) -> DataFrame:

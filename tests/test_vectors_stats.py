@@ -26,6 +26,25 @@ def test_nearest_equals_brute_force(spark, block):
         assert rows[i]["best_id"] == sims[i].argmax() and rows[i]["similarity"] == pytest.approx(sims[i].max(), abs=1e-9)
 
 
+def test_nearest_searches_few_cells_at_ten_times_the_rows(spark, monkeypatch):
+    """Exact on clustered vectors; cells searched per query do not grow with the gallery."""
+    visits, meet = [], V._meet
+    monkeypatch.setattr(V, "_meet", lambda wanted, gallery, block: visits.append(wanted.count()) or meet(wanted, gallery, block))
+    shares = []
+    for n in (1000, 10_000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 20, 16))
+        gallery = np.repeat(centres, 20, 0) + 0.02 * rng.normal(size=(n, 16))
+        query = gallery[::10] + 0.02 * rng.normal(size=(n // 10, 16))
+        visits.clear()
+        rows = {r["id"]: r for r in V.nearest(frame(spark, query, list(range(-1, -1 - len(query), -1))), frame(spark, gallery), 512).collect()}
+        g, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (gallery, query))
+        best = (q @ g.T).argmax(1)
+        assert all(rows[i]["best_id"] == best[i] for i in range(len(query)))
+        shares.append(sum(visits) / len(query))
+    assert shares[1] < 2 * shares[0] + 1
+
+
 def test_nearest_takes_the_lowest_id_on_ties(spark):
     gallery = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     row = V.nearest(frame(spark, np.array([[2.0, 0.0]]), [99]), frame(spark, gallery)).first()
@@ -100,3 +119,31 @@ def test_bootstrap_interval_is_close_to_the_normal_one(spark):
     assert row["mean_difference"] == pytest.approx(d.mean())
     assert row["ci_low"] == pytest.approx(d.mean() - half, abs=0.025) and row["ci_high"] == pytest.approx(d.mean() + half, abs=0.025)
     assert (row["ci_low"], row["ci_high"]) == pytest.approx((again["ci_low"], again["ci_high"]))
+
+
+@pytest.mark.parametrize("block,cells", [(500, 2_000_000), (7, 70)])
+def test_bootstrap_equals_plain_sums(spark, monkeypatch, block, cells):
+    """Null keys are keys, null differences are left out, and blocks change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else f"k{i % 2}", i // 2, None if i % 11 == 0 else float(x)) for i, x in enumerate(rng.normal(size=90))]
+    df = spark.createDataFrame(rows, "k string, case bigint, difference double").repartition(4)
+    whole = S._resampled_sums
+
+    def small(keys, resamples, batches):
+        S.RESAMPLE_BLOCK, S.WEIGHT_CELLS = block, cells
+        yield from whole(keys, resamples, batches)
+
+    monkeypatch.setattr(S, "_resampled_sums", small)
+    got = {(r["k"], r["resample"]): r["mean"] for r in S.bootstrap_means(df, ["k"], "case", "difference", 30).collect()}
+    hashes = {r["case"]: r["h"] for r in df.select("case", F.xxhash64(F.lit(20260712), "case").alias("h")).distinct().collect()}
+    weights = {c: S.poisson_weights(np.array([h]), 0, 30)[0] for c, h in hashes.items()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = [(weights[c], d) for name, c, d in rows if name == k and d is not None]
+        want |= {(k, r): sum(w[r] * d for w, d in own) / sum(w[r] for w, _ in own) for r in range(30)}
+    assert got == pytest.approx(want)
+
+
+def test_poisson_weights():
+    w = S.poisson_weights(np.arange(1000), 0, 1000)
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.01) and (w == 0).mean() == pytest.approx(np.exp(-1), abs=0.003)
