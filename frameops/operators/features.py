@@ -362,9 +362,9 @@ def best_f2_threshold(scores: DataFrame, keys: Sequence[str] = (), low: float =
     return best.select(*keys, F.element_at(grid, C("b.i")).alias("threshold"), (-C("b.v")).alias("f2"))
 
 
-def gate_confusion(rows: DataFrame) -> DataFrame:
+def gate_confusion(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Detected, missed and flagged counts with miss and fallback rates; ``label`` and ``prediction`` are 0/1."""
-    return rows.agg(
+    return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sample_size"), F.sum("label").alias("artifacts"), F.sum(C("label") * C("prediction")).alias("detected"),
         F.sum(C("label") * (1 - C("prediction"))).alias("missed"), F.sum((1 - C("label")) * C("prediction")).alias("flagged_clean"),
         F.avg(C("label") * (1 - C("prediction"))).alias("miss_rate"), F.avg("prediction").alias("fallback_rate"))

@@ -138,6 +138,19 @@ def score_subgroups(pred: DataFrame, gt: DataFrame, membership: DataFrame, model
     ).drop("images_with_boxes")
 
 
+def slice_eval(pred: DataFrame, gt: DataFrame, membership: DataFrame, model: str = "source", threshold: float = 0.5) -> DataFrame:
+    """Every detector on every condition slice; ``overall`` is no slice."""
+    slices = membership.filter(F.col("subgroup") != "overall")
+    return score_subgroups(pred, gt, slices, model, threshold).select(model, "subgroup", "precision", "recall", "f1", "ap")
+
+
+def membership_join(membership: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Images and boxes per subgroup; boxes are counted per image before they meet the memberships of it."""
+    per_image = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    return membership.join(per_image, "image_id", "left").groupBy("subgroup").agg(
+        F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("boxes"))
+
+
 def image_correct(pred: DataFrame, gt: DataFrame, images: DataFrame, threshold: float = 0.5) -> DataFrame:
     """An image with truth is correct when all of it is matched; one without, when nothing is predicted."""
     per_image = match_gt_order(pred, gt, threshold).groupBy("image_id").agg(

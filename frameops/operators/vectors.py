@@ -240,6 +240,21 @@ def suppression_rate(regions: DataFrame, keys: tuple[str, ...] = (), threshold:
     return regions.groupBy(*keys).agg(F.count(F.lit(1)).alias("regions"), F.avg((F.col("similarity") < threshold).cast("double")).alias("suppression_rate"))
 
 
+def redaction_audit(regions: DataFrame, key: str, document: str, threshold: float = 0.5) -> DataFrame:
+    """Similarity and suppression per ``key``, regions and documents that kept their text; blank regions count apart.
+
+    Documents are counted over one row each, so that no distinct set of them gathers in a task.
+    """
+    c, blank = F.col, F.trim("before") == ""
+    same = (c("similarity") >= 1.0) & ~blank
+    per_document = regions.groupBy(key, document).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("s"), F.count_if(c("similarity") < threshold).alias("low"),
+        F.count_if(same).alias("same"), F.count_if(blank).alias("blank"))
+    return per_document.groupBy(key).agg(
+        F.sum("n").alias("regions"), (F.sum("s") / F.sum("n")).alias("mean_similarity"), (F.sum("low") / F.sum("n")).alias("suppression_rate"),
+        F.sum("same").alias("unchanged_regions"), F.sum("blank").alias("blank_regions"), F.count_if(c("same") > 0).alias("documents_with_residual"))
+
+
 def readability_summary(regions: DataFrame) -> DataFrame:
     """Mean, median, minimum and maximum similarity; zeros without regions."""
     zero = F.lit(0.0)

@@ -223,12 +223,9 @@ def _(v):
     return M.missed_audit(v.pred_boxes, v.gt_boxes, v.frames, "view_type")
 
 
-@query("b09_slice_eval", "SELECT source, subgroup, precision, recall, f1, ap FROM sub_scores WHERE source IN ('rfdetr', 'scrfd') AND subgroup <> 'overall'",
-       ctes=SUBGROUP, dbl="precision recall f1 ap")
+@query("b09_slice_eval", "SELECT source, subgroup, precision, recall, f1, ap FROM sub_scores WHERE subgroup <> 'overall'", ctes=SUBGROUP, dbl="precision recall f1 ap")
 def _(v):
-    two = v.cand_boxes.filter(F.col("source").isin("rfdetr", "scrfd"))
-    slices = v.membership.filter(F.col("subgroup") != "overall")
-    return M.score_subgroups(two, v.gt_boxes, slices, "source").select("source", "subgroup", "precision", "recall", "f1", "ap")
+    return M.slice_eval(v.cand_boxes, v.gt_boxes, v.membership)
 
 
 NMS = suppress_ctes("cand_boxes", 0.5, "score DESC, pred_id", "pred_id")
@@ -646,9 +643,7 @@ def _(v):
 @query("j12_membership_join", """SELECT g.subgroup, count(DISTINCT g.image_id) AS images, count(b.gt_id) AS boxes FROM membership g
 LEFT JOIN gt_boxes b ON g.image_id = b.image_id GROUP BY g.subgroup""")
 def _(v):
-    per_image = v.gt_boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    return v.membership.join(per_image, "image_id", "left").groupBy("subgroup").agg(
-        F.count(F.lit(1)).alias("images"), F.coalesce(F.sum("n"), F.lit(0)).alias("boxes"))
+    return M.membership_join(v.membership, v.gt_boxes)
 
 
 @query("j16_grid_cross", """SELECT g.grid_id, count(a.pred_id) AS removed, (SELECT count(*) FROM pred_boxes) AS rows

@@ -11,7 +11,7 @@ from frameops.operators import raster as P
 from frameops.operators import reconstructed as R
 from frameops.operators import vectors as V
 from frameops.plans.box_queries import CLUSTER
-from frameops.plans.policy_queries import CASCADE, ENH, ORDER, enhanced
+from frameops.plans.policy_queries import CASCADE, ENH, cascaded, enhanced
 from frameops.plans.registry import query
 from frameops.plans.sql_greedy import suppress_ctes
 from frameops.plans.table_queries import PAIRS
@@ -159,7 +159,7 @@ def _(v):
 
 
 def cascade_rows(v):
-    return D.cascade(enhanced(v), ORDER, 0.6, 0.55).withColumn("policy", F.lit("cascade"))
+    return cascaded(v).withColumn("policy", F.lit("cascade"))
 
 
 @query("a13_policy_summary", """SELECT 'cascade' AS policy, count(*) AS n_images, avg(score) AS mean_score, avg(privacy) AS mean_privacy, avg(utility) AS mean_utility, count(DISTINCT selected_method) AS n_methods,
@@ -319,11 +319,11 @@ def _(v):
     return A.best_f2_threshold(rows, ["source"])
 
 
-@query("l15_gate_confusion", """SELECT count(*) AS sample_size, sum(t) AS artifacts, sum(t * p) AS detected, sum(t * (1 - p)) AS missed, sum((1 - t) * p) AS flagged_clean, avg(t * (1 - p)) AS miss_rate, avg(p) AS fallback_rate FROM ml WHERE label = 'high_clutter'""",
+@query("l15_gate_confusion", """SELECT label AS condition_label, count(*) AS sample_size, sum(t) AS artifacts, sum(t * p) AS detected, sum(t * (1 - p)) AS missed, sum((1 - t) * p) AS flagged_clean, avg(t * (1 - p)) AS miss_rate, avg(p) AS fallback_rate FROM ml GROUP BY label""",
        ctes=LM, dbl="miss_rate fallback_rate", big="artifacts detected missed flagged_clean")
 def _(v):
-    rows = A.confusion_long(v.conditions, v.pred_conditions, ["high_clutter"]).select(C("t").alias("label"), C("p").alias("prediction"))
-    return A.gate_confusion(rows)
+    rows = A.confusion_long(v.conditions, v.pred_conditions, LABELS).select(C("label").alias("condition_label"), C("t").alias("label"), C("p").alias("prediction"))
+    return A.gate_confusion(rows, ["condition_label"])
 
 
 # embeddings
@@ -520,13 +520,10 @@ def _(v):
     return P.redact_regions(v.pixels, pixel_boxes(v).withColumn("operator", F.when(k == 0, "fill").when(k == 1, "blur").otherwise("pixelate")))
 
 
-@query("r09_redaction_audit", """SELECT lang, count(*) AS regions, avg(s) AS mean_similarity, avg((s < 0.5)::INT) AS suppression_rate, count(*) FILTER (s >= 1.0) AS unchanged_regions, count(DISTINCT doc_id) FILTER (s >= 1.0) AS documents_with_residual FROM ts WHERE trim(before) <> '' GROUP BY lang""", ctes=SIM_SQL, dbl="mean_similarity suppression_rate")
+@query("r09_redaction_audit", """SELECT lang, count(*) AS regions, avg(s) AS mean_similarity, avg((s < 0.5)::INT) AS suppression_rate, count(*) FILTER (s >= 1.0 AND trim(before) <> '') AS unchanged_regions, count(*) FILTER (trim(before) = '') AS blank_regions,
+  count(DISTINCT doc_id) FILTER (s >= 1.0 AND trim(before) <> '') AS documents_with_residual FROM ts GROUP BY lang""", ctes=SIM_SQL, dbl="mean_similarity suppression_rate")
 def _(v):
-    regions = V.region_similarity(v.text_pairs.filter(F.trim("before") != ""), "levenshtein")
-    # residual documents are counted over one row per document
-    per_doc = regions.groupBy("lang", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("s"), F.count_if(C("similarity") < 0.5).alias("low"), F.count_if(C("similarity") >= 1.0).alias("same"))
-    return per_doc.groupBy("lang").agg(F.sum("n").alias("regions"), (F.sum("s") / F.sum("n")).alias("mean_similarity"), (F.sum("low") / F.sum("n")).alias("suppression_rate"),
-                                       F.sum("same").alias("unchanged_regions"), F.count_if(C("same") > 0).alias("documents_with_residual"))
+    return V.redaction_audit(V.region_similarity(v.text_pairs, "levenshtein"), "lang", "doc_id")
 
 
 BATCH = suppress_ctes("cand_boxes", 0.5, "score DESC, pred_id", "pred_id") + """,

@@ -202,21 +202,35 @@ def _(v):
     return D.objective_modes(method_table(v))
 
 
-@query("d17_constrained_best", """SELECT image_id, method AS selected_method, enhanced_score AS score, privacy3 AS privacy, utility3 AS utility, tier FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tier, utility3 DESC, runtime_high_compute DESC, method) AS rk FROM (
-  SELECT *, CASE WHEN success = 1 AND privacy3 >= 0.8 AND utility3 >= 0.55 THEN 0 WHEN success = 1 AND privacy3 >= 0.8 THEN 1 WHEN method = 'solid_mask_black' THEN 2 END AS tier FROM enh) WHERE tier IS NOT NULL) WHERE rk = 1""", ctes=ENH, dbl="score privacy utility", big="tier")
+SURE = "sure AS MATERIALIZED (SELECT image_id FROM pred_conditions WHERE no_face = 1 AND box_count = 0)"
+COPIED = "SELECT DISTINCT image_id, 'no_action_copy' AS selected_method, 1.0 AS score, 1.0 AS privacy, 1.0 AS utility, 'verified_no_face' AS selection_reason{} FROM enh WHERE image_id IN (SELECT image_id FROM sure)"
+
+
+def confident_no_face(v):
+    return v.pred_conditions.filter((C("no_face") == 1) & (C("box_count") == 0)).select("image_id")
+
+
+@query("d17_constrained_best", """SELECT image_id, method AS selected_method, enhanced_score AS score, privacy3 AS privacy, utility3 AS utility, 'maximum_utility_after_privacy_quality_gates' AS selection_reason, tier FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tier, utility3 DESC, runtime_high_compute DESC, method) AS rk FROM (
+  SELECT *, CASE WHEN success = 1 AND privacy3 >= 0.8 AND utility3 >= 0.55 THEN 0 WHEN success = 1 AND privacy3 >= 0.8 THEN 1 WHEN method = 'solid_mask_black' THEN 2 END AS tier FROM enh) WHERE tier IS NOT NULL) WHERE rk = 1 AND image_id NOT IN (SELECT image_id FROM sure)
+UNION ALL """ + COPIED.format(", -1"), ctes=ENH + "," + SURE, dbl="score privacy utility", big="tier")
 def _(v):
-    return D.constrained_best(enhanced(v), 0.8, 0.55)
+    return D.constrained_best(enhanced(v), 0.8, 0.55, confident_no_face(v))
 
 
 ORDER = ["pixelate", "blur", "layered_blur_downscale_noise", "diffusion_low_step", "nullface"]
-CASCADE = """casc AS MATERIALIZED (SELECT image_id, method AS selected_method, enhanced_score AS score, privacy3 AS privacy, utility3 AS utility, CASE WHEN place = 5 THEN 'terminal_solid_mask_fallback' ELSE 'first_candidate_passing_privacy_and_quality' END AS selection_reason FROM (
+CASCADE = SURE + """, casc AS MATERIALIZED (SELECT image_id, method AS selected_method, enhanced_score AS score, privacy3 AS privacy, utility3 AS utility, CASE WHEN place = 5 THEN 'terminal_solid_mask_fallback' ELSE 'first_candidate_passing_privacy_and_quality' END AS selection_reason FROM (
   SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY place) AS rk FROM (SELECT *, CASE WHEN success = 1 AND privacy3 >= 0.6 AND utility3 >= 0.55 AND method <> 'solid_mask_black' THEN list_position(['pixelate', 'blur', 'layered_blur_downscale_noise', 'diffusion_low_step', 'nullface'], method) - 1
-    WHEN method = 'solid_mask_black' THEN 5 END AS place FROM enh) WHERE place IS NOT NULL) WHERE rk = 1)"""
+    WHEN method = 'solid_mask_black' THEN 5 END AS place FROM enh) WHERE place IS NOT NULL) WHERE rk = 1 AND image_id NOT IN (SELECT image_id FROM sure)
+  UNION ALL """ + COPIED.format("") + ")"
+
+
+def cascaded(v):
+    return D.cascade(enhanced(v), ORDER, 0.6, 0.55, confident_no_face(v))
 
 
 @query("d18_cascade", "SELECT * FROM casc", ctes=ENH + "," + CASCADE, dbl="score privacy utility")
 def _(v):
-    return D.cascade(enhanced(v), ORDER, 0.6, 0.55)
+    return cascaded(v)
 
 
 def routes(v):
@@ -424,13 +438,13 @@ def _(v):
     return D.materialise_routes(attempt, gate, enhanced(v), "nullface").drop("privacy_score", "utility_score")
 
 
-@query("d27_resolve_retries", """SELECT image_id, CASE WHEN there THEN CASE WHEN again AND status IN ('ok', 'existing') THEN 'ok' ELSE status END WHEN again THEN 'recovered_after_retry' ELSE 'failed_after_retry' END AS status,
-  CASE WHEN there THEN 'original_comparable_run' WHEN again THEN 'retry_b' ELSE 'persistent_failure' END AS source FROM (SELECT image_id, status, status <> 'failed' AS there, image_id % 3 <> 1 AS again FROM method_metrics WHERE method = 'nullface')""")
+@query("d27_resolve_retries", """SELECT image_id, method, CASE WHEN there THEN CASE WHEN again AND status IN ('ok', 'existing') THEN 'ok' ELSE status END WHEN again THEN 'recovered_after_retry' ELSE 'failed_after_retry' END AS status,
+  CASE WHEN there THEN 'original_comparable_run' WHEN again THEN 'retry_b' ELSE 'persistent_failure' END AS source FROM (SELECT image_id, method, status, status <> 'failed' AS there, image_id % 3 <> 1 AS again FROM method_metrics)""")
 def _(v):
-    m = v.method_metrics.filter(C("method") == "nullface")
-    original = m.select("image_id", "status", (C("status") != "failed").alias("output_exists"))
-    retries = v.frames.select("image_id", F.when(C("image_id") % 3 == 0, "RECOVERED").when(C("image_id") % 3 == 2, "RECOVERED_EXISTING_OUTPUT").otherwise("FAILED").alias("retry_status"), F.lit("retry_b").alias("retry_variant"))
-    return D.resolve_retries(m.select("image_id"), original, retries)
+    keys = ["image_id", "method"]
+    original = v.method_metrics.select(*keys, "status", (C("status") != "failed").alias("output_exists"))
+    retries = v.method_metrics.select(*keys, F.when(C("image_id") % 3 == 0, "RECOVERED").when(C("image_id") % 3 == 2, "RECOVERED_EXISTING_OUTPUT").otherwise("FAILED").alias("retry_status"), F.lit("retry_b").alias("retry_variant"))
+    return D.resolve_retries(v.method_metrics.select(*keys), original, retries, keys)
 
 
 RISK = """rv AS MATERIALIZED (SELECT CASE WHEN q.visible_text_flag AND q.visible_screen_flag THEN 'text_and_screen_present' WHEN q.visible_text_flag THEN 'text_present' WHEN q.visible_screen_flag THEN 'screen_present' ELSE 'no_text_screen_risk' END AS risk_state, s.method AS variant,
@@ -602,7 +616,7 @@ def _(v):
 
 def cascade_gaps(v):
     e = enhanced(v)
-    policy = D.cascade(e, ORDER, 0.6, 0.55).select(F.lit("cascade").alias("policy"), "image_id", "score")
+    policy = cascaded(v).select(F.lit("cascade").alias("policy"), "image_id", "score")
     return S.policy_differences(policy, e.select("image_id", "method", C("enhanced_score").alias("score")))
 
 
@@ -639,7 +653,7 @@ def _(v):
 @query("c06_category_vs_fixed", "SELECT g.subgroup AS category, fixed_method, count(*) AS n, avg(score) AS policy_mean, avg(fixed_score) AS fixed_mean, avg(difference) AS mean_difference FROM gaps JOIN membership g USING (image_id) WHERE g.subgroup <> 'overall' GROUP BY ALL", ctes=GAPS, dbl="policy_mean fixed_mean mean_difference")
 def _(v):
     e = enhanced(v)
-    policy = D.cascade(e, ORDER, 0.6, 0.55).select(F.lit("cascade").alias("policy"), "image_id", "score")
+    policy = cascaded(v).select(F.lit("cascade").alias("policy"), "image_id", "score")
     return S.category_vs_fixed(policy, e.select("image_id", "method", C("enhanced_score").alias("score")), member(v))
 
 
@@ -661,7 +675,7 @@ def _(v):
   SELECT 'cascade' AS policy, selected_method AS method, count(*) AS n, sum(score) AS s FROM casc GROUP BY ALL UNION ALL SELECT 'fixed_' || method, method, count(*), sum(enhanced_score) FROM enh GROUP BY ALL) GROUP BY policy""", ctes=ENH + "," + CASCADE, dbl="mean_score score_difference", big="n_input_frames")
 def _(v):
     e = enhanced(v)
-    policy = D.cascade(e, ORDER, 0.6, 0.55).select("image_id", C("selected_method").alias("method"), "score")
+    policy = cascaded(v).select("image_id", C("selected_method").alias("method"), "score")
     out = R.integrated_vs_fixed(policy, e.select("image_id", "method", C("enhanced_score").alias("score")), "cascade")
     text = F.array_join(F.transform(F.map_entries("method_distribution"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
     return out.withColumn("method_distribution", text)
