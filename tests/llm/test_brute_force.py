@@ -144,33 +144,62 @@ def test_compact_windows_are_the_cartesian_tree():
         assert want == list(zip(centre.tolist(), low.tolist(), high.tolist()))
 
 
-@pytest.mark.parametrize("dealt", [2, 8])
-def test_repeated_passages(spark, monkeypatch, dealt):
-    monkeypatch.setattr(passages, "DEALT_FROM", dealt)
+@pytest.mark.parametrize("hot,parts", [(100_000, 4), (64, 4), (64, 1)])
+def test_repeated_passages(spark, monkeypatch, hot, parts):
+    monkeypatch.setattr(passages, "HOT_WINDOWS", hot)
+    monkeypatch.setattr(passages, "HOT_SAMPLE", 1)
     rng = random.Random(8)
     shared = [[f"s{k}x{i}" for i in range(n)] for k, n in enumerate([50, 55, 70, 300])]
     texts, planted = [], {}
-    for i in range(120):
+    for i in range(240):
         own = [f"u{i}x{j}" for j in range(rng.randrange(150))]
         if i % 2:
-            k = rng.randrange(4)
+            k = rng.randrange(4) if i % 3 else 3
             own[len(own) // 2 : len(own) // 2] = shared[k]
             planted[i] = k
         texts.append((i, " ".join(own)))
-    got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).toPandas()
+    got = passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).toPandas()
     assert set(got.doc_id) == set(planted)
     lengths = (got.end - got.start).to_numpy()
     assert (lengths == [len(shared[planted[i]]) for i in got.doc_id]).all()
     assert got.groupby(got.doc_id.map(planted)).class_id.nunique().max() == 1 and got.kept.sum() == 4
 
 
-def test_a_changed_word_keeps_a_passage_similar():
-    a = np.arange(120)
+def test_near_passages(spark):
+    """Recall against the library's own verification on all pairs; the same rows for any number of partitions."""
+    rng = random.Random(5)
+    shared = [[f"s{k}x{i}" for i in range(80)] for k in range(3)]
+    texts = []
+    for i in range(200):
+        own = [f"u{i}x{j}" for j in range(rng.randrange(150))]
+        if i % 10 < 8:
+            passage = list(shared[i % 3])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(passage))
+                passage[at : at + rng.randrange(2)] = [f"e{i}x{at}"] * rng.randrange(1, 2)
+            own[len(own) // 2 : len(own) // 2] = passage
+        texts.append((i, " ".join(own)))
+    hashed = [np.array([hash(w) % 65_521 for w in t.split()], np.uint16) for _, t in texts]
+    starts = [next((j for j, w in enumerate(t.split()) if w.startswith("s")), 0) for _, t in texts]
+    want = {d for i in range(200) for j in range(i) if passages.similar_stretches(hashed[i], hashed[j], starts[i] - starts[j]) for d in (i, j)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [sorted(tuple(r) for r in passages.repeated_passages(frame.repartition(n)).collect()) for n in (1, 50)]
+    assert rows[0] == rows[1]
+    found = {r[0] for r in rows[0]}
+    assert len(found & want) >= 0.97 * len(want) and not found - want
+
+
+def test_changed_and_inserted_words_keep_a_passage_similar():
+    a = np.arange(120, dtype=np.uint16)
     b = a.copy()
     b[60] = 999
-    assert passages.similar_stretches(a, b) == [(0, 120)]
+    assert passages.similar_stretches(a, b) == [(0, 120, 0, 120)]
     b[::8] = 999
     assert passages.similar_stretches(a, b) == []
+    longer = np.insert(a[:60], 30, 999)
+    assert passages.similar_stretches(a[:60], longer) == [(0, 60, 0, 61)] and passages.similar_stretches(longer, a[:60]) == [(0, 61, 0, 60)]
+    assert passages.similar_stretches(a[:60], np.delete(a[:60], 20), 0) == [(0, 60, 0, 59)]
+    assert passages.similar_stretches(a[:49], a[:49]) == [] and passages.similar_stretches(a[:0], a) == []
 
 
 def test_pii_patterns():
