@@ -36,10 +36,17 @@ def _(v):
     return S.scan_filtered(v.manifest, {"day_id": "day3", "view_type": "egocentric"}).select("image_id")
 
 
-@query("s03_inventory_files")
+@query("s03_inventory_files", """SELECT 'day' || doc_id % 5 || '/' || kind || '/' || lang || '/' || doc_id || '.TXT' AS relative_path, doc_id || '.TXT' AS file_name, '.txt' AS file_ext, CAST(strlen(coalesce(text, '')) AS BIGINT) AS file_size_bytes,
+  sha256(coalesce(text, '')) AS checksum_sha256, lang AS camera_stream_id, CASE kind WHEN 'members' THEN 'egocentric' WHEN 'fixed' THEN 'exocentric' ELSE 'unknown' END AS view_type, 'day' || doc_id % 5 AS day_id
+FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN 'members' ELSE 'fixed' END AS kind FROM documents)""")
 def _(v):
-    # the files of the input folder; checksums are covered by tests
-    return S.inventory_files(v.spark, v.sf_dir, checksum=False, glob="*.parquet").select("relative_path", "file_name", "file_ext", "file_size_bytes")
+    # one file per document, then the files of the folder
+    root = scratch(v.spark, "files")
+    kind = F.when(C("doc_id") % 3 == 0, "members").otherwise("fixed")
+    path = F.concat(F.lit("day"), C("doc_id") % 5, F.lit("/"), kind, F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".TXT"))
+    K.write_files(v.table("documents").withColumn("path", path), root, "path", "text")
+    out = S.inventory_files(v.spark, root)
+    return out.select("relative_path", "file_name", "file_ext", "file_size_bytes", "checksum_sha256", "camera_stream_id", "view_type", "day_id")
 
 
 @query("s04_scan_boxes", "SELECT image_id, x1, y1, x2, y2, score, source AS detector_name FROM pred_boxes", dbl="score")
@@ -59,17 +66,25 @@ def messy(v):
     return [first, second]
 
 
+def messy_files(v):
+    paths = []
+    for df in messy(v):
+        paths.append(scratch(v.spark, "messy"))
+        df.write.csv(paths[-1], header=True)
+    return paths
+
+
 @query("s05_boxes_permissive", """SELECT CAST(image_id AS VARCHAR) AS image_id, CASE WHEN source = 'rfdetr' THEN CAST(trunc(CAST(CAST(x1 AS VARCHAR) || '.75' AS DOUBLE)) AS BIGINT) ELSE x1 END AS x1, y1, x2, y2,
   CASE WHEN source = 'rfdetr' THEN score ELSE 1.0 END AS score, source AS detector_name, CASE WHEN source <> 'rfdetr' AND score > 0.9 THEN 'small_face' END AS condition_label
 FROM cand_boxes WHERE NOT (source = 'rfdetr' AND score < 0.05)""", dbl="score")
 def _(v):
-    return S.permissive_boxes(messy(v))
+    return S.scan_boxes_permissive(v.spark, messy_files(v))
 
 
 @query("s05_boxes_per_image", """SELECT CAST(image_id AS VARCHAR) AS image_id, count(*) AS box_count, string_agg(DISTINCT source, '+' ORDER BY source) AS detectors,
   coalesce(string_agg(DISTINCT CASE WHEN source <> 'rfdetr' AND score > 0.9 THEN 'small_face' END, '+'), '') AS labels FROM cand_boxes WHERE NOT (source = 'rfdetr' AND score < 0.05) GROUP BY image_id""")
 def _(v):
-    out = S.boxes_per_image(S.permissive_boxes(messy(v)))
+    out = S.boxes_per_image(S.scan_boxes_permissive(v.spark, messy_files(v)))
     return out.select("image_id", "box_count", F.array_join("detectors", "+").alias("detectors"), F.array_join("labels", "+").alias("labels"))
 
 
@@ -93,7 +108,9 @@ def _(v):
 @query("s07_scan_metric_json", "SELECT image_id, method, ssim FROM method_metrics", dbl="ssim")
 def _(v):
     docs = v.method_metrics.groupBy("image_id").agg(F.collect_list(F.struct("image_id", "method", "ssim")).alias("detailed"))
-    return S.metric_rows(docs.select(F.to_json(F.struct("detailed")).alias("doc")), "doc", "image_id bigint, method string, ssim double")
+    path = scratch(v.spark, "metrics")
+    docs.select(F.to_json(F.struct("detailed")).alias("doc")).write.text(path)
+    return S.scan_metric_json(v.spark, path, "image_id bigint, method string, ssim double", per_line=True)
 
 
 @query("s08_scan_jobs_jsonl", "SELECT image_id, method, status FROM method_metrics WHERE status <> 'existing'")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ BOX_SCHEMAS = {
           "condition_label string, notes string",
     "pred": "image_id string, x1 bigint, y1 bigint, x2 bigint, y2 bigint, score double, detector_name string",
 }
+#: Bytes of a file that are in memory at a time.
+CHUNK_BYTES = 8_000_000
 BOX_JSON = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
@@ -43,14 +48,43 @@ def scan_filtered(manifest: DataFrame, filters: Mapping[str, object]) -> DataFra
     return manifest
 
 
+def open_path(path: str):
+    """File system and path of a URI as Spark writes it (file:/a or scheme://host/a)."""
+    if path.startswith("file:"):
+        path = "file:///" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def _with_checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the SHA-256 of the file at ``path``, read in chunks; a file that cannot be opened has none."""
+    for batch in batches:
+        sums = []
+        for path in batch["path"].to_pylist():
+            digest = hashlib.sha256()
+            try:
+                system, name = open_path(path)
+                with system.open_input_stream(name) as stream:
+                    while chunk := stream.read(CHUNK_BYTES):
+                        digest.update(chunk)
+                sums.append(digest.hexdigest())
+            except FileNotFoundError:
+                sums.append(None)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, "checksum_sha256"])
+
+
 def inventory_files(spark: SparkSession, root: str, checksum: bool = True, glob: str = "*") -> DataFrame:
-    """Path, name, extension, size and (on request) SHA-256 of every file below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    tail = F.split_part(F.col("path"), F.lit(root.rstrip("/") + "/"), F.lit(-1))
+    """Path, name, extension, size and (on request) SHA-256 of every file below ``root``.
+
+    Spark lists the files and deals them by size; contents never become rows, so a file may be of any size.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+    if checksum:
+        files = files.mapInArrow(_with_checksum, "path string, length bigint, checksum_sha256 string")
+    tail = F.split_part(F.col("path"), F.lit(root.rstrip("/").rsplit(":", 1)[-1] + "/"), F.lit(-1))
     name = F.split_part(F.col("path"), F.lit("/"), F.lit(-1))
     out = files.select(
         tail.alias("relative_path"), name.alias("file_name"), F.lower(F.concat(F.lit("."), F.split_part(name, F.lit("."), F.lit(-1)))).alias("file_ext"),
-        F.col("length").alias("file_size_bytes"), *([F.sha2("content", 256).alias("checksum_sha256")] if checksum else []))
+        F.col("length").alias("file_size_bytes"), *(["checksum_sha256"] if checksum else []))
     return out.withColumns(infer_metadata(F.col("relative_path")))
 
 
@@ -103,16 +137,13 @@ def explode_boxes_json(df: DataFrame, column: str, strict: bool = False) -> Data
     return out.filter(has_area()) if strict else out
 
 
-def metric_rows(df: DataFrame, column: str, element: str) -> DataFrame:
-    """S07 on a text column: the rows below "detailed"."""
-    parsed = F.from_json(column, f"struct<detailed:array<struct<{element}>>>")
-    return df.select(F.inline(parsed["detailed"]))
+def scan_metric_json(spark: SparkSession, path: str, element: str, per_line: bool = False) -> DataFrame:
+    """Rows below "detailed" of JSON documents; no file gives an empty typed table.
 
-
-def scan_metric_json(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """Rows below "detailed" of JSON documents; no file gives an empty typed table."""
+    A file is one document and so one task; with ``per_line`` each line is one, and files are split.
+    """
     try:
-        documents = spark.read.schema(f"detailed array<struct<{element}>>").json(path, multiLine=True)
+        documents = spark.read.schema(f"detailed array<struct<{element}>>").json(path, multiLine=not per_line)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

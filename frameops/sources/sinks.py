@@ -140,3 +140,24 @@ def split_by_kind(records: DataFrame) -> DataFrame:
 def write_by_kind(records: DataFrame, path: str) -> None:
     """One folder per kind."""
     write_atomic(split_by_kind(records), path, ["kind"])
+
+
+def write_files(df: DataFrame, root: str, path: str, content: str) -> None:
+    """One file per row: the text of ``content`` in UTF-8 (null: empty) at ``path`` below ``root``; a repeated task writes the same again."""
+    from frameops.sources.scans import open_path
+
+    def run(batches):
+        system, base = open_path(root if ":" in root else f"file:{root}")
+        made = set()
+        for batch in batches:
+            for name, text in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                folder = f"{base}/{name}".rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{base}/{name}") as stream:
+                    stream.write((text or "").encode())
+            yield batch.slice(0, 0)
+
+    rows = df.select(F.col(path).alias("path"), F.col(content).alias("content"))
+    rows.mapInArrow(run, rows.schema).write.format("noop").mode("overwrite").save()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frameops.functions.geometry import postfilter_drop
-from frameops.operators import boxes, sweeps
+from frameops.operators import boxes, ranked
 from frameops.operators.matching import average_precision, match_greedy, match_gt_order
 
 BOXES = "image_id long, pred_id long, x1 long, y1 long, x2 long, y2 long, score double"
@@ -75,7 +75,7 @@ def test_keys_stay_whole():
     """A key whose rows arrive in several batches counts once."""
     batches = [pa.record_batch({"score": [0.5], "image_id": [1], "pred_id": [i // 3], "hit": [1], "sign": [s], "grids": pa.array([g], pa.list_(pa.int32())), "part": [0]})
                for i, (s, g) in enumerate([(1, None), (-1, [0]), (1, [0]), (1, None), (-1, [1]), (1, [2])])]
-    found = list(sweeps._blocks(3, iter(batches)))
+    found = list(ranked._blocks(3, iter(batches)))
     assert [b[1].tolist() for b in found] == [[[1, 1, 1]], [[1, 0, 2]]]
 
 
