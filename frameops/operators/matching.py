@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from frameops.functions.geometry import iou
+from frameops.operators.crowded import overlap_counts
 from frameops.operators.greedy import IMAGE_LIMIT, assign
 from frameops.operators.scale import GROUP_LIMIT, running_totals
 
@@ -191,7 +192,7 @@ def erfc(values: pd.Series) -> pd.Series:
 
 
 def duplicate_pairs(pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs of predictions of one image with IoU of ``threshold`` or more.
+    """Pairs of predictions of one image with IoU of ``threshold`` or more (``overlap_counts`` only counts them).
 
     The pairs meet in grid cells, so boxes far apart in one image never pair up.
     """
@@ -252,7 +253,7 @@ def error_summary(pred: DataFrame, gt: DataFrame, frames: DataFrame, threshold:
         F.count(F.lit(1)).alias("prediction_count"), F.count_if("true_positive").alias("matched_count"),
         F.count_if("false_positive").alias("false_positive_count"))
     by_gt = gt.groupBy("image_id").agg(F.count(F.lit(1)).alias("gt_count"))
-    pairs = duplicate_pairs(pred, threshold).groupBy("image_id").agg(F.count(F.lit(1)).alias("duplicate_pair_count"))
+    pairs = overlap_counts(pred, threshold).withColumnRenamed("pairs", "duplicate_pair_count")
     out = frames.select("image_id", "day_id", "view_type", "camera_stream_id")
     for part in (by_gt, by_pred, pairs):
         out = out.join(part, "image_id", "left")

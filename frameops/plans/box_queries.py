@@ -164,6 +164,11 @@ def _(v):
     return M.duplicate_pairs(v.pred_boxes)
 
 
+@query("j06_duplicate_counts", "SELECT image_id, count(*) AS pairs FROM dup GROUP BY image_id", ctes=DUP)
+def _(v):
+    return M.overlap_counts(v.pred_boxes, 0.5)
+
+
 AUDIT = B01 + "," + DUP + """,
 by_pred AS (SELECT image_id, count(*) AS prediction_count, count(target) AS matched_count, count(*) - count(target) AS false_positive_count FROM matched GROUP BY image_id),
 by_truth AS (SELECT image_id, count(*) AS gt_count FROM gt_boxes GROUP BY image_id),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from frameops.operators.crowded import assign_in_batches, suppress_in_batches
+from frameops.operators.crowded import assign_in_batches, overlap_counts, suppress_in_batches
 from frameops.operators.boxes import by_score, cluster_boxes, nms
 from frameops.operators.matching import match_greedy
 from tests import brute
@@ -60,3 +60,23 @@ def test_chain_of_ten_thousand(spark):
     rng.shuffle(rows)
     kept = {r.pred_id for r in nms(spark.createDataFrame(rows, PRED)).collect()}
     assert kept == set(range(0, 10_000, 2))
+
+
+@pytest.mark.parametrize("block", [4096, 5])
+def test_overlap_counts(spark, block):
+    preds, _ = random_boxes(9, images=3, n=20, span=150)
+    preds += [(0, 900_000 + i, "z", 5, 5, 50, 90, 0.5) for i in range(6)] + [(7, 1, "z", 0, 0, 9, 9, 0.5), (8, 1, "z", 0, 0, 0, 9, 0.5), (8, 2, "z", 0, 0, 0, 9, 0.5)]
+    df = spark.createDataFrame(preds, PRED)
+    want = {}
+    for image, rows in by_image(df).items():
+        n = sum(brute.iou(a, b) >= 0.4 for i, a in enumerate(rows) for b in rows[:i])
+        want |= {image: n} if n else {}
+    assert {r.image_id: r.pairs for r in overlap_counts(df, 0.4, block).collect()} == want
+
+
+def test_overlap_counts_of_a_stack(spark):
+    """100,000 boxes, 20,000 of them distinct: counted without listing five thousand million pairs."""
+    i = F.col("id") % 20_000
+    stack = spark.range(100_000).select(F.lit(1).alias("image_id"), *[(F.lit(v) + s).cast("long").alias(c) for c, v, s in zip(
+        ("x1", "y1", "x2", "y2"), (0, 0, 10_000, 10_000), (i % 100, F.floor(i / 100), i % 100, F.floor(i / 100)))])
+    assert overlap_counts(stack, 0.5).first().pairs == 100_000 * 99_999 // 2
