@@ -122,11 +122,11 @@ class Nodes:
                 holders.setdefault(key, []).append(node)
         self.features = np.array(features, np.int64).reshape(-1, 6)
         self.label = np.zeros(len(place), np.int64)
-        starts = [s for s, _ in self.spans]
+        starts = np.array([s for s, _ in self.spans], np.int64)
         self.covered = np.zeros(len(place), bool)
-        for a, b, kind in base:
-            low, high = np.searchsorted(starts, a - 8), np.searchsorted(starts, b)
-            for node in range(int(low), int(high)):
+        lows, highs = (np.searchsorted(starts, np.array([s[i] for s in base], np.int64) - back).tolist() for i, back in ((0, 8), (1, 0)))
+        for (a, b, kind), low, high in zip(base, lows, highs):
+            for node in range(low, high):
                 x, y = self.spans[node]
                 if x < b and y > a:
                     self.covered[node] = True
@@ -241,11 +241,17 @@ class Field:
         if not d.partner:
             return []
         p = self.marginals(d)
+        ordered = sorted(base)
+        starts, ends = (np.array([s[i] for s in ordered], np.int64) for i in (0, 1))
+        furthest = np.maximum.accumulate(ends)
         found = []
         for node in sorted(d.partner):
             kind = int(p[node].argmax())
             start, end = d.spans[node]
-            if kind in d.partner[node] and p[node, kind] >= ADD and end > start and not any(a < end and b > start for a, b, _ in base):
+            # of the spans that begin before the token ends, one ends behind its start
+            before = int(np.searchsorted(starts, end))
+            meets = before > 0 and furthest[before - 1] > start
+            if kind in d.partner[node] and p[node, kind] >= ADD and end > start and not meets:
                 found.append((start, end, KINDS[kind - 1]))
         return found
 

@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -234,6 +235,20 @@ def test_second_mentions_become_spans():
     assert field.added("555-9577 and 555-9577", []) == []
 
 
+def test_time_of_one_text_grows_with_its_length():
+    texts = [f"at {i} call +1 ({200 + i}) 555-{1000 + i} from 10.0.0.{i % 250}, later +1 ({200 + i}) 555-{1000 + i}" for i in range(200)]
+    field = pii.Field().fit([pii.Nodes(t, pii.base_spans(t)) for t in texts])
+    seconds = []
+    for n in (2000, 8000):
+        text = " ".join(f"call +1 ({200 + i % 700}) 555-{1000 + i} now, later 555-{1000 + i} again." for i in range(n))
+        base = pii.base_spans(text)
+        begin = time.process_time()
+        found = field.added(text, base)
+        seconds.append(time.process_time() - begin)
+        assert not any(a < d and b > c for a, b, _ in found for c, d, _ in base[:50])
+    assert seconds[1] < 8 * seconds[0]
+
+
 def test_deep_trees_keep_border_pairs():
     rng = np.random.default_rng(7)
 
