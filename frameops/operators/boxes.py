@@ -12,7 +12,7 @@ from frameops.functions.geometry import CORNERS, area, clamp_box, has_area, inte
 from frameops.lineage import cut
 from frameops.operators.greedy import IMAGE_LIMIT, grid_pairs, suppress
 from frameops.operators.matching import average_precision, f_score, match_greedy, ratio, with_rates
-from frameops.operators.scale import top_k
+from frameops.operators.scale import running_totals, top_k
 from frameops.operators.sweeps import grid_scores, passing, per_point, signed_rows, trigger_scores
 
 
@@ -482,20 +482,34 @@ def text_filter_sweep(pred: DataFrame, gt: DataFrame, splits: DataFrame, variant
                       threshold: float = 0.5) -> DataFrame:
     """Precision, recall and F1 per (filter variant, split).
 
-    ``variants`` are (name, min_area, max_aspect, max_n); ``splits`` has image_id and split.
+    ``variants`` are (name, min_area, max_aspect, max_n); ``splits`` has image_id and split.  Ranks of all variants are running
+    counts of one pass over an image's boxes, and variants that keep the same boxes of an image share one match of them.
     """
-    grid = pred.sparkSession.createDataFrame(list(variants), "name string, min_area double, max_aspect double, max_n bigint")
+    spark, n = pred.sparkSession, len(variants)
+    names = spark.createDataFrame([(i, v[0]) for i, v in enumerate(variants)], "grid_id int, name string")
     w, h = side_x().cast("double"), side_y().cast("double")
     aspect = F.greatest(w, h) / F.greatest(F.least(w, h), F.lit(1.0))
-    kept = pred.crossJoin(F.broadcast(grid)).filter((w * h >= F.col("min_area")) & (aspect <= F.col("max_aspect")))
-    kept = top_k(kept, ["name", "image_id"], [F.col("score").desc(), F.col("pred_id")], max(v[3] for v in variants))
-    kept = kept.filter(F.col("rank") <= F.col("max_n")).drop("rank", "min_area", "max_aspect", "max_n")
-    matches = match_greedy(kept, gt, threshold, ["name"])
-    hits = matches.join(splits, "image_id").groupBy("name", "split").agg(
+    passes = {f"__n{i}": ((w * h >= float(v[1])) & (aspect <= float(v[2]))).cast("int") for i, v in enumerate(variants)}
+    ranked = running_totals(pred, ["image_id"], [F.col("score").desc(), F.col("pred_id")], passes)
+    kept = {i: (passes[f"__n{i}"] == 1) & (F.col(f"__n{i}") <= int(v[3])) for i, v in enumerate(variants)}
+    kept_at = F.array_compact(F.array(*[F.when(kept[i], F.lit(i)) for i in range(n)]))
+    boxes = cut(ranked.withColumn("kept_at", kept_at).filter(F.size("kept_at") > 0).drop(*passes))
+    # the boxes a variant keeps of one image, as an order-free fingerprint
+    marks = [F.struct(F.lit(i).alias("grid_id"), F.concat_ws(":", *[
+        agg(F.when(F.array_contains("kept_at", i), value)) for agg, value in (
+            (F.count, F.lit(1)), (F.bit_xor, F.xxhash64("pred_id")), (F.bit_xor, F.xxhash64("pred_id", F.lit(1))))]).alias("variant")) for i in range(n)]
+    sets = boxes.groupBy("image_id").agg(F.array(*marks).alias("m")).select("image_id", F.inline("m")).filter("variant <> '0'")
+    sets = cut(sets.groupBy("image_id", "variant").agg(F.sort_array(F.collect_list("grid_id")).alias("grids")))
+    rows = boxes.join(sets, "image_id").filter(F.array_contains("kept_at", F.col("grids")[0])).drop("kept_at", "grids")
+    matches = match_greedy(rows, gt, threshold, ["variant"]).groupBy("image_id", "variant").agg(
         F.count_if("true_positive").alias("true_positives"), F.count_if("false_positive").alias("false_positives"))
+    hits = matches.join(sets, ["image_id", "variant"]).join(splits, "image_id").groupBy("grids", "split").agg(
+        F.sum("true_positives").alias("true_positives"), F.sum("false_positives").alias("false_positives"))
+    hits = hits.select("split", F.explode("grids").alias("grid_id"), "true_positives", "false_positives").groupBy("grid_id", "split").agg(
+        F.sum("true_positives").alias("true_positives"), F.sum("false_positives").alias("false_positives"))
     truth = gt.join(splits, "image_id").groupBy("split").agg(F.count(F.lit(1)).alias("ground_truth_boxes"))
-    base = F.broadcast(grid.select("name")).crossJoin(splits.select("split").distinct()).join(truth, "split", "left")
-    out = base.join(hits, ["name", "split"], "left").fillna(0)
+    base = F.broadcast(names).crossJoin(splits.select("split").distinct()).join(truth, "split", "left")
+    out = base.join(hits, ["grid_id", "split"], "left").drop("grid_id").fillna(0)
     return with_rates(out)
 
 
