@@ -3,9 +3,11 @@
 Every document becomes token ids closed by id 0; only longer ones are cut into full pieces and a rest. Full pieces fill a
 sequence each. The others are dealt evenly into partitions, each packed by best-fit decreasing. Dual-feasible functions give a
 lower bound on a partition's sequences; where the bound is met the partition is certified as optimal. Partitions with a gap
-give away the documents of their sequences that are not full: these are dealt anew, sequence by sequence, so that they meet
-those of other partitions, and best-fit decreasing runs again. A new packing replaces the old one only where it needs fewer
-sequences. Rounds end when none saves a sequence. Partitions hold a bounded number of pieces at every size of the input.
+give away the documents of their sequences that are not full, certified ones those of their emptiest sequence: these are dealt
+anew, sequence by sequence, so that they meet those of other partitions, and best-fit decreasing runs again. A new packing
+replaces the old one only where it needs fewer sequences. Rounds end when a round saves no sequence, or when all sequences
+together meet the bound of all pieces, which comes from a count by length. Partitions hold a bounded number of pieces at every
+size of the input.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed one by one.
 """
@@ -27,11 +29,11 @@ from frameops.llm.tables import Scratch
 from frameops.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Pieces of a partition in the first round and in exchanges, and the most exchanges.
-GROUP, EXCHANGE_GROUP, EXCHANGES = 1024, 256, 6
+#: Pieces of a partition in the first round and in exchanges.
+GROUP, EXCHANGE_GROUP = 1024, 256
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
-_PACKED = f"{_PIECES}, sequence_id long, offset long, filled long, gap long"
+_PACKED = f"{_PIECES}, sequence_id long, offset long, open boolean"
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -75,26 +77,29 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
     return bins, offsets
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, counts: np.ndarray | None = None) -> int:
     """The best of some dual-feasible functions: sums of f(length) never exceed the number of bins.
 
     The plain sum; for each threshold t up to half the capacity the function that counts pieces over capacity - t whole, drops
     those below t and keeps the others; and for k = 1..12 the rounding to multiples of 1/k, exact on multiples of 1/(k + 1).
+    ``counts`` tells how many pieces have each length, one each by default.
     """
-    best = -(-int(lengths.sum()) // capacity)
-    values = np.sort(lengths)
-    sums = np.concatenate([[0], np.cumsum(values)])
+    order = np.argsort(lengths, kind="stable")
+    values = lengths[order].astype(np.int64)
+    counts = np.ones(len(values), np.int64) if counts is None else counts[order].astype(np.int64)
+    sums, below = (np.concatenate([[0], np.cumsum(x)]) for x in (values * counts, counts))
+    best = -(-int(sums[-1]) // capacity)
     cuts = np.unique(np.minimum(values, capacity - values))
     cuts = cuts[(cuts > 0) & (cuts <= capacity // 2)]
     high = np.searchsorted(values, capacity - cuts, "right")
     low = np.minimum(np.searchsorted(values, cuts, "left"), high)
     if len(cuts):
-        best = max(best, int(np.max(len(values) - high + -(-(sums[high] - sums[low]) // capacity))))
+        best = max(best, int(np.max(below[-1] - below[high] + -(-(sums[high] - sums[low]) // capacity))))
     for k in range(1, 13):
-        scaled = (k + 1) * lengths
+        scaled = (k + 1) * values
         exact = scaled % capacity == 0
         # in units of 1 / (k * capacity)
-        total = int(np.where(exact, lengths * k, scaled // capacity * capacity).sum())
+        total = int((np.where(exact, values * k, scaled // capacity * capacity) * counts).sum())
         best = max(best, -(-total // (k * capacity)))
     return best
 
@@ -104,11 +109,17 @@ def _pack(frame: pd.DataFrame, round_number: int, capacity: int) -> pd.DataFrame
     bins, offsets = best_fit_decreasing(lengths, capacity)
     count, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
     out = frame.drop(columns=["part"])
-    if round_number and count >= frame["sequence_id"].nunique():
+    before = frame["sequence_id"].nunique() if round_number else None
+    if before is not None and count >= before:
         # no sequence saved: the pieces stay where they are; only the certificate may have changed
-        return out.assign(gap=frame["sequence_id"].nunique() - bound)
-    ids = (round_number << 58) | (int(frame["part"].iloc[0]) << 12) | bins
-    return out.assign(sequence_id=ids, offset=offsets, filled=np.bincount(bins, weights=lengths).astype(np.int64)[bins], gap=count - bound)
+        bins, count = np.unique(frame["sequence_id"].to_numpy(), return_inverse=True)[1], before
+    else:
+        out = out.assign(sequence_id=(round_number << 50) | (int(frame["part"].iloc[0]) << 12) | bins, offset=offsets)
+    filled = np.bincount(bins, weights=lengths).astype(np.int64)
+    given = filled < capacity
+    if count <= bound:
+        given &= np.arange(count) == np.argmin(filled)
+    return out.assign(open=given[bins])
 
 
 def _packer(round_number: int, capacity: int):
@@ -120,21 +131,26 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     scratch = Scratch(docs.sparkSession, "packing")
     cut = scratch.keep(pieces(docs, vocabulary, capacity), "pieces")
     full = cut.where(F.col("length") == capacity)
-    done = [full.select("*", (F.col("deal") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.col("length").alias("filled"), F.lit(0).cast("long").alias("gap"))]
+    done = [full.select("*", (F.col("deal") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))]
     waiting = cut.where(F.col("length") < capacity)
-    size, key = GROUP, "deal"
-    for number in range(EXCHANGES + 1):
-        rows, sequences = waiting.count(), waiting.select("sequence_id").distinct().count() if number else 0
-        parts = max(1, -(-rows // size))
-        dealt = waiting.withColumn("part", F.pmod(F.xxhash64(F.lit(number), key), F.lit(parts)))
+    # a row for each length below the capacity at most
+    sizes = waiting.groupBy("length").agg(F.count("*").alias("pieces")).toPandas()
+    rows, bound = int(sizes["pieces"].sum()), lower_bound(sizes["length"].to_numpy(), capacity, sizes["pieces"].to_numpy())
+    # sequences that have left for good, and those whose pieces are dealt anew
+    kept, given = 0, None
+    size, key, number = GROUP, "deal", 0
+    while rows:
+        dealt = waiting.withColumn("part", F.pmod(F.xxhash64(F.lit(number), key), F.lit(-(-rows // size))))
         packed = scratch.keep(dealt.groupBy("part").applyInPandas(_packer(number, capacity), _PACKED), "packed")
-        open_rows = packed.where(F.col("gap") > 0).where(F.col("filled") < capacity)
-        stay = packed.where((F.col("gap") <= 0) | (F.col("filled") >= capacity))
-        if number == EXCHANGES or number and packed.select("sequence_id").distinct().count() >= sequences or open_rows.isEmpty():
+        # a sequence has one piece at its beginning
+        first = F.col("offset") == 0
+        sequences, still, rows = packed.agg(F.count_if(first), F.count_if(first & F.col("open")), F.count_if("open")).first()
+        if kept + sequences <= bound or still <= 1 or given is not None and sequences >= given:
             done.append(packed)
             break
-        done.append(stay)
-        waiting, size, key = open_rows, EXCHANGE_GROUP, "sequence_id"
+        done.append(packed.where(~F.col("open")))
+        waiting, kept, given = packed.where("open"), kept + sequences - still, still
+        size, key, number = EXCHANGE_GROUP, "sequence_id", number + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -6,14 +6,16 @@ import re
 import time
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from frameops.llm import decontaminate, jaccard, neighbours, packing, passages, pii, tables, tokens, toxicity, warc, words
+from frameops.llm import decontaminate, jaccard, langid, neighbours, packing, passages, pii, tables, tokens, toxicity, warc, words
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -329,6 +331,29 @@ def test_packing_round_trip(spark):
     assert got.sequence_id.nunique() <= 1.02 * bound
 
 
+def test_packing_exchanges(spark, monkeypatch):
+    """Many small partitions: exchanges take most of what these lose against one partition of all pieces."""
+    monkeypatch.setattr(packing, "GROUP", 64)
+    monkeypatch.setattr(packing, "EXCHANGE_GROUP", 64)
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(300, 1500)))) for i in range(800)]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), VOCABULARY).toPandas()
+    assert len(got) == 800 and (got.groupby("sequence_id").length.sum() <= packing.CAPACITY).all()
+    placed = got.sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all()
+    alone = packing.best_fit_decreasing(got.length.to_numpy())[0].max() + 1
+    apart = sum(packing.best_fit_decreasing(got.length.to_numpy()[k : k + 64])[0].max() + 1 for k in range(0, 800, 64))
+    assert alone <= got.sequence_id.nunique() < apart and got.sequence_id.nunique() <= 1.02 * alone
+
+
+def test_bound_of_counted_lengths():
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 2049, 500) // 100 * 100 + 1
+    values, counts = np.unique(lengths, return_counts=True)
+    order = rng.permutation(len(values))
+    assert packing.lower_bound(lengths) == packing.lower_bound(values[order], packing.CAPACITY, counts[order])
+
+
 def test_bounds_never_exceed_the_best_packing():
     rng = random.Random(1)
 
@@ -365,3 +390,57 @@ def test_zip64_and_packages_without_an_index():
     assert len(members) == 66_001
     rows = [warc.parse_record(zlib.decompress(raw.getvalue()[a : a + n], 31)) for a, n in warc.record_ranges(raw, size)]
     assert [(r["page_id"], r["payload_bytes"], r["refers_to"]) for r in rows] == [(i, i, None if i % 2 else 7) for i in range(20)]
+
+
+def test_archives_are_read_in_parts(spark, monkeypatch):
+    """Partitions of the read-back follow the packages' bytes, whatever adaptive execution thinks of the small ranges."""
+    monkeypatch.setattr(warc, "READ_BLOCK", 20_000)
+    rng = random.Random(1)
+    pages = [(i, f"http://h/{i}", rng.randbytes(800).hex()) for i in range(300)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).select("page_id", "payload", F.spark_partition_id().alias("part")).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in got} == {i: html for i, _, html in pages}
+    assert len({r.part for r in got}) >= 5
+
+
+def plain_filters(rows, languages):
+    """N-grams of three and four bytes that each language's filter takes."""
+    clean = lambda t: bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in t.encode())
+    out = {}
+    for n in langid.SIZES:
+        counts = {k: Counter() for k in languages}
+        for lang, text in rows:
+            b = clean(text)
+            counts[lang].update(g for g in (b[i : i + n] for i in range(len(b) - n + 1)) if g != b" " * n)
+        share = {k: {g: c / counts[k].total() for g, c in counts[k].items()} for k in languages}
+        for k in languages:
+            out[n, k] = {g for g, c in counts[k].items() if c >= langid.LEAST and share[k][g] >= langid.SHARE * max(share[j].get(g, 0) for j in languages)}
+    return out
+
+
+def test_language_filters(spark):
+    rng = random.Random(8)
+    words = {"x": ["alpha", "beta", "Gamma!"], "y": ["alpha", "été", "über"], "z": ["beta", "wörd"]}
+    docs = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))), lang) for i, lang in enumerate(rng.choice("xxxyyz") for _ in range(300))]
+    docs += [(None, "alpha", "x"), (7000, None, "x"), (7001, "beta", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
+    languages, _ = langid.sample(df)
+    known = [(lang, text) for i, text, lang in docs if i is not None and text is not None and lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    sizes = Counter(lang for lang, _ in known)
+    assert languages == sorted(sizes, key=lambda k: (-sizes[k], k))
+    filters, wanted = langid.train(df), plain_filters(known, languages)
+    for n in langid.SIZES:
+        for k, lang in enumerate(languages):
+            plain = langid.Filters(languages)
+            plain.insert(n, k, np.array([int.from_bytes(g, "big") for g in wanted[n, lang]], np.uint64))
+            assert wanted[n, lang] and (((filters.slices[n][0] ^ plain.slices[n][0]) >> k) & 1).sum() == 0
+    # equal shares: the more frequent language comes first
+    assert langid.identify(spark.createDataFrame([(1, "qqqq")], "doc_id long, text string"), filters).first().lang_pred == languages[0]
+
+
+def test_language_sample_has_a_limit(spark):
+    """An id that most rows share fills no more than twice the wanted rows, and rare languages beyond the limit are left out."""
+    rows = [(0, f"text {i}", "x") for i in range(5000)] + [(i, f"word {i}", "y") for i in range(1, 3000)] + [(0, "one", "z")]
+    _, sampled = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=4000, most=2)
+    assert {r.language: r["count"] for r in sampled.groupBy("language").count().collect()}.keys() == {0, 1}
+    languages, sampled = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=1500, most=2)
+    assert languages == ["x", "y"] and all(r["count"] <= 3000 for r in sampled.groupBy("language").count().collect())
