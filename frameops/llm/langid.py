@@ -7,9 +7,11 @@ languages in a byte of the slice. Per language, the hits of a text are counted,
 taken out by the filter's fill, and the highest share of the text's n-grams decides.
 
 An n-gram belongs to a language if it is frequent enough there, in itself and against the language that has it most.
-Training reads about ``TRAIN_DOCS`` documents of each language, chosen by a hash of the id, whole.
+Training reads about ``TRAIN_DOCS`` documents of each language, never more than twice as many, chosen by a hash of the id,
+whole; the ``LANGUAGES`` most frequent values of lang are learned, equal ones in alphabetical order. Texts are counted where
+they lie; the driver sees one row for each n-gram that a filter takes, of which three and four bytes set the limit.
 
-Defined results: ``und`` with score 0 for a null text or one without a letter; a text whose n-grams no language contains gets
+Defined results: held_out is null for a null id; ``und`` with score 0 for a null text or one without a letter; a text whose n-grams no language contains gets
 the most frequent language of the sample with score 0; ties go to the more frequent language; repeated rows are judged one by
 one.
 """
@@ -17,17 +19,19 @@ one.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameops.llm import words as W
 from frameops.llm.rows import add_columns
+from frameops.llm.tables import Scratch
 from frameops.llm.toxicity import fold
 
-TRAIN_DOCS = 500
+TRAIN_DOCS, LANGUAGES = 500, 256
 SIZES = (3, 4)
 #: Slots of a filter by powers of two, hash functions, least count of an n-gram and least share of its highest frequency.
 SLOT_BITS, HASHES, LEAST, SHARE = 20, 2, 3, 0.3
@@ -106,33 +110,55 @@ class Filters:
         return np.maximum(hits, 0) / np.maximum(total, 1)[:, None]
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Filters:
-    """Filters from rows that are not held out."""
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, most: int = LANGUAGES) -> tuple[list[str], DataFrame]:
+    """Languages, the most frequent first, and the rows (language as a place in that list, text) that filters learn from."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes, key=lambda k: (-sizes[k], k))
+    ranked = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+    if not ranked:
+        return [], known.select(F.lit(0).alias("language"), "text").limit(0)
+    share = F.create_map(*[x for r in ranked for x in (F.lit(r.lang), F.lit(per_language / r.n))])
+    place = F.create_map(*[x for k, r in enumerate(ranked) for x in (F.lit(r.lang), F.lit(k))])
+    order = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20))
+    picked = known.where(order / (1 << 20) < share[F.col("lang")]).select(place[F.col("lang")].alias("language"), "text", order.alias("chance"), "doc_id")
+    # the limit matters only where one id has many rows; the text decides between rows of one id
+    within = Window.partitionBy("language").orderBy("chance", "doc_id", F.xxhash64("text"))
+    rows = picked.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= 2 * per_language)
+    return [r.lang for r in ranked], rows.select("language", "text")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of each language in a chunk of texts."""
+    for batch in batches:
+        data, offsets = W.text_bytes(batch["text"])
+        language = batch["language"].to_numpy()
+        for low, high in W.chunks(offsets):
+            for n in SIZES:
+                grams, doc = ngrams(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], n)
+                of = language[low:high][doc]
+                for k in np.unique(of):
+                    values, count = np.unique(grams[of == k], return_counts=True)
+                    size = len(values)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k, np.int32)), pa.array(np.full(size, n, np.int32)), pa.array(values.astype(np.int64)), pa.array(count)], names=["language", "n", "gram", "count"])
+
+
+def train(docs: DataFrame, per_language: int = TRAIN_DOCS, most: int = LANGUAGES) -> Filters:
+    """Filters from rows that are not held out."""
+    languages, rows = sample(docs, per_language, most)
     filters = Filters(languages)
     if not languages:
         return filters
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(per_language / sizes[k]))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) / (1 << 20)
-    rows = known.where(chance < share[F.col("lang")]).select("lang", "text")
-    texts: dict[str, list[str]] = {k: [] for k in languages}
-    for lang, text in rows.toLocalIterator():
-        texts[lang].append(text)
+    counted = rows.mapInArrow(_count, "language int, n int, gram long, count long").groupBy("language", "n", "gram").agg(F.sum("count").alias("count"))
+    counted = Scratch(docs.sparkSession, "language").keep(counted, "ngrams")
+    # a row for each language and size of n-grams
+    totals = counted.groupBy("language", "n").agg(F.sum("count").alias("total"))
+    frequency = counted.join(F.broadcast(totals), ["language", "n"]).withColumn("frequency", F.col("count") / F.col("total"))
+    highest = F.max("frequency").over(Window.partitionBy("n", "gram"))
+    taken = frequency.withColumn("highest", highest).where((F.col("count") >= LEAST) & (F.col("frequency") >= SHARE * F.col("highest")))
+    found = taken.select("language", "n", "gram").toArrow()
+    columns = [found[c].to_numpy() for c in ("language", "n", "gram")]
     for n in SIZES:
-        counts = []
-        for language in languages:
-            data, offsets = W.text_bytes(pa.array(texts[language], pa.large_string()))
-            parts = [ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)[0] for a, b in W.chunks(offsets)]
-            values, count = np.unique(np.concatenate(parts or [np.zeros(0, np.uint64)]), return_counts=True)
-            counts.append((values, count, count / max(1, count.sum())))
-        every = np.unique(np.concatenate([values for values, _, _ in counts]))
-        highest = np.zeros(len(every))
-        for values, _, frequency in counts:
-            np.maximum.at(highest, np.searchsorted(every, values), frequency)
-        for k, (values, count, frequency) in enumerate(counts):
-            filters.insert(n, k, values[(count >= LEAST) & (frequency >= SHARE * highest[np.searchsorted(every, values)])])
+        for k in range(len(languages)):
+            filters.insert(n, k, columns[2][(columns[0] == k) & (columns[1] == n)].astype(np.uint64))
     filters.seal()
     return filters
 
