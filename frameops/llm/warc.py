@@ -241,7 +241,7 @@ def _open(path: str) -> BinaryIO:
 
 
 def read_packages(manifest: DataFrame) -> DataFrame:
-    """A row for each record of the packages named in ``manifest`` (path)."""
+    """A row for each record of the packages named in ``manifest`` (path, bytes)."""
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,15 +273,18 @@ def read_packages(manifest: DataFrame) -> DataFrame:
         if opened is not None:
             opened[1].close()
 
-    ranges = manifest.select("path").repartition("path").mapInArrow(locate, _RANGES)
+    size = manifest.agg(F.count("*").alias("packages"), F.sum("bytes").alias("bytes")).first()
+    # a stated number of partitions: ranges are small, so their own bytes would say nothing about the payloads they stand for
+    ranges = manifest.select("path").repartition(max(1, size["packages"]), "path").mapInArrow(locate, _RANGES)
     block = F.floor(F.col("offset") / READ_BLOCK)
-    return ranges.repartition("path", block).sortWithinPartitions("path", "offset").mapInArrow(read, _RECORDS)
+    return ranges.repartition(max(1, size["packages"], -(-(size["bytes"] or 0) // READ_BLOCK)), "path", block).sortWithinPartitions("path", "offset").mapInArrow(read, _RECORDS)
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """``pages`` with refers_to: the page with the largest id among those of the same payload, null for that page itself.
 
-    Only payload hashes are shuffled. Groups of several pages come back by broadcast if they are few, else by a join.
+    Only payload hashes are shuffled as long as the groups of several pages are few and come back by broadcast; more come back by
+    a join that shuffles the pages once.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
