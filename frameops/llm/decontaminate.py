@@ -6,8 +6,11 @@ a shared window always shares a fingerprint. Fingerprints of a document that an
 SPAN words around them is looked up among the items' windows. Items below SPAN words have one window each, looked up by
 its own length.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES`` of text. Every block is one pass over the documents'
-rows in place, chained, so the documents are never shuffled whatever the size of either table.
+A benchmark of at most ``BROADCAST_BYTES`` of text goes to the executors in blocks of ``BLOCK_BYTES``. Every block is one pass
+over the documents' rows in place, chained, so the documents are not shuffled. A larger one never meets the driver: executors
+winnow the items, a bitmap of fixed size tells documents which of their fingerprints and of the windows around them may be
+in it, and these windows are joined with the items' windows by a shuffle, each item window dealt to ``SALTS`` keys so that a
+passage many documents share is no single task. Documents are then joined with their hits once. Both ways give equal rows.
 
 Defined results: a null or wordless text has no words and no hits; null or wordless items have no window; repeated document
 rows are judged one by one; repeated items count once by id; an item without an id counts under the empty id.
@@ -26,10 +29,16 @@ from pyspark.sql import functions as F
 
 from frameops.llm import words as W
 from frameops.llm.rows import add_columns
+from frameops.llm.tables import Scratch
 
 SPAN, K = 10, 5
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES, BROADCAST_BYTES, SALTS = 8_000_000, 32_000_000, 16
+#: Bits of the map of item hashes, and bits of one row of it.
+MAP_BITS, MAP_ROW = 1 << 26, 32_768
+#: Bytes of a row besides its text.
+_ROW_BYTES = 64
 _FILTER_BITS = 1 << 16
+_STATE = "n_words long, hit_words binary, items array<string>"
 
 
 def _winnow(values: np.ndarray, width: int) -> np.ndarray:
@@ -141,16 +150,111 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[Block]:
         yield Block(ids, texts)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _place(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Bits of hashes of k words in the map of item hashes; fingerprints have k = 0."""
+    return (W.mix(hashes + np.uint64(k)) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+
+
+def _item_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows (k, hash, item) and fingerprints (0, hash, null) of items, with their bits of the map."""
+    for batch in batches:
+        for low, high, w in W.each_chunk(batch["text"], "alnum"):
+            kgrams = W.grams(w.hash, K)
+            for i in range(high - low):
+                a, b = int(w.first[i]), int(w.first[i + 1])
+                if b == a:
+                    continue
+                k = min(SPAN, b - a)
+                parts = [(k, np.unique(W.grams(w.hash[a:b], k)), batch["item"][low + i].as_py())]
+                if k == SPAN:
+                    own = kgrams[a : b - K + 1]
+                    parts.append((0, np.unique(own[_winnow(own, SPAN - K + 1)]), None))
+                for k, values, item in parts:
+                    n = len(values)
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array(values.view(np.int64)), pa.array([item] * n, pa.string()), pa.array(_place(values, k) + 1)], names=["k", "hash", "item", "bit"])
+
+
+def _near_items(bits, lengths: list[int], text_col: str):
+    """Windows of documents that the map may hold, those of SPAN words only around fingerprints that it may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.frombuffer(bits.value, np.uint8)
+        maybe = lambda values, k: (known[_place(values, k) >> 3] >> (_place(values, k) & 7)) & 1 > 0
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for low, _, w in W.each_chunk(batch[text_col], "alnum"):
+                doc = W.doc_of(w)
+                for k in lengths:
+                    values = W.grams(w.hash, k)
+                    begin = np.arange(len(values))
+                    if k == SPAN:
+                        kgrams = W.grams(w.hash, K)
+                        chosen = _winnow(kgrams, SPAN - K + 1)
+                        chosen = chosen[maybe(kgrams[chosen], 0)]
+                        begin = np.unique((chosen[:, None] - np.arange(SPAN - K + 1)).ravel())
+                        begin = begin[(begin >= 0) & (begin < len(values))]
+                    begin = begin[maybe(values[begin], k)]
+                    begin = begin[doc[begin] == doc[begin + k - 1]]
+                    at = doc[begin]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[low + at]), pa.array(np.full(len(at), k, np.int32)), pa.array(values[begin].view(np.int64)), pa.array(begin - w.first[at])], names=["row", "k", "hash", "begin"])
+
+    return run
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with n_words, hit_words and items, by a join of windows."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontaminate")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    hashes = scratch.keep(items.mapInArrow(_item_hashes, "k int, hash long, item string, bit long").distinct(), "items")
+    lengths = [r.k for r in hashes.where("k > 0").select("k").distinct().collect()]
+    # MAP_BITS / MAP_ROW rows at most
+    rows = hashes.groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        # rows of bitmaps begin at 1, and so do the bits in them
+        place = (r["at"] - 1) * (MAP_ROW // 8)
+        whole[place : place + MAP_ROW // 8] = np.frombuffer(r["bits"], np.uint8)
+    bits = spark.sparkContext.broadcast(whole.tobytes())
+    # row numbers that a lost executor does not change
+    kept = scratch.keep(docs.withColumn("row_of_docs", F.monotonically_increasing_id()), "documents")
+    near = kept.select(F.col("row_of_docs").alias("row"), text_col).mapInArrow(_near_items(bits, lengths, text_col), "row long, k int, hash long, begin long")
+    salted = hashes.where("k > 0").select("k", "hash", "item", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = near.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["k", "hash", "salt"])
+    hits = found.groupBy(F.col("row").alias("row_of_docs")).agg(F.collect_set(F.struct("begin", "k")).alias("places_of_docs"), F.array_sort(F.collect_set("item")).alias("items_of_docs"))
+
+    def compute(batch: pa.RecordBatch) -> dict[str, list]:
+        column = batch.column(batch.schema.get_field_index(text_col))
+        counts = np.concatenate([np.diff(w.first) for _, _, w in W.each_chunk(column, "alnum")])
+        packed = []
+        for n, places in zip(counts, batch["places_of_docs"]):
+            if not places.is_valid:
+                packed.append(None)
+                continue
+            begin, k = (places.values.field(name).to_numpy() for name in ("begin", "k"))
+            edges = np.zeros(n + 1, np.int32)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, begin + k, -1)
+            packed.append(np.packbits(np.cumsum(edges[:-1]) > 0).tobytes())
+        return {"n_words": counts, "hit_words": packed, "items": [x or [] for x in batch["items_of_docs"].to_pylist()]}
+
+    joined = kept.drop("n_words", "hit_words", "items").join(hits, "row_of_docs", "left")
+    return add_columns(joined, _STATE, compute).drop("row_of_docs", "places_of_docs", "items_of_docs")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_spans (ranges of words [start, end) that items share), items (sorted ids), contaminated."""
     context = docs.sparkSession.sparkContext
-    state = "n_words long, hit_words binary, items array<string>"
-    n_blocks = 0
-    for block in _blocks(benchmark, block_bytes):
-        docs = add_columns(docs, state, _marker(context.broadcast(block), text_col, n_blocks == 0), None)
-        n_blocks += 1
-    if not n_blocks:
-        docs = add_columns(docs, state, _marker(None, text_col, True), None)
+    size = benchmark.agg(F.sum(F.octet_length("text") + F.lit(_ROW_BYTES))).first()[0] or 0
+    if size > broadcast_bytes:
+        docs = _joined(docs, benchmark, text_col)
+    else:
+        n_blocks = 0
+        for block in _blocks(benchmark, block_bytes):
+            docs = add_columns(docs, _STATE, _marker(context.broadcast(block), text_col, n_blocks == 0), None)
+            n_blocks += 1
+        if not n_blocks:
+            docs = add_columns(docs, _STATE, _marker(None, text_col, True), None)
 
     def finish(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"n_hit": [], "hit_spans": [], "contaminated": []}

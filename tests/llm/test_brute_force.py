@@ -87,14 +87,14 @@ def test_jaccard_links(spark, monkeypatch):
     assert all(r.n_shingles == len(sets[r.doc_id]) for r in got)
 
 
-@pytest.mark.parametrize("block_bytes", [60, 8_000_000])
-def test_decontamination_of_short_and_long_items(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,broadcast_bytes", [(60, 10**6), (8_000_000, 10**6), (8_000_000, 0)])
+def test_decontamination_of_short_and_long_items(spark, block_bytes, broadcast_bytes):
     rng = random.Random(2)
     vocabulary = [f"t{i}" for i in range(12)]
     run = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, run(rng.choice([0, 1, 3, 9, 10, 11, 25]))) for i in range(12)]
     docs = [(i, f"{run(rng.randrange(12))} {rng.choice(items)[1]}, {run(rng.randrange(12))}") for i in range(60)]
-    found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
+    found = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes, broadcast_bytes=broadcast_bytes)
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in found.collect()}
     for i, text in docs:
         w, hit, names = re.findall(r"\w+", text), set(), set()
@@ -109,6 +109,18 @@ def test_decontamination_of_short_and_long_items(spark, block_bytes):
         assert got[i] == (len(w), len(hit), sorted(names))
 
 
+def test_decontamination_ways_agree(spark):
+    """Broadcast blocks and the join give equal rows on the given tables, with nulls, repeated rows and clashing columns."""
+    docs, benchmark = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "benchmark"))
+    odd = spark.createDataFrame([(None, None), (None, ""), (5, "?"), (7, "one two three"), (7, "one two three"), (8, "x " * 3000)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(odd).withColumns({"items": F.lit(1), "row_of_docs": F.lit(2), "k": F.lit(3)}).repartition(3)
+    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").union(spark.createDataFrame([(None, "two three"), ("q", None), ("r", ""), ("s", "x " * 30)], "item_id string, text string"))
+    ways = [decontaminate.decontaminate(docs, benchmark, broadcast_bytes=limit) for limit in (10**9, 0)]
+    rows = [sorted(map(str, (r.asDict() for r in way.select("doc_id", "text", "n_words", "n_hit", "hit_spans", "items", "contaminated").collect()))) for way in ways]
+    assert rows[0] == rows[1] and sum("'contaminated': True" in r for r in rows[0]) > 5
+    assert decontaminate.decontaminate(docs.limit(0), benchmark, broadcast_bytes=0).count() == 0
+
+
 def test_neighbours_recall(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF_ROWS", 64)
     rng = np.random.default_rng(6)
