@@ -186,3 +186,14 @@ def test_pipeline_stages(spark, odd, labels, benchmark, tmp_path):
 
 def test_pipeline_of_empty_tables(spark, none, labels, benchmark, tmp_path):
     assert corpus_pipeline.run(spark, _tables(tmp_path, none, labels.limit(0), benchmark.limit(0))).count() == 0
+
+
+def test_licence_order_and_null_ids(spark):
+    """Words of a notice out of order are no notice; notices without an id are reported; ties go to the first family by name."""
+    isc = licences.NOTICES["isc"][0]
+    rows = [(1, "The hotel told us that all rights were reserved for members."), (2, "reserved seats, rights of way and all the rest"), (3, isc), (4, isc.replace("copy, ", "")), (None, "Released under the MIT License."), (None, "nothing here"), (5, None), (6, "")]
+    rows += [(6, "Licensed under the MIT License.\n\nDistributed under the Boost Software License, Version 1.0.")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, family string")
+    got = sorted((str(r.doc_id), r.n_paragraphs, r.families) for r in licences.licence_report(docs).collect())
+    assert got == sorted([("1", 0, ""), ("2", 0, ""), ("3", 1, "isc"), ("4", 1, "isc"), ("None", 1, "mit"), ("None", 1, "mit"), ("5", 0, ""), ("6", 2, "bsl-1.0,mit"), ("6", 2, "bsl-1.0,mit")])
+    assert licences.licence_report(docs.limit(0)).count() == 0
