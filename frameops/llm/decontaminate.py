@@ -18,12 +18,10 @@ rows are judged one by one; repeated items count once by id; an item without an
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +37,7 @@ MAP_BITS, MAP_ROW = 1 << 26, 32_768
 _ROW_BYTES = 64
 _FILTER_BITS = 1 << 16
 _STATE = "n_words long, hit_words binary, items array<string>"
+_RESULT = "n_words long, items array<string>, n_hit long, hit_spans array<struct<start: long, end: long>>, contaminated boolean"
 
 
 def _winnow(values: np.ndarray, width: int) -> np.ndarray:
@@ -202,7 +201,7 @@ def _near_items(bits, lengths: list[int], text_col: str):
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with n_words, hit_words and items, by a join of windows."""
+    """The result by a join of windows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
@@ -226,20 +225,20 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text_col: str) -> DataFrame:
     def compute(batch: pa.RecordBatch) -> dict[str, list]:
         column = batch.column(batch.schema.get_field_index(text_col))
         counts = np.concatenate([np.diff(w.first) for _, _, w in W.each_chunk(column, "alnum")])
-        packed = []
+        covered = []
         for n, places in zip(counts, batch["places_of_docs"]):
             if not places.is_valid:
-                packed.append(None)
+                covered.append(None)
                 continue
             begin, k = (places.values.field(name).to_numpy() for name in ("begin", "k"))
             edges = np.zeros(n + 1, np.int32)
             np.add.at(edges, begin, 1)
             np.add.at(edges, begin + k, -1)
-            packed.append(np.packbits(np.cumsum(edges[:-1]) > 0).tobytes())
-        return {"n_words": counts, "hit_words": packed, "items": [x or [] for x in batch["items_of_docs"].to_pylist()]}
+            covered.append(np.cumsum(edges[:-1]) > 0)
+        return {"n_words": counts, "items": [x or [] for x in batch["items_of_docs"].to_pylist()]} | _results(covered)
 
-    joined = kept.drop("n_words", "hit_words", "items").join(hits, "row_of_docs", "left")
-    return add_columns(joined, _STATE, compute).drop("row_of_docs", "places_of_docs", "items_of_docs")
+    joined = kept.join(hits, "row_of_docs", "left")
+    return add_columns(joined, _RESULT, compute).drop("row_of_docs", "places_of_docs", "items_of_docs", "hit_words")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -247,29 +246,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     context = docs.sparkSession.sparkContext
     size = benchmark.agg(F.sum(F.octet_length("text") + F.lit(_ROW_BYTES))).first()[0] or 0
     if size > broadcast_bytes:
-        docs = _joined(docs, benchmark, text_col)
-    else:
-        n_blocks = 0
-        for block in _blocks(benchmark, block_bytes):
-            docs = add_columns(docs, _STATE, _marker(context.broadcast(block), text_col, n_blocks == 0), None)
-            n_blocks += 1
-        if not n_blocks:
-            docs = add_columns(docs, _STATE, _marker(None, text_col, True), None)
-
-    def finish(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"n_hit": [], "hit_spans": [], "contaminated": []}
-        for packed, n in zip(batch["hit_words"].to_pylist(), batch["n_words"].to_pylist()):
-            flags = np.unpackbits(np.frombuffer(packed, np.uint8), count=n) if packed else np.zeros(n, np.uint8)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]]).astype(np.int8)))
-            out["n_hit"].append(int(flags.sum()))
-            out["hit_spans"].append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-            out["contaminated"].append(bool(flags.any()))
-        return out
-
-    return add_columns(docs, "n_hit long, hit_spans array<struct<start: long, end: long>>, contaminated boolean", finish).drop("hit_words")
-
-
-def _marker(block, text_col: str, fresh: bool):
+        return _joined(docs, benchmark, text_col)
+    blocks = [context.broadcast(block) for block in _blocks(benchmark, block_bytes)] or [None]
+    for i, block in enumerate(blocks):
+        last = i == len(blocks) - 1
+        docs = add_columns(docs, _RESULT if last else _STATE, _marker(block, text_col, i == 0, last))
+    return docs.drop("hit_words")
+
+
+def _results(covered: list) -> dict[str, list]:
+    """The columns that follow from flags of covered words, one array per row or None."""
+    out: dict[str, list] = {"n_hit": [], "hit_spans": [], "contaminated": []}
+    for own in covered:
+        edges = np.zeros(0, np.int64) if own is None else np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]).astype(np.int8)))
+        out["n_hit"].append(0 if own is None else int(own.sum()))
+        out["hit_spans"].append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+        out["contaminated"].append(len(edges) > 0)
+    return out
+
+
+def _marker(block, text_col: str, fresh: bool, last: bool):
     def compute(batch: pa.RecordBatch) -> dict[str, list]:
         column = batch.column(batch.schema.get_field_index(text_col))
         n = batch.num_rows
@@ -286,18 +282,13 @@ def _marker(block, text_col: str, fresh: bool):
                     own = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(counts[i])).astype(bool)
                     covered[i] = own if covered[i] is None else covered[i] | own
                     items[i].update(before)
-        packed = [None if own is None else np.packbits(own).tobytes() for own in covered]
-        return {"n_words": counts, "hit_words": packed, "items": [sorted(s) for s in items]}
+        out = {"n_words": counts, "items": [sorted(s) for s in items]}
+        return out | (_results(covered) if last else {"hit_words": [None if own is None else np.packbits(own).tobytes() for own in covered]})
 
     return compute
 
 
-def items_digest(items: pa.Array) -> list[str]:
-    return [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items.to_pylist()]
-
-
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the query."""
-    found = decontaminate(docs.select("doc_id", "text"), benchmark).drop("text", "hit_spans")
-    found = add_columns(found, "n_items long, items_sha256 string", lambda b: {"n_items": pc.list_value_length(b["items"]).cast(pa.int64()), "items_sha256": items_digest(b["items"])})
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = decontaminate(docs.select("doc_id", "text"), benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
