@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameops.functions.labels import label_contains
+from frameops.operators.scale import unsized
 from frameops.operators.windows import keep_one
 
 
 def metric_join(conditions: DataFrame, manifest: DataFrame, perceptual: DataFrame, reid: DataFrame,
                 keys: Sequence[str] = ("image_id", "method")) -> DataFrame:
     """Conditions, method manifest, perceptual and re-id rows; all left joins."""
-    out = conditions.join(manifest, keys[0], "left")
+    out = unsized(conditions).join(unsized(manifest), keys[0], "left")
     for side in (perceptual, reid):
-        out = out.join(side, list(keys), "left")
+        out = out.join(unsized(side), list(keys), "left")
     return out
 
 
@@ -31,7 +32,7 @@ def cross_view_pairs(manifest: DataFrame) -> DataFrame:
     exo = valid.filter(F.col("view_type") == "exocentric").select(
         "day_id", "timestamp_id", F.col("image_id").alias("exocentric_image_id"),
         F.col("relative_path").alias("exocentric_relative_path"), F.col("camera_stream_id").alias("exocentric_stream_id"))
-    return ego.join(exo, ["day_id", "timestamp_id"])
+    return unsized(ego).join(unsized(exo), ["day_id", "timestamp_id"])
 
 
 def control_pairs(pairs: DataFrame, keys: Sequence[str] = ("day_id", "exocentric_stream_id")) -> DataFrame:
