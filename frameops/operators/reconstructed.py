@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameops.lineage import cut
 from frameops.operators.policy import NO_ACTION, eligible_ranking, safety_gates
 from frameops.operators.scale import GROUP_LIMIT, running_totals
 from frameops.operators.windows import keep_one
@@ -151,26 +152,26 @@ def verification_metrics(scores: DataFrame, keys: Sequence[str] = ("method",), l
     """AUC, equal error rate and acceptance rates at fixed false acceptance, per key.
 
     ``scores``: keys, similarity, positive (0/1).  Equal similarities are merged
-    first; everything follows from running counts over the distinct values.
+    once; everything follows from counts over the distinct values.
     """
     keys = list(keys)
     c = F.col
-    merged = scores.groupBy(*keys, "similarity").agg(F.sum("positive").alias("p"), F.sum(1 - c("positive")).alias("q"))
-    totals = merged.groupBy(*keys).agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    merged = cut(scores.groupBy(*keys, "similarity").agg(F.sum("positive").alias("p"), F.sum(1 - c("positive")).alias("q")))
+    totals = merged.groupBy(*keys).agg(
+        F.sum("p").alias("np"), F.sum("q").alias("nq"), F.try_divide(F.sum(c("similarity") * c("p")), F.sum("p")).alias("mp"),
+        F.try_divide(F.sum(c("similarity") * c("q")), F.sum("q")).alias("mq"))
     run = running_totals(merged, keys, [c("similarity").desc()], {"tp": c("p"), "fp": c("q")}, limit)
     run = run.join(totals, keys) if keys else run.crossJoin(F.broadcast(totals))
     far, frr = c("fp") / c("nq"), 1 - c("tp") / c("np")
     # a negative is beaten by the positives above it and half of those beside it
     area = F.sum(c("q") * (c("tp") - c("p") / 2)) / (F.first("np") * F.first("nq"))
     closest = F.struct(F.round(F.abs(far - frr), 12).alias("gap"), c("similarity"))
-    out = run.groupBy(*keys).agg(
+    spread = lambda n, mean: F.sqrt(F.try_divide(F.sum(c(n) * F.pow(c("similarity") - c(mean), 2)), F.sum(n)))
+    return run.groupBy(*keys).agg(
         F.first("np").alias("positive_pairs"), F.first("nq").alias("negative_pairs"), area.alias("auc"),
         F.min_by((far + frr) / 2, closest).alias("eer"),
-        *[F.coalesce(F.max(F.when(far <= t, c("tp") / c("np"))), F.lit(0.0)).alias(f"tar_at_far_{n}") for n, t in (("10", 0.10), ("05", 0.05))])
-    stats = scores.groupBy(*keys).agg(
-        F.avg(F.when(c("positive") == 1, c("similarity"))).alias("mean_positive"), F.avg(F.when(c("positive") == 0, c("similarity"))).alias("mean_negative"),
-        F.stddev_pop(F.when(c("positive") == 1, c("similarity"))).alias("std_positive"), F.stddev_pop(F.when(c("positive") == 0, c("similarity"))).alias("std_negative"))
-    return out.join(stats, keys) if keys else out.crossJoin(stats)
+        *[F.coalesce(F.max(F.when(far <= t, c("tp") / c("np"))), F.lit(0.0)).alias(f"tar_at_far_{n}") for n, t in (("10", 0.10), ("05", 0.05))],
+        F.first("mp").alias("mean_positive"), F.first("mq").alias("mean_negative"), spread("p", "mp").alias("std_positive"), spread("q", "mq").alias("std_negative"))
 
 
 def pair_accounting(pairs: DataFrame) -> DataFrame:

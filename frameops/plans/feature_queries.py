@@ -10,6 +10,7 @@ from frameops.operators import policy as D
 from frameops.operators import raster as P
 from frameops.operators import reconstructed as R
 from frameops.operators import vectors as V
+from frameops.operators.scale import unsized
 from frameops.plans.box_queries import CLUSTER
 from frameops.plans.policy_queries import CASCADE, ENH, cascaded, enhanced
 from frameops.plans.registry import query
@@ -391,6 +392,7 @@ csim AS MATERIALIZED (SELECT m.method, 1 - (p.egocentric_image_id * 13 + p.contr
 def cross_similarity(v):
     pairs = J.cross_view_pairs(v.manifest)
     methods = v.method_metrics.select(C("image_id").alias("egocentric_image_id"), "method", "method_index")
+    methods = unsized(methods)
     score = lambda other: 1 - (C("egocentric_image_id") * 13 + C(other) * 7 + C("method_index") * 31) % 997 / F.lit(1000.0)
     same = pairs.join(methods, "egocentric_image_id").select("method", score("exocentric_image_id").alias("similarity"))
     control = J.control_pairs(pairs).join(methods, "egocentric_image_id").select("method", score("control_exocentric_image_id").alias("similarity"))
