@@ -53,6 +53,7 @@ def stream_resume(work: DataFrame, output: str, checkpoint: str, late: str = "1
     return once.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 2) -> DataFrame:
-    """Parquet folder as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = 2) -> DataFrame:
+    """Parquet folder as a stream; None: all files that are there in one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
