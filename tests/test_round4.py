@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import frameops.plans.catalog  # noqa: F401
+from frameops.operators import matching as M
 from frameops.operators import sampling as S
 from frameops.operators.reconstructed import verification_metrics
 from frameops.plans.feature_queries import cross_similarity
@@ -80,3 +81,25 @@ def test_verification_metrics_plain(spark):
     want = (auc, a.mean(), b.mean(), a.std(), b.std())
     got = [r[c] for c in ("auc", "mean_positive", "mean_negative", "std_positive", "std_negative")]
     assert np.allclose(got, want, atol=1e-12) and (r["positive_pairs"], r["negative_pairs"]) == (len(a), len(b))
+
+
+def test_subgroup_scores_without_a_row_per_subgroup(spark, monkeypatch):
+    """Overlapping subgroups, one without truth, tied scores: same scores as ranking a copy of each match per subgroup."""
+    v = Views(spark, "/root/testdata/sf0.001")
+    membership = v.membership.unionByName(v.frames.filter("image_id % 5 = 0").select("image_id", F.lit("odd 'name'").alias("subgroup")))
+    pred = v.cand_boxes.withColumn("score", F.round("score", 1))
+    args = (pred, v.gt_boxes, membership, "source")
+    key = lambda r: (r["source"], r["subgroup"])
+    monkeypatch.setattr(M, "MOST_SUBSETS", 3)
+    want = sorted(M.score_subgroups(*args).collect(), key=key)
+    monkeypatch.undo()
+
+    def refused(*_args, **_kwargs):
+        raise AssertionError("matches ranked per subgroup")
+
+    monkeypatch.setattr(M, "running_totals", refused)
+    got = sorted(M.score_subgroups(*args).collect(), key=key)
+    assert len(got) == len(want) == 48
+    for a, b in zip(got, want):
+        for name in a.asDict():
+            assert a[name] == b[name] or abs(a[name] - b[name]) < 1e-9, (name, a, b)
