@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import frameops.plans.catalog  # noqa: F401
+from frameops.operators import greedy
 from frameops.operators import matching as M
 from frameops.operators import sampling as S
 from frameops.operators.reconstructed import verification_metrics
@@ -103,3 +104,22 @@ def test_subgroup_scores_without_a_row_per_subgroup(spark, monkeypatch):
     for a, b in zip(got, want):
         for name in a.asDict():
             assert a[name] == b[name] or abs(a[name] - b[name]) < 1e-9, (name, a, b)
+
+
+def test_assignment_in_rounds(spark):
+    """Rounds over many images give what the fold over one image gives, with ties, nulls and several keys; truth is not folded."""
+    rng = np.random.default_rng(11)
+    corners = lambda: (lambda x, y: (x, y, x + int(rng.integers(0, 50)), y + int(rng.integers(0, 50))))(int(rng.integers(0, 60)), int(rng.integers(0, 60)))
+    gt = [(i, j, *corners()) for i in range(60) for j in range(int(rng.integers(0, 6)))] + [(None, 1, 0, 0, 50, 50)]
+    pred = [(i, k, s, *corners(), float(rng.integers(0, 4)) / 4) for i in range(70) for s in ("a", None, "b") for k in range(int(rng.integers(0, 7)))]
+    pred += [(None, 1, "a", 0, 0, 50, 50, 0.5), (3, 99, "a", None, 0, 50, 50, 0.5)]
+    p = spark.createDataFrame(pred, "image_id long, pred_id long, source string, x1 long, y1 long, x2 long, y2 long, score double").repartition(7)
+    g = spark.createDataFrame(gt, "image_id long, gt_id long, x1 long, y1 long, x2 long, y2 long").repartition(5)
+    args = (p, g, 0.3, [-F.col("score"), F.col("pred_id")], "pred_id", "gt_id", ["source"])
+    rounds = greedy._assign_folded(*args)
+    assert "MapInArrow" in rounds._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(repr, df.select(*p.columns, "target", "best_iou").collect()))
+    got = rows(rounds)
+    want = rows(greedy._assign_in_arrays(*args))
+    assert len(got) == len(want) == len(pred)
+    assert sorted(set(got) - set(want)) == sorted(set(want) - set(got))
