@@ -1,11 +1,13 @@
 """Licence scan of paragraphs, in DataFrame operations only.
 
 A multinomial logistic regression over sparse word n-grams (one to three words) tells licence families from ordinary text. It is
-trained on notices of each family, also with words left out or in strange surroundings, and on a bounded sample of the
-corpus's own paragraphs as the class ``unknown``, without those that hold some of a notice's wording. Features are n-grams of the
-notices that hold a cue, a word that is rare in the sample or much more frequent in the notices; so a paragraph without a cue has
-no feature and is unknown, and only documents with a cue are split into paragraphs. A paragraph is a line, or a run of adjacent
-lines without a blank one between that a notice can span when it is wrapped. A family counts if its probability exceeds both one half and what all but a few (``OVER``, and one more) of the sampled paragraphs outside the training set reach, and if
+trained on notices of each family, also with words left out or in strange surroundings, and on all lines of the corpus, each
+different one once, as the class ``unknown``, without those that hold some of a notice's wording; one in four is set apart. Lines
+with the same features are one weighted row, and the class weighs as much as ``BACKGROUND`` lines, however many there are. Features
+are n-grams of the notices that hold a cue, a word that is rare in the lines or much more frequent in the notices; so a paragraph
+without a cue has no feature and is unknown, and only documents with a cue are split into paragraphs. A paragraph is a line, or a
+run of adjacent lines without a blank one between that a notice can span when it is wrapped. A family counts if its probability
+exceeds both one half and what all but a few (``OVER``, and one more) of the lines set apart reach, and if
 the paragraph follows a notice of that family closely enough: of its pairs of adjacent words, those that stand in this order in
 the notice, with at most one of the notice's words left out between them, make up ``TEMPLATE_SHARE`` of the notice's pairs.
 
@@ -20,18 +22,17 @@ import json
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frameops.llm.rows import hash_sample
 from frameops.llm.tables import Scratch
 
-#: Sampled paragraphs of the class unknown; rarity of cues in them; least share of a notice's pairs of words that a
+#: Most weight of the class unknown in training; rarity of cues in its lines; least share of a notice's pairs of words that a
 #: paragraph holds in order.
-BACKGROUND, CUE_SHARE, TEMPLATE_SHARE = 4000, 0.002, 0.6
-#: How often more in notices than in the sample makes a cue; share of a notice's three-word runs that keeps a paragraph out of the
-#: sample; share of the paragraphs set apart that may be over the threshold.
+BACKGROUND, CUE_SHARE, TEMPLATE_SHARE = 3000, 0.002, 0.6
+#: How often more in notices than in the corpus makes a cue; share of a notice's three-word runs that keeps a line out of the
+#: class unknown; share of the lines set apart that may be over the threshold.
 CONTRAST, ALIKE, OVER = 10, 0.15, 0.01
 UNKNOWN = "unknown"
 
@@ -120,12 +121,14 @@ def _pairs(text: str) -> list[str]:
 
 def _alike(words):
     """Whether a paragraph holds some of the wording of a notice."""
-    runs, tests = _runs(words, 3), []
+    runs, tests, every = _runs(words, 3), [], set()
     for text in (t for texts in NOTICES.values() for t in texts):
         plain = _plain(text)
         own = sorted({" ".join(plain[i : i + 3]) for i in range(len(plain) - 2)})
+        every.update(own)
         tests.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), runs)) >= ALIKE * len(own))
-    return F.array_contains(F.array(*tests), True)
+    # few paragraphs hold a run of any notice
+    return F.when(F.exists(runs, lambda r: r.isin(*sorted(every))), F.array_contains(F.array(*tests), True)).otherwise(False)
 
 
 def _rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
@@ -147,20 +150,28 @@ def _reach(n: int) -> int:
 LONGEST = max(_reach(len(_plain(t))) for texts in NOTICES.values() for t in texts)
 
 
+def _grams(text: str) -> set[str]:
+    plain = _plain(text)
+    return {" ".join(plain[i : i + n]) for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+
 class Model:
-    def __init__(self, cues: list[str], weights: list[dict], intercepts: dict[str, float], threshold: float) -> None:
+    def __init__(self, cues: list[str], weights: list[tuple], intercepts: dict[str, float], threshold: float) -> None:
         self.cues, self.weights, self.intercepts, self.threshold = cues, weights, intercepts, threshold
+        held = set(cues)
+        variants = {v for texts in NOTICES.values() for t in texts for v in _variants(t)}
+        self.vocabulary = sorted(g for g in set().union(*map(_grams, variants)) if not held.isdisjoint(g.split(" ")))
 
     def features(self, words):
-        """N-grams that hold a cue."""
-        cues = F.array(*map(F.lit, self.cues)).cast("array<string>")
-        return F.filter(_ngrams(words), lambda g: F.arrays_overlap(F.split(g, " "), cues))
+        """Different n-grams of notices that hold a cue."""
+        return F.array_sort(F.array_distinct(F.filter(_ngrams(words), lambda g: g.isin(*self.vocabulary))))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, paragraph, words) of the lines of texts."""
     rows = docs.select(F.col("doc_id"), F.col("text")).where(F.col("text").isNotNull())
-    rows = rows.select("doc_id", F.posexplode(F.split("text", "\n+")).alias("paragraph", "line")).select("doc_id", "paragraph", _words(F.col("line")).alias("words"))
+    # words made inside the generator are made once, whatever filters follow
+    rows = rows.select("doc_id", F.posexplode(F.transform(F.split("text", "\n+"), _words)).alias("paragraph", "words"))
     return rows.where(F.size("words") > 0)
 
 
@@ -193,58 +204,87 @@ def candidates(docs: DataFrame, cues: list[str]) -> DataFrame:
     return runs.where(has(F.col("words")))
 
 
+def _background(docs: DataFrame) -> DataFrame:
+    """Rows (key, apart, words) of all lines that are unlike notices; equal lines have equal keys."""
+    rows = paragraphs(docs).where(~_alike(F.col("words")))
+    return rows.select(F.xxhash64("words").alias("key"), (F.pmod(F.xxhash64("words", F.lit(31)), F.lit(4)) == 0).alias("apart"), "words")
+
+
 def train(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     scratch = Scratch(spark, "licences")
-    # a hash of the id picks a few documents, a hash of the line a few of their lines
-    picked = hash_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), BACKGROUND // 4, 29)
-    background = paragraphs(picked).dropDuplicates(["words"]).orderBy(F.xxhash64("words"), "doc_id", "paragraph").limit(BACKGROUND)
-    background = scratch.keep(background.select("words", (F.pmod(F.xxhash64("words", F.lit(31)), F.lit(4)) == 0).alias("apart")), "background")
-    notices = _rows(spark, [{"family": k, "line": v} for k, texts in NOTICES.items() for t in texts for v in _variants(t)], "family: string, line: string").select("family", _words(F.col("line")).alias("words"))
-    # paragraphs of the sample that are like notices teach neither what is unknown nor which words are common
-    background = scratch.keep(background.where(~_alike(F.col("words"))), "unlike")
-    lines = background.count()
     texts = [set(_plain(t)) for texts in NOTICES.values() for t in texts]
     shares = {w: sum(w in t for t in texts) / len(texts) for w in set().union(*texts) if len(w) > 1}
-    common = background.select(F.explode(F.array_distinct("words")).alias("word")).where(F.col("word").isin(*shares)).groupBy("word").agg(F.count("*").alias("n"))
-    often = {r.word: r.n for r in common.collect()}
-    cues = sorted(w for w, share in shares.items() if often.get(w, 0) <= CUE_SHARE * lines + 1 or CONTRAST * often[w] <= share * lines)
+    # different lines, and those with each word of the notices; the word "" stands for all of them
+    background = _background(docs)
+    held = background.select("key", "apart", F.array_distinct(F.filter("words", lambda w: w.isin(*shares))).alias("held"))
+    held = held.groupBy("key", "apart").agg(F.first("held").alias("held")).select("apart", F.explode(F.concat("held", F.array(F.lit("")))).alias("word"))
+    counts = {(r.word, r.apart): r.n for r in held.groupBy("word", "apart").agg(F.count("*").alias("n")).collect()}
+    often = {w: counts.get((w, False), 0) + counts.get((w, True), 0) for w in ("", *shares)}
+    lines, apart = often[""], counts.get(("", True), 0)
+    cues = sorted(w for w, share in shares.items() if often[w] <= CUE_SHARE * lines + 1 or CONTRAST * often[w] <= share * lines)
 
     families = [UNKNOWN, *sorted(NOTICES)]
     model = Model(cues, [], {}, 0.5)
-    number = _rows(spark, [{"family": k, "label": i} for i, k in enumerate(families)], "family: string, label: double")
-    rows = notices.union(background.where("NOT apart").select(F.lit(UNKNOWN), "words"))
-    rows = rows.join(F.broadcast(number), "family").select("family", "label", model.features(F.col("words")).alias("grams"))
-    counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(rows)
-    fitted = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.1, maxIter=60).fit(counted.transform(rows))
+    cued = background.where(F.exists("words", lambda w: w.isin(*cues))).select("key", "apart", model.features(F.col("words")).alias("grams"))
+    sets = cued.where(F.size("grams") > 0).dropDuplicates(["key"]).groupBy("grams", "apart").agg(F.count("*").alias("n"))
+    sets = scratch.keep(sets, "sets")
+    plain = lines - apart
+    scale = min(1.0, BACKGROUND / max(1, plain))
+    unknown = sets.where("NOT apart")
+    bare = plain - (unknown.agg(F.sum("n")).first()[0] or 0)
+    vocabulary = set(model.vocabulary)
+    rows = [(float(families.index(k)), 1.0, sorted(_grams(v) & vocabulary)) for k, texts in NOTICES.items() for t in texts for v in _variants(t)]
+    # lines without a feature
+    rows += [(0.0, bare * scale, [])] * (bare > 0)
+    rows = spark.createDataFrame(rows, "label double, weight double, grams array<string>").union(unknown.select(F.lit(0.0), F.col("n") * scale, "grams"))
+    counted = CountVectorizerModel.from_vocabulary(model.vocabulary, inputCol="grams", outputCol="features").setBinary(True)
+    fitted = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.1, maxIter=60, weightCol="weight").fit(counted.transform(rows))
     matrix = fitted.coefficientMatrix.toArray()
-    model.weights = [{"gram": g, "weights": [round(float(x), 6) for x in matrix[:, j]]} for j, g in enumerate(counted.vocabulary) if abs(matrix[:, j]).max() > 1e-6]
+    model.weights = [(g, [round(float(x), 6) for x in matrix[:, j]]) for j, g in enumerate(model.vocabulary) if abs(matrix[:, j]).max() > 1e-6]
     model.intercepts = dict(zip(families, map(float, fitted.interceptVector)))
-    held = _probabilities(background.where("apart").select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("paragraph"), F.lit(0).alias("until"), "words"), model)
-    over = 1 + int(OVER * background.where("apart").count())
-    highest = [r.probability for r in held.select("probability").orderBy(F.desc("probability")).limit(over + 1).collect()]
-    model.threshold = max(0.5, highest[over] if len(highest) > over else 0.0)
+    held = sets.where("apart").select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("paragraph"), F.lit(0).alias("until"), "n", "grams")
+    model.threshold = _threshold(scratch.keep(_probabilities(held, model).select("probability", "n"), "held"), 1 + int(OVER * apart))
     return model
 
 
+def _threshold(held: DataFrame, over: int) -> float:
+    """The probability that ``over`` lines of ``held`` (probability, n) exceed at most, to a millionth, or one half if that is more."""
+    low, step, above = 0.5, 5e-4, 0
+    for _ in range(2):
+        place = F.ceil((F.col("probability") - low) / step)
+        bins = held.where(place.between(1, 1000)).groupBy(place.alias("place")).agg(F.sum("n").alias("n"), F.max("probability").alias("most")).collect()
+        for r in sorted(bins, key=lambda r: -r.place):
+            if above + r.n > over:
+                low, step, found = low + (r.place - 1) * step, step / 1000, r.most
+                break
+            above += r.n
+        else:
+            return low
+    return found
+
+
 def _probabilities(rows: DataFrame, model: Model) -> DataFrame:
-    """``rows`` (row, paragraph, until, words ...) that have a feature, with their best family and its probability."""
+    """``rows`` (row, paragraph, until, grams ...) that have a feature, with their best family and its probability."""
     spark, names, key = rows.sparkSession, list(model.intercepts), ["row", "paragraph", "until"]
-    rest = [c for c in rows.columns if c not in key]
-    table = _rows(spark, model.weights, "gram: string, weights: array<double>")
-    grams = rows.select("*", F.explode(F.array_distinct(model.features(F.col("words")))).alias("gram"))
+    rest = [c for c in rows.columns if c not in [*key, "grams"]]
     # the table has an entry for each n-gram of the notices
+    table = spark.createDataFrame(model.weights, "gram string, weights array<double>")
+    grams = rows.select(*key, *rest, F.explode("grams").alias("gram"))
     scored = grams.join(F.broadcast(table), "gram")
     sums = scored.groupBy(*key).agg(*[F.any_value(c).alias(c) for c in rest], *[F.sum(F.col("weights")[i]).alias(f"w{i}") for i in range(len(names))])
-    odds = [F.exp(F.col(f"w{i}") + F.lit(model.intercepts[k])) for i, k in enumerate(names)]
-    total = sum(odds[1:], odds[0])
-    best = F.array_max(F.array(*[F.struct((o / total).alias("probability"), F.lit(-i).alias("order"), F.lit(k).alias("family")) for i, (o, k) in enumerate(zip(odds, names)) if k != UNKNOWN]))
+    odds = F.array(*[F.exp(F.col(f"w{i}") + F.lit(model.intercepts[k])) for i, k in enumerate(names)])
+    known = F.array(*map(F.lit, names))
+    sums = sums.select(*key, *rest, odds.alias("odds")).withColumn("total", F.aggregate("odds", F.lit(0.0), lambda x, y: x + y))
+    each = F.transform("odds", lambda o, i: F.struct((o / F.col("total")).alias("probability"), (-i).alias("order"), F.get(known, i).alias("family")))
+    best = F.array_max(F.filter(each, lambda x: x["family"] != UNKNOWN))
     return sums.select(*key, *rest, best.alias("best")).select(*key, *rest, "best.family", "best.probability")
 
 
 def licence_paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """Paragraphs with a licence: doc_id, paragraph (its first line), family, probability, template_share, confirmed."""
-    found = _probabilities(candidates(docs, model.cues), model).where(F.col("probability") > model.threshold)
+    rows = candidates(docs, model.cues).withColumn("grams", model.features(F.col("words")))
+    found = _probabilities(rows, model).where(F.col("probability") > model.threshold)
     templates = [{"family": k, "pairs": _pairs(t), "steps": len(_plain(t)) - 1, "reach": _reach(len(_plain(t)))} for k, texts in NOTICES.items() for t in texts]
     templates = _rows(docs.sparkSession, templates, "family: string, pairs: array<string>, steps: int, reach: int").groupBy("family").agg(F.collect_list(F.struct("pairs", "steps", "reach")).alias("templates"))
     n, n_first, n_last = F.size("words"), F.col("n_first"), F.col("n_last")

@@ -197,3 +197,11 @@ def test_licence_order_and_null_ids(spark):
     got = sorted((str(r.doc_id), r.n_paragraphs, r.families) for r in licences.licence_report(docs).collect())
     assert got == sorted([("1", 0, ""), ("2", 0, ""), ("3", 1, "isc"), ("4", 1, "isc"), ("None", 1, "mit"), ("None", 1, "mit"), ("5", 0, ""), ("6", 2, "bsl-1.0,mit"), ("6", 2, "bsl-1.0,mit")])
     assert licences.licence_report(docs.limit(0)).count() == 0
+
+
+def test_licence_model_reads_all_lines(spark, monkeypatch):
+    """Cues come from every line, not from a sample whose size decides them."""
+    lines = [f"a{i} b{i % 7} went to see c{i % 11} about d{i % 13}" + " boost" * (i % 50 == 0) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    monkeypatch.setattr(licences, "BACKGROUND", 8)
+    assert "boost" not in licences.train(docs).cues
