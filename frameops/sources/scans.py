@@ -183,9 +183,9 @@ def scan_registry(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def scan_subgroup_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Prediction files read together; the model is the name of the file (or dataset folder)."""
+    """Prediction files read together; the model is the name of the file (or dataset folder, also one of Spark's ``model=``)."""
     rows = spark.read.schema(BOX_SCHEMAS["pred"]).csv(pattern, header=True)
-    return rows.withColumn("model", F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(?:/[^/]*)?$", 1))
+    return rows.withColumn("model", F.regexp_extract(F.input_file_name(), r"(?:/model=|/)([^/]+)\.csv(?:/[^/]*)?$", 1))
 
 
 def load_image_features(df: DataFrame, protocols: Mapping[str, str]) -> DataFrame:

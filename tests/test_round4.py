@@ -14,6 +14,7 @@ from frameops.operators.reconstructed import verification_metrics
 from frameops.plans.feature_queries import cross_similarity
 from frameops.plans.registry import QUERIES
 from frameops.plans.views import Views
+from frameops.sources.scans import scan_subgroup_files
 
 
 def test_pixels_in_single_precision(spark, tmp_path):
@@ -136,3 +137,13 @@ def test_stratified_sample_sorts_few_rows(spark, monkeypatch):
     assert len(got) == 50 and seen[0] < 2_000
     order = sorted(rows, key=lambda r: hashlib.sha256(f"42:{r[0]}".encode()).hexdigest()[:16])
     assert got == {r[0] for kind in (None, "a", "b") for r in [x for x in order if x[1] == kind][: {None: 10, "a": 20, "b": 20}[kind]]}
+
+
+def test_subgroup_files_of_one_write(spark, tmp_path):
+    """F32: the folders that one partitioned write makes name the model, as files and plain folders do."""
+    rows = spark.createDataFrame([("1", 0, 0, 9, 9, 0.5, m, f"{m}.csv") for m in ("yolo", "scrfd")], "image_id string, x1 long, y1 long, x2 long, y2 long, score double, detector_name string, model string")
+    rows.write.partitionBy("model").csv(f"{tmp_path}/one", header=True)
+    rows.drop("model").where("detector_name = 'yolo'").write.csv(f"{tmp_path}/two/a=b.csv", header=True)
+    got = sorted((r["model"], r["detector_name"]) for r in scan_subgroup_files(spark, f"{tmp_path}/one/*.csv").collect())
+    assert got == [("scrfd", "scrfd"), ("yolo", "yolo")]
+    assert [r["model"] for r in scan_subgroup_files(spark, f"{tmp_path}/two/*.csv").collect()] == ["a=b"]
