@@ -79,13 +79,18 @@ def paired_ttest(rows: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str
 
 def win_tie_loss(rows: DataFrame, keys: Sequence[str] = (), difference: str = "difference", tolerance: float = 1e-12) -> DataFrame:
     """Counts with a tolerance for ties."""
+    return rows.groupBy(*keys).agg(*_win_tie_loss(difference, tolerance))
+
+
+def _win_tie_loss(difference: str, tolerance: float = 1e-12) -> list[Column]:
     d = F.col(difference)
-    return rows.groupBy(*keys).agg(
-        F.count_if(d > tolerance).alias("wins"), F.count_if(d < -tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties"))
+    return [F.count_if(d > tolerance).alias("wins"), F.count_if(d < -tolerance).alias("losses"), F.count_if(F.abs(d) <= tolerance).alias("ties")]
 
 
 #: Resamples of one block of weights, and cells of weights (cases x resamples) that a task holds.
 RESAMPLE_BLOCK, WEIGHT_CELLS = 500, 2_000_000
+#: Weights drawn at a time, and tasks that share the draws, per core.
+CACHE_CELLS, TASKS_PER_CORE = 32_768, 3
 
 
 def _poisson_limits() -> np.ndarray:
@@ -94,14 +99,35 @@ def _poisson_limits() -> np.ndarray:
     return np.cumsum(terms)
 
 
+def _weight_table() -> np.ndarray:
+    """Weight by the upper 16 bits of a draw; 255 where a limit lies inside, so that more bits decide."""
+    at = np.arange(65536)
+    low, high = (np.searchsorted(_poisson_limits(), x, "right") for x in (at / 65536, (at * 2.0**37 + (2.0**37 - 1)) / 2.0**53))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
 def poisson_weights(cases: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """Poisson(1) weights of cases (64-bit hashes) in resamples ``start`` to ``stop``, cases x resamples."""
-    with np.errstate(over="ignore"):
-        z = cases.astype(np.uint64)[:, None] + np.arange(start + 1, stop + 1, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    return np.searchsorted(_poisson_limits(), (z >> np.uint64(11)) / 2.0**53, "right").astype(np.float64)
+    """Poisson(1) weights of cases (64-bit hashes) in resamples ``start`` to ``stop``, cases x resamples.
+
+    Draws are made in pieces that stay in a core's cache, and most of them are looked up by their upper bits.
+    """
+    steps = np.arange(start + 1, stop + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    table, limits, cases = _weight_table(), _poisson_limits(), cases.astype(np.uint64)
+    out = np.empty((len(cases), stop - start))
+    rows = max(1, CACHE_CELLS // max(stop - start, 1))
+    draws, shifted = np.empty((2, rows, stop - start), np.uint64)
+    for i in range(0, len(cases), rows):
+        part = cases[i : i + rows, None]
+        z, t = draws[: len(part)], shifted[: len(part)]
+        np.add(part, steps, out=z)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            np.bitwise_xor(z, np.right_shift(z, np.uint64(shift), out=t), out=z)
+            np.multiply(z, np.uint64(factor), out=z)
+        weights = table[np.right_shift(z, np.uint64(48), out=t).view(np.int64)]
+        out[i : i + rows] = weights
+        case, resample = np.nonzero(weights == 255)
+        out[i + case, resample] = np.searchsorted(limits, (z[case, resample] >> np.uint64(11)) / 2.0**53, "right")
+    return out
 
 
 def _resampled_sums(keys: list[str], resamples: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +149,13 @@ def _resampled_sums(keys: list[str], resamples: int, batches: Iterator[pa.Record
             for first in range(0, len(cases), WEIGHT_CELLS // RESAMPLE_BLOCK):
                 last = first + WEIGHT_CELLS // RESAMPLE_BLOCK
                 weights = poisson_weights(cases[first:last], low, high)
+                inside = np.flatnonzero((case >= first) & (case < last))
+                # rows of one case share its draws, and those of all keys are added up in one product
+                place, n = group[inside] * len(weights) + case[inside] - first, len(names) * len(weights)
+                per_case = np.concatenate([np.bincount(place, v[inside], n).reshape(len(names), -1) for v in values])
+                sums = (per_case @ weights).reshape(2, len(names), -1)
                 for g, name in enumerate(names):
-                    rows = np.flatnonzero((group == g) & (case >= first) & (case < last))
-                    # rows of one case share its draws
-                    per_case = np.stack([np.bincount(case[rows] - first, v[rows], len(weights)) for v in values])
-                    totals[name][:, low:high] += per_case @ weights
+                    totals[name][:, low:high] += sums[:, g]
     starts = range(0, resamples, RESAMPLE_BLOCK)
     for name, sums in totals.items():
         columns = [pa.array([x] * len(starts), batch.schema.field(k).type) for k, x in zip(keys, name)]
@@ -162,11 +190,13 @@ def bootstrap_means(rows: DataFrame, keys: Sequence[str], case: str, value: str,
     """Resampled means per key: one row per (key, resample).
 
     Case weights are Poisson(1) draws from a hash of (seed, case) and the resample, made per block inside the task that holds
-    the row, so rows are not shuffled: a task returns two vectors per key and block, and those are added up.  Poisson weights
-    stand in for multinomial ones; intervals agree statistically, not digit by digit.
+    the row: a task returns two vectors per key and block, and those are added up.  Cases are dealt to all cores by number, as
+    Spark would deal these few bytes to few tasks, and rows of a case lie together, so that its draws are made once.  Poisson
+    weights stand in for multinomial ones; intervals agree statistically, not digit by digit.
     """
     keys = list(keys)
     source = rows.select(*keys, F.xxhash64(F.lit(seed), F.col(case)).alias("__case"), F.col(value).cast("double").alias("__v")).filter("__v IS NOT NULL")
+    source = source.repartition(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, "__case").sortWithinPartitions("__case")
     out = T.StructType([source.schema[k] for k in keys] + T.StructType.fromDDL("start int, w array<double>, s array<double>").fields)
     parts = source.mapInArrow(lambda it: _resampled_sums(keys, resamples, it), out).repartition(*keys, "start").sortWithinPartitions(*keys, "start")
     packed = parts.mapInArrow(lambda it: _added(keys, it), out)
@@ -183,11 +213,12 @@ def paired_bootstrap(rows: DataFrame, keys: Sequence[str], case: str, difference
     """
     sampled = bootstrap_means(rows, keys, case, difference, resamples, seed)
     bounds = sampled.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high"))
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(difference).alias("mean_difference"), *[F.avg(c).alias(n) for n, c in (means or {}).items()])
-    counts = win_tie_loss(rows, keys, difference)
-    if not keys:
-        return base.crossJoin(bounds).crossJoin(counts)
-    return base.join(bounds, list(keys)).join(counts, list(keys))
+    base = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(difference).alias("mean_difference"), *[F.avg(c).alias(n) for n, c in (means or {}).items()],
+        *_win_tie_loss(difference))
+    counts = ["wins", "losses", "ties"]
+    out = base.join(bounds, list(keys)) if keys else base.crossJoin(bounds)
+    return out.select(*[c for c in out.columns if c not in counts], *counts)
 
 
 def policy_differences(policies: DataFrame, fixed: DataFrame) -> DataFrame:
