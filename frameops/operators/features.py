@@ -170,6 +170,20 @@ def conflict_features(model: DataFrame, rules: DataFrame, labels: Sequence[str],
     return out.withColumn("geometry_conflicts", reduce(lambda a, b: a + b, [C(f"conflict_{k}") for k in geometry]))
 
 
+#: Boxes whose crops one task takes.
+CROP_BOXES = 250_000
+
+
+def frame_crops(metrics: DataFrame, boxes: DataFrame, per_task: int = CROP_BOXES) -> DataFrame:
+    """A09 input: every box of a frame under every method of it.
+
+    Both sides are dealt by the number of boxes, so a task sums a bounded number of frames and methods. Spark would deal them by
+    their bytes before the join, and the table of a task's sums would grow with the input.
+    """
+    tasks = max(-(-boxes.count() // per_task), boxes.sparkSession.sparkContext.defaultParallelism)
+    return metrics.repartition(tasks, "image_id").join(boxes.repartition(tasks, "image_id"), "image_id")
+
+
 def reid_per_frame(crops: DataFrame) -> DataFrame:
     """Crop rows (cosine, hit) to means and counts per frame and method."""
     return crops.groupBy("image_id", "method").agg(F.avg("cosine").alias("cosine_mean"), F.avg("hit").alias("reid_rate"), F.count(F.lit(1)).alias("face_crop_count"))

@@ -142,7 +142,7 @@ def _(v):
 @query("a09_reid_per_frame", "SELECT m.image_id, m.method, avg(m.reid_a * b.score) AS cosine_mean, avg(CASE WHEN m.reid_a * b.score >= 0.3 THEN 1.0 ELSE 0.0 END) AS reid_rate, count(*) AS face_crop_count FROM method_metrics m JOIN pred_boxes b USING (image_id) WHERE reid_a IS NOT NULL GROUP BY ALL", dbl="cosine_mean reid_rate")
 def _(v):
     rows = v.method_metrics.filter(C("reid_a").isNotNull()).select("image_id", "method", "reid_a")
-    crops = rows.join(v.pred_boxes.select("image_id", "score"), "image_id").withColumn("cosine", C("reid_a") * C("score"))
+    crops = A.frame_crops(rows, v.pred_boxes.select("image_id", "score")).withColumn("cosine", C("reid_a") * C("score"))
     return A.reid_per_frame(crops.withColumn("hit", F.when(C("cosine") >= 0.3, 1.0).otherwise(0.0)))
 
 
