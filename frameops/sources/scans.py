@@ -28,6 +28,8 @@ BOX_SCHEMAS = {
 }
 #: Bytes of a file that are in memory at a time.
 CHUNK_BYTES = 8_000_000
+#: Tasks per core at most that list and hash files.
+TASKS_PER_CORE = 8
 BOX_JSON = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
@@ -75,9 +77,11 @@ def _with_checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def inventory_files(spark: SparkSession, root: str, checksum: bool = True, glob: str = "*") -> DataFrame:
     """Path, name, extension, size and (on request) SHA-256 of every file below ``root``.
 
-    Spark lists the files and deals them by size; contents never become rows, so a file may be of any size.
+    Spark lists the files and deals them by size; contents never become rows, so a file may be of any size. As Spark counts every
+    file as some MB, small ones make a task of 32 files each, of which a task here takes many.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+    files = files.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     if checksum:
         files = files.mapInArrow(_with_checksum, "path string, length bigint, checksum_sha256 string")
     tail = F.split_part(F.col("path"), F.lit(root.rstrip("/").rsplit(":", 1)[-1] + "/"), F.lit(-1))
