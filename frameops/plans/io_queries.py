@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from frameops.lineage import scratch
@@ -40,12 +41,13 @@ def _(v):
   sha256(coalesce(text, '')) AS checksum_sha256, lang AS camera_stream_id, CASE kind WHEN 'members' THEN 'egocentric' WHEN 'fixed' THEN 'exocentric' ELSE 'unknown' END AS view_type, 'day' || doc_id % 5 AS day_id
 FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 3 = 0 THEN 'members' ELSE 'fixed' END AS kind FROM documents)""")
 def _(v):
-    # one file per document, then the files of the folder
+    # one file per document, then the files of the folder; documents that share an id get folders of their own
     root = scratch(v.spark, "files")
     kind = F.when(C("doc_id") % 3 == 0, "members").otherwise("fixed")
-    path = F.concat(F.lit("day"), C("doc_id") % 5, F.lit("/"), kind, F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".TXT"))
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("lang", "text"))
+    path = F.concat(copy, F.lit("/day"), C("doc_id") % 5, F.lit("/"), kind, F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".TXT"))
     K.write_files(v.table("documents").withColumn("path", path), root, "path", "text")
-    out = S.inventory_files(v.spark, root)
+    out = S.inventory_files(v.spark, root, skip=1)
     return out.select("relative_path", "file_name", "file_ext", "file_size_bytes", "checksum_sha256", "camera_stream_id", "view_type", "day_id")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from frameops.functions.geometry import has_area
 from frameops.functions.labels import infer_metadata, stable_order
+from frameops.lineage import cut
 from frameops.operators.scale import running_totals
 
 MANIFEST_SCHEMA = (
@@ -74,18 +76,44 @@ def _with_checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.string())], names=[*batch.schema.names, "checksum_sha256"])
 
 
-def inventory_files(spark: SparkSession, root: str, checksum: bool = True, glob: str = "*") -> DataFrame:
-    """Path, name, extension, size and (on request) SHA-256 of every file below ``root``.
+def _folder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files and folders in each folder at ``path``, with the size of files; names that Spark takes for its own are left out."""
+    for batch in batches:
+        for path in batch["path"].to_pylist():
+            system, name = open_path(path)
+            found = [f for f in system.get_file_info(fs.FileSelector(name)) if not f.base_name.startswith((".", "_"))]
+            sizes = [f.size if f.type == fs.FileType.File else None for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{f.base_name}" for f in found], pa.string()), pa.array(sizes, pa.int64())], names=["path", "length"])
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Path and length of every file below ``root``, level by level. Spark's own sources leave empty files out."""
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    folders, levels = [root.rstrip("/")], []
+    while folders:
+        rows = spark.createDataFrame([(f,) for f in folders], "path string").repartition(min(len(folders), tasks))
+        found = cut(rows.mapInArrow(_folder, "path string, length long"))
+        levels.append(found.filter("length IS NOT NULL"))
+        folders = [row["path"] for row in found.filter("length IS NULL").collect()]
+    return reduce(DataFrame.unionByName, levels)
 
-    Spark lists the files and deals them by size; contents never become rows, so a file may be of any size. As Spark counts every
-    file as some MB, small ones make a task of 32 files each, of which a task here takes many.
+
+def inventory_files(spark: SparkSession, root: str, checksum: bool = True, glob: str = "*", skip: int = 0) -> DataFrame:
+    """Path, name, extension, size and (on request) SHA-256 of every file below ``root``, of no bytes too.
+
+    Files are listed by folder and dealt to tasks; contents never become rows, so a file may be of any size. ``glob`` is for names;
+    the first ``skip`` folders below the root are no part of the relative path.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
-    files = files.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    name = F.split_part(F.col("path"), F.lit("/"), F.lit(-1))
+    files = list_files(spark, root)
+    if glob != "*":
+        files = files.filter(name.rlike(fnmatch.translate(glob)))
+    files = files.repartition(max(1, min(files.count(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)))
     if checksum:
         files = files.mapInArrow(_with_checksum, "path string, length bigint, checksum_sha256 string")
-    tail = F.split_part(F.col("path"), F.lit(root.rstrip("/").rsplit(":", 1)[-1] + "/"), F.lit(-1))
-    name = F.split_part(F.col("path"), F.lit("/"), F.lit(-1))
+    tail = F.substr("path", F.lit(len(root.rstrip("/")) + 2))
+    if skip:
+        tail = F.regexp_replace(tail, f"^(?:[^/]*/){{{skip}}}", "")
     out = files.select(
         tail.alias("relative_path"), name.alias("file_name"), F.lower(F.concat(F.lit("."), F.split_part(name, F.lit("."), F.lit(-1)))).alias("file_ext"),
         F.col("length").alias("file_size_bytes"), *(["checksum_sha256"] if checksum else []))
