@@ -10,14 +10,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameops.lineage import scratch
+from frameops.lineage import stored
+from frameops.operators.ranges import borders_of, collected, dealt, place, tables, whole_images_only
 
-#: Subsets at most, one bit each; rows of the sample that places the borders of ranges (it moves work, not results).
-MOST_SUBSETS, SAMPLE = 62, 20_000
+#: Subsets at most, one bit each, and starts at most (two numbers per range, model and subset).
+MOST_SUBSETS, MOST_STARTS = 62, 2_000_000
 
 
 def subset_bits(names: Sequence[str], column: str = "subgroup"):
@@ -28,51 +28,26 @@ def subset_bits(names: Sequence[str], column: str = "subgroup"):
     return chosen.otherwise(F.lit(0).cast("long"))
 
 
-def _place(borders: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their range: borders are (score falling, image rising)."""
+def _placed(borders: np.ndarray, numbers: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Model, mask and hit of rows with the number of their range."""
     for batch in batches:
-        n = batch.num_rows
-        order = np.lexsort((np.concatenate([np.zeros(len(borders)), np.ones(n)]), np.concatenate([borders["image"], batch["image_id"].to_numpy()]),
-                            np.concatenate([-borders["score"], -batch["score"].to_numpy(zero_copy_only=False)])))
-        before = np.cumsum(order < len(borders))
-        part = np.empty(len(order), np.int64)
-        part[order] = before
-        part = part[len(borders):]
-        # NaN ranks before all numbers, null behind them
-        part[pc.is_nan(batch["score"]).fill_null(False).to_numpy(zero_copy_only=False)] = 0
-        part[batch["score"].is_null().to_numpy(zero_copy_only=False)] = len(borders)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=[*batch.schema.names, "part"])
+        part = place(borders, numbers, batch)
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch["m"], batch["mask"], batch["hit"]], names=["part", "m", "mask", "hit"])
 
 
 def _walk(starts, models: int, subsets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Precision at the true positives of each range, summed per model and subset; rows come in order within their range."""
-    at, state, total = None, None, None
-
-    def found() -> pa.RecordBatch:
+    for at, table in tables(batches):
+        state, total = starts.value[at].copy(), np.zeros((models, subsets))
+        model, mask, hit = (table[c].to_numpy().astype(np.int64) for c in ("m", "mask", "hit"))
+        for m in range(models):
+            own = np.flatnonzero(model == m)
+            for s in range(subsets):
+                inside = hit[own[(mask[own] >> s) & 1 == 1]]
+                seen, hits = state[0, m, s] + np.arange(1, len(inside) + 1), state[1, m, s] + np.cumsum(inside)
+                total[m, s] += (hits / seen)[inside == 1].sum()
         m, s = np.indices((models, subsets)).reshape(2, -1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(m), at, np.int32)), pa.array(m), pa.array(s), pa.array(total.ravel())], names=["part", "m", "s", "precision_sum"])
-
-    for batch in batches:
-        parts = batch["part"].to_numpy()
-        model, mask, hit = batch["m"].to_numpy(), batch["mask"].to_numpy(), batch["hit"].to_numpy().astype(np.int64)
-        for rows in np.split(np.arange(len(parts)), np.flatnonzero(parts[1:] != parts[:-1]) + 1):
-            if not len(rows):
-                continue
-            if parts[rows[0]] != at:
-                if at is not None:
-                    yield found()
-                at, total = int(parts[rows[0]]), np.zeros((models, subsets))
-                state = starts.value[at].copy()
-            for m in range(models):
-                own = rows[model[rows] == m]
-                for s in range(subsets):
-                    inside = hit[own[(mask[own] >> s) & 1 == 1]]
-                    seen, hits = state[0, m, s] + np.arange(1, len(inside) + 1), state[1, m, s] + np.cumsum(inside)
-                    total[m, s] += (hits / seen)[inside == 1].sum()
-                    state[0, m, s] += len(inside)
-                    state[1, m, s] += inside.sum()
-    if at is not None:
-        yield found()
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), at, np.int32)), pa.array(m), pa.array(s), pa.array(total.ravel())], names=["part", "m", "s", "precision_sum"])
 
 
 def subset_precision(rows: DataFrame, models: Sequence, names: Sequence[str], model: str) -> tuple[DataFrame, DataFrame]:
@@ -81,35 +56,28 @@ def subset_precision(rows: DataFrame, models: Sequence, names: Sequence[str], mo
     ``rows`` has image_id, pred_id, score, true_positive, the model column and mask, the subsets of its image (``subset_bits``).
     Ranks are by score, then image_id, then pred_id. Rows are stored once, since three passes read them.
     """
-    spark = rows.sparkSession
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[model]
     number = F
     for i, name in enumerate(models):
         number = number.when(F.col(model).eqNullSafe(F.lit(name)), F.lit(i))
-    path = scratch(spark, "ranked")
-    rows.select("image_id", "pred_id", "score", F.col("true_positive").cast("int").alias("hit"), number.otherwise(F.lit(-1)).alias("m"), "mask").write.parquet(path)
-    stored = spark.read.parquet(path)
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    step = max(1, stored.count() // SAMPLE)
-    sample = stored.filter(F.pmod(F.xxhash64("image_id", "pred_id"), F.lit(step)) == 0).filter("NOT isnan(score)").select("score", F.col("image_id").alias("image"))
-    sample = sorted({(-r["score"], r["image"]) for r in sample.collect()})
-    picked = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample
-    borders = np.array([(-s, i) for s, i in picked], dtype=[("score", np.float64), ("image", np.int64)])
-    placed = stored.mapInArrow(lambda it: _place(borders, it), f"{', '.join(f'{c} {t}' for c, t in stored.dtypes)}, part int")
+    rows = rows.select("image_id", "pred_id", "score", F.col("true_positive").cast("int").alias("hit"), number.otherwise(F.lit(-1)).alias("m"), "mask")
+    ranked = stored(rows.filter("m >= 0"), "ranked")
+    borders, numbers = borders_of(ranked, MOST_STARTS // (len(models) * len(names))), whole_images_only(ranked)
+    placed = ranked.select("score", "image_id", "m", "mask", "hit").mapInArrow(lambda it: _placed(borders, numbers, it), "part int, m int, mask long, hit int")
     bits = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.expr("1L").bitwiseAND(F.call_function("shiftright", F.col("mask"), i)) == 1)
     grouped = placed.groupBy("part", "m", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("h"))
-    counted = grouped.select("part", "m", F.explode(bits).alias("s"), "n", "h").groupBy("part", "m", "s").agg(F.sum("n").alias("n"), F.sum("h").alias("h")).collect()
+    counted = grouped.select("part", "m", F.explode(bits).alias("s"), "n", "h").groupBy("part", "m", "s").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
     # a number per range, model and subset
     counts = np.zeros((len(borders) + 2, 2, len(models), len(names)), np.int64)
-    for r in counted:
+    for r in collected(counted):
         counts[r["part"] + 1, :, r["m"], r["s"]] = r["n"], r["h"]
     running = counts.cumsum(0)
     starts = spark.sparkContext.broadcast({part: running[part] for part in range(len(borders) + 1)})
-    dealt = placed.repartition(ranges, "part").sortWithinPartitions("part", F.desc("score"), "image_id", "pred_id")
-    sums = dealt.mapInArrow(lambda it: _walk(starts, len(models), len(names), it), "part int, m int, s int, precision_sum double")
+    sums = dealt(ranked, borders).mapInArrow(lambda it: _walk(starts, len(models), len(names), it), "part int, m int, s int, precision_sum double")
     precision = np.zeros((len(models), len(names)))
-    for r in sums.orderBy("part").collect():
+    for r in sorted(collected(sums), key=lambda r: r["part"]):
         precision[r["m"], r["s"]] += r["precision_sum"]
     seen, hits = running[-1]
     table = [(models[m], names[s], float(precision[m, s]), int(hits[m, s]), int(seen[m, s] - hits[m, s])) for m in range(len(models)) for s in range(len(names)) if seen[m, s]]
-    schema = f"`{model}` {dict(rows.dtypes)[model]}, subgroup string, precision_sum double, true_positives long, false_positives long"
-    return spark.createDataFrame(table, schema), stored
+    schema = f"`{model}` {kind}, subgroup string, precision_sum double, true_positives long, false_positives long"
+    return spark.createDataFrame(table, schema), ranked

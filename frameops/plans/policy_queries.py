@@ -383,8 +383,7 @@ PREDICTABLE = ["large_face", "low_light_or_dim", "multi_face", "high_clutter"]
 BEST1 = """best1 AS MATERIALIZED (SELECT subgroup, arg_max(source, {'c': composite, 'r': recall, 's': source}) AS model, max(composite) AS score, arg_max(recall, {'c': composite, 'r': recall, 's': source}) AS recall FROM sub_scores GROUP BY subgroup)"""
 
 
-def best_models(v):
-    s = subgroup_scores(v)
+def best_models(s):
     order = F.struct("composite", "recall", "source")
     return s.groupBy("subgroup").agg(F.max_by("source", order).alias("model"), F.max("composite").alias("score"), F.max_by("recall", order).alias("recall"))
 
@@ -393,8 +392,9 @@ def best_models(v):
   WHEN b.model = 'yolo' THEN 'route_to_default' WHEN round(b.score - d.composite, 6) >= 0.01 THEN 'route_to_category_winner' ELSE 'fallback_small_margin' END AS decision
 FROM best1 b JOIN sub_scores d ON d.subgroup = b.subgroup AND d.source = 'yolo'""", ctes=SUBGROUP + "," + BEST1, dbl="margin")
 def _(v):
-    best = best_models(v).select("subgroup", C("model").alias("best_model"), C("score").alias("best_score"))
-    default = subgroup_scores(v).filter(C("source") == "yolo").select("subgroup", C("composite").alias("score"))
+    scores = subgroup_scores(v)
+    best = best_models(scores).select("subgroup", C("model").alias("best_model"), C("score").alias("best_score"))
+    default = scores.filter(C("source") == "yolo").select("subgroup", C("composite").alias("score"))
     return D.detector_decision(best, default, PREDICTABLE, "yolo").select("subgroup", "best_model", "margin", "decision")
 
 
@@ -404,8 +404,8 @@ opt AS (SELECT g.image_id, max({'s': b.score, 'g': g.subgroup, 'm': b.model, 'r'
 abst AS MATERIALIZED (SELECT c.image_id, coalesce(o.b.s > fb.score, FALSE) AS routed, o.b AS b, fb.model AS fm, fb.score AS fs, fb.recall AS fr FROM conditions c CROSS JOIN fb LEFT JOIN opt o ON o.image_id = c.image_id)"""
 
 
-def abstain(v):
-    best = best_models(v)
+def abstain(v, scores):
+    best = best_models(scores)
     labels = v.membership.filter(C("subgroup").isin("overall", *PREDICTABLE))
     return D.abstaining_router(labels, best, best.filter(C("subgroup") == "overall"))
 
@@ -413,7 +413,7 @@ def abstain(v):
 @query("d25_abstaining_router", """SELECT image_id, CASE WHEN routed THEN b.g ELSE 'overall' END AS selected_subgroup, CASE WHEN routed THEN b.m ELSE fm END AS selected_model, CASE WHEN routed THEN b.s ELSE fs END AS expected_score,
   CASE WHEN routed THEN b.r ELSE fr END AS expected_recall, NOT routed AS abstained FROM abst""", ctes=ABSTAIN, dbl="expected_score expected_recall")
 def _(v):
-    return abstain(v)
+    return abstain(v, subgroup_scores(v))
 
 
 @query("d25_router_summary", """SELECT m.routing_mode, m.image_rows, m.routed_rows, m.abstained_rows, m.mean_score, m.mean_recall, f.routing_mode AS best_fixed, m.mean_score - f.mean_score AS delta_score, m.mean_recall - f.mean_recall AS delta_recall
@@ -421,9 +421,10 @@ FROM rs m CROSS JOIN (SELECT * FROM rs WHERE starts_with(routing_mode, 'fixed_')
 rs AS MATERIALIZED (SELECT 'oracle_selective_router' AS routing_mode, count(*) AS image_rows, count(*) FILTER (routed) AS routed_rows, count(*) FILTER (NOT routed) AS abstained_rows, avg(CASE WHEN routed THEN b.s ELSE fs END) AS mean_score, avg(CASE WHEN routed THEN b.r ELSE fr END) AS mean_recall FROM abst
   UNION ALL SELECT 'fixed_' || s.source, count(*), count(*), 0, avg(s.composite), avg(s.recall) FROM conditions CROSS JOIN sub_scores s WHERE s.subgroup = 'overall' GROUP BY s.source)""", dbl="mean_score mean_recall delta_score delta_recall")
 def _(v):
-    overall = F.broadcast(subgroup_scores(v).filter(C("subgroup") == "overall").select("source", C("composite").alias("expected_score"), C("recall").alias("expected_recall"), F.lit(False).alias("abstained")))
+    scores = subgroup_scores(v)
+    overall = F.broadcast(scores.filter(C("subgroup") == "overall").select("source", C("composite").alias("expected_score"), C("recall").alias("expected_recall"), F.lit(False).alias("abstained")))
     fixed = v.conditions.select("image_id").crossJoin(overall)
-    modes = {"oracle_selective_router": abstain(v), **{f"fixed_{s}": fixed.filter(C("source") == s) for s in ("rfdetr", "scrfd", "yolo")}}
+    modes = {"oracle_selective_router": abstain(v, scores), **{f"fixed_{s}": fixed.filter(C("source") == s) for s in ("rfdetr", "scrfd", "yolo")}}
     return D.router_summary(modes)
 
 
