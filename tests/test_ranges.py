@@ -65,3 +65,10 @@ def test_abstaining_router_keeps_frames_without_an_option(spark):
     out = policy.abstaining_router(labels, best, best.filter("subgroup = 'overall'"))
     assert {r["image_id"]: (r["selected_subgroup"], r["selected_model"], r["abstained"]) for r in out.collect()} == {
         1: ("s", "n", False), 2: ("overall", "m", True), 3: ("s", "n", False), 4: ("overall", "m", True)}
+
+
+def test_truth_of_a_wider_type_keeps_its_values(spark):
+    pred = spark.createDataFrame([(1, 5, 0.5, 0, 0, 10, 10)], "image_id int, pred_id int, score double, x1 int, y1 int, x2 int, y2 int")
+    gt = spark.createDataFrame([(1, 7, 0, 0, 10, 10), (2**40, 8, 0, 0, 2**40, 10)], "image_id long, gt_id long, x1 long, y1 long, x2 long, y2 long")
+    out = matching.match_greedy(pred, gt)
+    assert dict(out.dtypes)["x1"] == "int" and [(r["image_id"], r["gt_id"], r["x2"]) for r in out.collect()] == [(1, 7, 10)]
